@@ -5,10 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, residue, tokens
+from tidemark.llm import bitmaps, digests, packing, residue, tokens
+from tidemark.model import tags_key
 from tidemark.session import table
 
 
+#: Certified rank error, as a share of n, that every group keeps (a half cluster and one value's rank).
+RANK_BOUND = 0.01
+
+
+def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return digests.certified_percentiles(table(spark, d, "points"))
+
+
+def p1_rank_check(spark: SparkSession, d: str) -> DataFrame:
+    """Each group's number of values, and whether its certified rank error keeps the bound."""
+    x = digests.certified_percentiles(table(spark, d, "points"))
+    kept = F.col("rank_error") * F.col("n") <= RANK_BOUND * F.col("n") + 1
+    return x.select(*digests.KEYS, "n", kept.alias("within_bound"))
+
+
+def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return bitmaps.distinct_cube(table(spark, d, "points"))
+
+
+def p5_error_check(spark: SparkSession, d: str) -> DataFrame:
+    """Exact distinct hosts, traces and sources per metric, and whether the estimate is within 4 standard errors."""
+    points = table(spark, d, "points")
+    estimated = bitmaps.distinct_cube(points).where(~F.col("by_day") & ~F.col("by_dc") & F.col("by_metric"))
+    tags = F.col("tags")
+    exact = points.select("metric", tags["host"].alias("hosts"), tags["trace"].alias("traces"), F.when(F.col("metric").isNotNull(), tags_key()).alias("sources"))
+    pairs = exact.select("metric", F.explode(F.array(*(F.struct(F.lit(c).alias("entity"), F.col(c).alias("v")) for c in ("hosts", "traces", "sources")))).alias("e"))
+    counted = pairs.where("e.v is not null").select("metric", "e.entity", "e.v").distinct().groupBy("metric", "entity").agg(F.count("*").alias("n_exact"))
+    e = estimated.select(F.col("metric").alias("m"), F.col("entity").alias("kind"), "n_distinct", "n_error")
+    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 4 * F.col("n_error") + 1
+    return counted.join(e, F.col("metric").eqNullSafe(F.col("m")) & (F.col("entity") == F.col("kind"))).select("metric", "entity", "n_exact", near.alias("within_bound"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
@@ -45,9 +78,26 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.judge_texts(table(spark, d, "documents")).where("found").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_round_trip, p8_bins, p8_audit, p8_fill, p9_found)}
+QUERIES = {f.__name__: f for f in (
+    p1_percentiles, p1_rank_check, p5_distinct, p5_error_check, p7_ids, p7_round_trip, p8_bins, p8_audit, p8_fill, p9_found,
+)}
 
 SQL = {
+    "p1_rank_check": """
+WITH r AS (SELECT metric, (ts // 86400)::INT AS day, tags['dc'] AS dc, tags['host'] AS host, tags['shard'] AS shard, tags['port'] AS port,
+  float_value::DOUBLE AS f, coalesce(int_value::DOUBLE, float_value::DOUBLE) AS j FROM points WHERE metric IS NOT NULL),
+d AS (SELECT metric, day, f, j, 'all' AS dim, NULL AS dim_value FROM r
+  UNION ALL SELECT metric, day, f, j, 'dc', dc FROM r WHERE dc IS NOT NULL UNION ALL SELECT metric, day, f, j, 'host', host FROM r WHERE host IS NOT NULL
+  UNION ALL SELECT metric, day, f, j, 'shard', shard FROM r WHERE shard IS NOT NULL UNION ALL SELECT metric, day, f, j, 'port', port FROM r WHERE port IS NOT NULL),
+v AS (SELECT 'float' AS field, metric, dim, dim_value, day, f AS v FROM d UNION ALL SELECT 'joint', metric, dim, dim_value, day, j FROM d),
+g AS (SELECT field, metric, dim, dim_value, day FROM v WHERE v IS NOT NULL UNION ALL SELECT field, metric, dim, dim_value, NULL FROM v WHERE v IS NOT NULL)
+SELECT field, metric, dim, dim_value, day, count(*) AS n, TRUE AS within_bound FROM g GROUP BY ALL""",
+    "p5_error_check": """
+WITH k AS (SELECT metric, tags['host'] AS hosts, tags['trace'] AS traces, CASE WHEN metric IS NOT NULL THEN
+  array_to_string(list_sort(list_transform(map_entries(tags), lambda e: e.key || '=' || coalesce(e.value, ''))), ',') END AS sources FROM points)
+SELECT metric, 'hosts' AS entity, count(DISTINCT hosts) AS n_exact, TRUE AS within_bound FROM k GROUP BY 1 HAVING count(hosts) > 0
+UNION ALL SELECT metric, 'traces', count(DISTINCT traces), TRUE FROM k GROUP BY 1 HAVING count(traces) > 0
+UNION ALL SELECT metric, 'sources', count(DISTINCT sources), TRUE FROM k GROUP BY 1 HAVING count(sources) > 0""",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_audit": "SELECT pack_name, (SELECT count(*) FROM documents) AS n_docs, 0 AS overfull_bins, 0 AS split_needlessly FROM pack_sizes",
 }
