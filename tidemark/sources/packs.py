@@ -18,6 +18,8 @@ DECODED_DDL = (
     "batch_id BIGINT, metric STRING, tags MAP<STRING,STRING>, ts INT, value_type STRING, int_value BIGINT, "
     "float_value FLOAT, int_list ARRAY<BIGINT>, float_list ARRAY<FLOAT>, error STRING"
 )
+#: Wire types of the fields of a point (fixed values).
+WIRE = {1: (2,), 2: (0,), 3: (2,), 4: (0,), 5: (0,), 6: (5,), 7: (0, 2), 8: (2, 5)}
 KINDS = ("INT", "FLOAT", "INT_LIST", "FLOAT_LIST")
 
 
@@ -100,12 +102,14 @@ def encode_pack(points: list[dict], batch_id: int | None = None) -> bytes:
 def decode_point(data: bytes) -> dict:
     p: dict = {"metric": None, "ts": None, "tags": {}, "value_type": None, "int_value": None, "float_value": None, "int_list": [], "float_list": []}
     for field, kind, v in fields(data):
+        if kind not in WIRE.get(field, (kind,)):
+            raise ValueError(f"field {field} has wire type {kind}")
         if field == 1:
             p["metric"] = v.decode()
         elif field == 2:
             p["ts"] = signed(v)
         elif field == 3:
-            pair = {f: x.decode() for f, _, x in fields(v)}
+            pair = {f: x.decode() for f, k, x in fields(v) if k == 2}
             p["tags"][pair[1]] = pair[2]
         elif field == 4:
             p["value_type"] = KINDS[v]
