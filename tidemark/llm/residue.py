@@ -25,9 +25,10 @@ from tidemark.llm import residue_rules as rules
 BITS = 18
 HOLE = ""  # stands for a placeholder
 LONG_NUMBER = re.compile(r"\d{6,}")
+AROUND = 16  # characters on either side of a placeholder that tell its use
 SLOT_AT = 0.25  # score from which a placeholder in a value's place counts, as its delimiters are checked
 STRAY = 0.25  # share of a text's characters that may be misspelt beyond recognition
-UNNAMED_AT = 0.8  # score of a text in which no phrase of the rules is found, misspelt ones mostly
+UNNAMED_AT = 0.7  # score of a text in which no phrase of the rules is found, misspelt ones mostly
 CUT_CHARS = 400  # longer segments are judged piece by piece, never cut off
 
 
@@ -79,8 +80,12 @@ def _poor(segment: str) -> bool:
 
 
 def holed(segment: str) -> str:
-    """Placeholders and failed values replaced by one character."""
-    return rules.FAILED.sub(HOLE, rules.PLACEHOLDER.sub(HOLE, segment)) if rules.MARKED.search(segment) else segment
+    """Placeholders and failed values replaced by one character; of such a segment what stands around the first."""
+    if not rules.MARKED.search(segment):
+        return segment
+    out = rules.FAILED.sub(HOLE, rules.PLACEHOLDER.sub(HOLE, segment))
+    at = out.find(HOLE)
+    return out if at < 0 else out[max(0, at - AROUND) : at + AROUND + 1]
 
 
 def fit(number: np.ndarray, start: np.ndarray, label: np.ndarray, weight: np.ndarray, *, l2: float = 1e-6, steps: int = 250, rate: float = 0.7) -> np.ndarray:

@@ -67,7 +67,7 @@ _MENTION = re.compile(
 _STATUS = r"(?:4\d\d|5\d\d)"
 #: Status lines, titles and advice of error pages, and lines of stack traces.
 ERROR = re.compile(
-    rf"\b(?:http|error|fehler|erreur|errore|ошибка|エラー)\W{{0,3}}{_STATUS}\b|^\W*{_STATUS}\W*$|^\W*{_STATUS}\b(?!\s*(?:g|kg|euros?|days?|stars?)\b)"
+    rf"\b(?:http|error|fehler|erreur|errore|ошибка|エラー|code|status)\W{{0,3}}{_STATUS}\b|^\W*{_STATUS}\W*$|^\W*{_STATUS}\b(?!\s*(?:g|kg|euros?|days?|stars?)\b)"
     r"|page not found|\bnot found\b|internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|access denied|\bforbidden\b|session expired|too many requests"
     r"|something went wrong|\boops\b|could not complete your request|page you asked for|content is no longer available|permission to (?:see|view|access)|server did not answer"
     r"|return to the home ?page|try again (?:later|in a few)|log in again|team has been told"
@@ -142,9 +142,11 @@ _SIGNATURE = re.compile(r"\n--[ \t]*\n.*\Z", re.S)
 _SPACES = re.compile(r"[ \t\r\f\v]+")
 
 
-def prepared(text: str) -> str:
-    """Cleaned text without markup and signature; tags become line breaks, runs of blanks one."""
-    text = _SIGNATURE.sub("\n", _TAG.sub("\n", _SPECIAL.sub(" ", clean(text))))
+def prepared(text: str, *, mask: bool = False) -> str:
+    """Cleaned text without markup and signature; tags become line breaks, runs of blanks one; ``mask``: quotes emptied."""
+    text = clean(text)
+    text = masked(text) if mask else text
+    text = _SIGNATURE.sub("\n", _TAG.sub("\n", _SPECIAL.sub(" ", text)))
     return _SPACES.sub(" ", text)
 
 
@@ -210,11 +212,22 @@ def split(text: str | None) -> list[str]:
     whole = prepared(text)
     if len(whole) < 600 and _JSON_ERROR.match(whole) and _JSON_STATUS.search(whole):
         return [whole.replace('"', "")]
-    return segments(masked(whole))
+    out = segments(prepared(text, mask=True))
+    if len(out) >= 4:  # a column of single words is one segment
+        joined, run = [], []
+        for s in [*out, ""]:
+            if s and len(s) <= 24 and s.count(" ") < 2:
+                run.append(s)
+                continue
+            joined += [" ".join(run)] if len(run) >= 4 else run
+            run = []
+            joined += [s] if s else []
+        out = joined
+    return out
 
 
 def all_words(text: str) -> list[str]:
-    return re.findall(r"\w+", masked(prepared(text)).replace("_", " ").lower())
+    return WORD.findall(prepared(text, mask=True).replace("_", " ").lower())
 
 
 def seeds() -> list[str]:
