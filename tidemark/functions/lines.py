@@ -23,7 +23,8 @@ def charset_ok(c: Column) -> Column:
 
 def tokens(c: Column, separator: str = " ", *, keep_empty: bool = False) -> Column:
     """Words of a line; runs of separators count once unless ``keep_empty``."""
-    words = F.split(c, "[" + separator.replace("\\", "\\\\").replace("]", "\\]") + "]", -1)
+    plain = len(separator) == 1 and separator in " ,;:=&"  # split needs no regular expression for these
+    words = F.split(c, separator if plain else "[" + separator.replace("\\", "\\\\").replace("]", "\\]") + "]", -1)
     return words if keep_empty else F.filter(words, lambda w: w != "")
 
 
@@ -51,12 +52,11 @@ def list_items(c: Column) -> Column:
 def tag_pairs(words: Column) -> Column:
     """Entries of ``name=value`` words; malformed ones have a null name."""
 
-    def pair(w):
-        parts = F.split(w, "=", -1)
+    def pair(parts):
         good = (F.size(parts) == 2) & (parts[0] != "") & (parts[1] != "")
         return F.struct(F.when(good, parts[0]).alias("key"), F.when(good, parts[1]).alias("value"))
 
-    return F.transform(words, pair)
+    return F.transform(F.transform(words, lambda w: F.split(w, "=", -1)), pair)
 
 
 def _computed(df: DataFrame, name: str, **columns: Column) -> DataFrame:
@@ -74,13 +74,13 @@ def parse_lines(lines: DataFrame, *, column: str = "line", shard_tags: tuple[str
     error ``empty``; lines of other commands have no point and the error null.
     ``commit`` carries its number in ``argument``.  Extra columns are kept.
     """
-    words = tokens(F.regexp_replace(F.regexp_replace(F.col(column), "[\r\n]+$", ""), "\t", " "))
+    words = tokens(F.translate(F.col(column), "\t\r\n", "   "))
     x = _computed(lines, "_a", w=words)
     w = F.col("_a.w")
     value = F.get(w, F.lit(3))
     x = _computed(
         x, "_b", command=F.get(w, F.lit(0)), metric=F.get(w, F.lit(1)), n=F.size(w), v=value, ts=parse_long(F.get(w, F.lit(2))),
-        argument=parse_long(F.get(w, F.lit(1))), p=tag_pairs(F.slice(w, 5, F.greatest(F.size(w) - 4, F.lit(0)))), items=list_items(value),
+        argument=parse_long(F.get(w, F.lit(1))), named=F.concat(F.get(w, F.lit(1)), F.array_join(F.slice(w, 5, F.greatest(F.size(w) - 4, F.lit(0))), "")), p=tag_pairs(F.slice(w, 5, F.greatest(F.size(w) - 4, F.lit(0)))), items=list_items(value),
     )
     b = lambda name: F.col(f"_b.{name}")
     is_list = b("v").startswith("[")
@@ -99,7 +99,7 @@ def parse_lines(lines: DataFrame, *, column: str = "line", shard_tags: tuple[str
     d = lambda name: F.col(f"_d.{name}")
     is_put = b("command") == "put"
     bad_list = F.coalesce(F.exists(d("int_list"), lambda i: i.isNull()), F.exists(d("float_list"), lambda i: i.isNull()), F.lit(False))
-    bad_name = ~charset_ok(b("metric")) | F.exists(b("p"), lambda p: ~charset_ok(p["key"]) | ~charset_ok(p["value"]))
+    bad_name = ~b("named").rlike(NAME_PATTERN.replace("[", "[="))  # metric and tags in one go; misplaced = are bad tags
     checks = [
         (F.length(F.rtrim(F.col(column))) > MOST_LINE, "line too long"),
         (b("n") == 0, "empty"),

@@ -28,6 +28,8 @@ FLAGS_DDL = "point_id BIGINT, impossible BOOLEAN, spike BOOLEAN, frozen BOOLEAN"
 BUFFER_ROWS = 150_000
 GROUP_ROWS = 400_000
 CELLS = 1_500_000
+#: Beside a spike, a reading belongs to it from this share of the usual distance on.
+BESIDE_AT = 0.75
 
 
 def judge(part: dict[str, np.ndarray], spike_at: float, chart: dict) -> np.ndarray:
@@ -72,7 +74,8 @@ def judge(part: dict[str, np.ndarray], spike_at: float, chart: dict) -> np.ndarr
         count = first_row[at + 1] - first_row[at]
         rows = np.repeat(first_row[at], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
         here = [np.repeat(x[row, col], count) for x in centres]
-        spike[rows] = charts.stands_out(v[rows], *here) > spike_at
+        needed = charts.beside(charts.stands_out(v2, *centres) > spike_at)
+        spike[rows] = charts.stands_out(v[rows], *here) > np.where(np.repeat(needed[row, col], count), BESIDE_AT * spike_at, spike_at)
     flags[ok, 1] = spike
     flags[ok, 2] = frozen[place] & (v == vv[place])
     return flags

@@ -92,6 +92,14 @@ def stands_out(v, mean, scale, mean_back, scale_back):
     return np.where(np.sign(a) == np.sign(b), np.minimum(np.abs(a), np.abs(b)), 0.0)
 
 
+def beside(hit):
+    """Cells next to a hit one in their row, hits included."""
+    out = hit.copy()
+    out[:, 1:] |= hit[:, :-1]
+    out[:, :-1] |= hit[:, 1:]
+    return out
+
+
 def run_lengths(v, n):
     """(length of the run of equal values a cell lies in, number of its run within the row)."""
     s, width = v.shape
