@@ -106,12 +106,14 @@ def time_predicate(start: int, stop: int) -> Column:
 
 
 def last_write(points: DataFrame, *, tie: str | None = "point_id") -> DataFrame:
-    """Of the writes of one (metric, tags, ts, int or float) the newest: greatest write_ms (null lowest), then ``tie``.
+    """Of the writes of one (metric, tags, ts, int or float) the newest: greatest write_ms (null lowest), then
+    ``tie``, or the micro-batch that brought it where a table has no such column.
 
     Partial aggregation before the shuffle; nothing is sorted.  Columns: metric,
     tags_key, tags, ts, is_float, value.
     """
-    order = [F.coalesce("write_ms", F.lit(-(2**62)))] + ([F.col(tie)] if tie else [])
+    ties = [c for c in (tie, "batch") if c in points.columns]
+    order = [F.coalesce("write_ms", F.lit(-(2**62))), *map(F.col, ties[:1])]
     rows = points.where(F.col("metric").isNotNull() & F.col("tags").isNotNull() & F.col("ts").isNotNull()).withColumn("value", scalar_value()).where("value is not null")
     return (
         rows.select("metric", tags_key().alias("tags_key"), "tags", "ts", F.col("int_value").isNull().alias("is_float"), "value", F.struct(*order).alias("o"))
