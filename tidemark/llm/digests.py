@@ -29,7 +29,7 @@ KEYS = ["field", "metric", "dim", "dim_value", "day"]
 KEYS_DDL = "field STRING, metric STRING, dim STRING, dim_value STRING, day INT"
 DIGEST_DDL = f"{KEYS_DDL}, n BIGINT, low DOUBLE, high DOUBLE, means ARRAY<DOUBLE>, weights ARRAY<BIGINT>"
 BUFFER_ROWS = 200_000
-#: Estimates are sent to all workers up to this many groups (about 60 MB); beyond, they are joined.
+#: Estimates are sent to all workers up to this many groups (about 60 MB); beyond, they meet the rows in a shuffle.
 SENT_GROUPS = 250_000
 
 
@@ -88,10 +88,10 @@ def quantiles(n, low, high, count, means, weights, qs=QUANTILES) -> np.ndarray:
     return out
 
 
-def _expanded(points: DataFrame) -> DataFrame:
+def _expanded(points: DataFrame, *more) -> DataFrame:
     tags = F.col("tags")
     return points.where(F.col("metric").isNotNull()).select(
-        "metric", *(tags[d].alias(d) for d in DIMENSIONS), F.floor(F.col("ts") / 86400).cast("int").alias("day"),
+        *more, "metric", *(tags[d].alias(d) for d in DIMENSIONS), F.floor(F.col("ts") / 86400).cast("int").alias("day"),
         F.col("float_value").cast("double").alias("f"), F.col("int_value").cast("double").alias("i"),
     )
 
@@ -260,6 +260,21 @@ def estimates(digests: DataFrame, qs=QUANTILES) -> DataFrame:
     return digests.select(*NAMES).mapInArrow(kernel, f"{KEYS_DDL}, n BIGINT, " + ", ".join(f"{c} DOUBLE" for c in names))
 
 
+def _compare(table: pa.Table, index: dict[tuple, int], values: np.ndarray) -> np.ndarray:
+    """Per group (rows of ``values``): how many values lie below each estimate, then how many up to it."""
+    q = values.shape[1]
+    total = np.zeros((len(index), 2 * q), np.int64)
+    for whole in (False, True):
+        for v, number, keys in _groupings(table, whole):
+            at = np.array([index[k] for k in keys])
+            order = np.argsort(number, kind="stable")
+            x, start = v[order], np.searchsorted(number[order], np.arange(len(keys)))
+            limit = values[at][number[order]]
+            for kind, hit in ((0, x[:, None] < limit), (1, x[:, None] <= limit)):
+                total[at, kind * q : (kind + 1) * q] += np.add.reduceat(hit.astype(np.int32), start, axis=0)
+    return total
+
+
 def _counts_sent(points: DataFrame, found: DataFrame, qs) -> DataFrame:
     """Counting pass with the estimates sent to every worker (their number has been checked)."""
     names = [percent_name(q) for q in qs]
@@ -273,14 +288,7 @@ def _counts_sent(points: DataFrame, found: DataFrame, qs) -> DataFrame:
         index, values = sent.value
         total = np.zeros((len(index), 2 * len(names)), np.int64)
         for table in _buffers(batches):
-            for whole in (False, True):
-                for v, number, keys in _groupings(table, whole):
-                    at = np.array([index[k] for k in keys])
-                    order = np.argsort(number, kind="stable")
-                    x, start = v[order], np.searchsorted(number[order], np.arange(len(keys)))
-                    limit = values[at][number[order]]
-                    for kind, hit in ((0, x[:, None] < limit), (1, x[:, None] <= limit)):
-                        total[at, kind * len(names) : (kind + 1) * len(names)] += np.add.reduceat(hit.astype(np.int32), start, axis=0)
+            total += _compare(table, index, values)
         used = np.flatnonzero(total.any(axis=1))
         for lo in range(0, len(used), 20_000):
             some = used[lo : lo + 20_000]
@@ -294,27 +302,31 @@ def _counts_sent(points: DataFrame, found: DataFrame, qs) -> DataFrame:
     return keys.join(summed, "g", "left").drop("g").na.fill(0, parts)
 
 
-def _counts_joined(points: DataFrame, found: DataFrame, qs) -> DataFrame:
-    """Counting pass as a join of rows and estimates by group, for any number of groups."""
+def _counts_met(points: DataFrame, found: DataFrame, qs, *, rows_per_task: int = 500_000) -> DataFrame:
+    """Counting pass for any number of groups: rows and estimates of a metric meet in salted parts.
+
+    Rows are shuffled once; a metric that holds up to all rows is spread over as many
+    parts as keep each at about ``rows_per_task``, and its estimates go to each.
+    """
     names = [percent_name(q) for q in qs]
-    x = _expanded(points)
-    dims = F.array(F.struct(F.lit("all").alias("dim"), F.lit(None).cast("string").alias("dim_value")), *(F.struct(F.lit(d).alias("dim"), F.col(d).alias("dim_value")) for d in DIMENSIONS))
-    joint = F.coalesce("i", "f")
-    fields = F.array(F.struct(F.lit("float").alias("field"), F.col("f").alias("v")), F.struct(F.lit("joint").alias("field"), joint.alias("v")))
-    rows = (
-        x.select("metric", "day", F.explode(F.filter(fields, lambda s: s["v"].isNotNull())).alias("fv"), dims.alias("dims"))
-        .select("metric", "day", "fv.field", "fv.v", F.explode(F.filter("dims", lambda s: (s["dim"] == "all") | s["dim_value"].isNotNull())).alias("d"))
-        .where(~F.isnan("v") & (F.abs("v") != float("inf")))
-        .select("metric", "field", "v", "d.dim", "d.dim_value", F.explode(F.array_distinct(F.array("day", F.lit(None).cast("int")))).alias("day"))
-        .groupBy(*KEYS, "v").agg(F.count("*").alias("times"))
-    )
-    e = found.select(*(F.col(k).alias(f"e_{k}") for k in KEYS), *names)
-    same = None
-    for k in KEYS:
-        one = F.col(k).eqNullSafe(F.col(f"e_{k}"))
-        same = one if same is None else same & one
-    hit = [F.sum(F.when(op, F.col("times")).otherwise(0)).alias(f"{kind}_{c}") for kind in ("below", "upto") for c in names for op in [F.col("v") < F.col(c) if kind == "below" else F.col("v") <= F.col(c)]]
-    return rows.join(e, same).groupBy(*KEYS).agg(*hit)
+    parts = [f"{kind}_{c}" for kind in ("below", "upto") for c in names]
+    salts = max(1, -(-points.count() // rows_per_task))
+    tags = F.col("tags")
+    mark = F.xxhash64("metric", F.array_sort(F.map_entries(tags)), "ts", "float_value", "int_value")
+    rows = _expanded(points, F.pmod(mark, F.lit(salts)).cast("int").alias("salt"))
+    limits = found.select(*KEYS, *names, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        index = {k: j for j, k in enumerate(zip(*(right.column(c).to_pylist() for c in KEYS)))}
+        values = np.column_stack([right.column(c).to_numpy() for c in names]) if index else np.zeros((0, len(names)))
+        total = _compare(left, index, values) if index and left.num_rows else np.zeros((len(index), 2 * len(names)), np.int64)
+        used = np.flatnonzero(total.any(axis=1))
+        keys = list(index)
+        return pa.Table.from_arrays([*_key_arrays([keys[k] for k in used]), *(pa.array(np.ascontiguousarray(total[used, j])) for j in range(total.shape[1]))], names=[*KEYS, *parts])
+
+    schema = f"{KEYS_DDL}, " + ", ".join(f"{c} BIGINT" for c in parts)
+    counted = rows.groupBy("metric", "salt").cogroup(limits.groupBy("metric", "salt")).applyInArrow(count, schema)
+    return counted.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in parts))
 
 
 def certified_percentiles(points: DataFrame, *, qs=QUANTILES, compression: float = 600.0, sent_groups: int = SENT_GROUPS) -> DataFrame:
@@ -327,7 +339,7 @@ def certified_percentiles(points: DataFrame, *, qs=QUANTILES, compression: float
     """
     daily = cut(daily_digests(points, compression=compression))
     found = cut(estimates(daily.unionByName(over_all_days(daily, compression=compression)), qs))
-    counts = (_counts_sent if found.count() <= sent_groups else _counts_joined)(points, found, qs)
+    counts = (_counts_sent if found.count() <= sent_groups else _counts_met)(points, found, qs)
     counts = counts.select(*(F.col(k).alias(f"c_{k}") for k in KEYS), *(c for c in counts.columns if c not in KEYS))
     same = None
     for k in KEYS:
