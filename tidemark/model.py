@@ -13,14 +13,18 @@ SERIES_DDL = "metric STRING, tags MAP<STRING,STRING>, ts INT, value DOUBLE"
 ROLLUP_DDL = "metric STRING, tags MAP<STRING,STRING>, ts INT, value FLOAT, resolution STRING, agg STRING"
 
 
+def entries_key(entries: Column) -> Column:
+    """The same of an array of (key, value) in any order."""
+    entry = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))
+    return F.array_join(F.array_sort(F.transform(entries, entry)), ",")
+
+
 def tags_key(tags: str | Column = "tags") -> Column:
     """``name=value,name=value`` in ascending order; the order of the map's entries does not matter.
 
     Null map gives null, an empty map the empty string; a null value counts as empty.
     """
-    tags = F.col(tags) if isinstance(tags, str) else tags
-    entry = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))
-    return F.array_join(F.array_sort(F.transform(F.map_entries(tags), entry)), ",")
+    return entries_key(F.map_entries(F.col(tags) if isinstance(tags, str) else tags))
 
 
 def series_key(metric: str | Column = "metric", tags: str | Column = "tags") -> Column:

@@ -201,14 +201,10 @@ def heavy_keys(points: DataFrame, *, share_percent: int = 6) -> DataFrame:
     ``field`` is ``metric`` or ``name``.  All rows count, those with a null metric
     too, but null is never reported as a key.
     """
-    found = None
+    totals = None
     for field, column in (("metric", F.col("metric")), ("name", F.map_keys("tags"))):
-        totals = dense_totals(points.select(column.alias("key")), "key")
-        everything = totals.agg(F.sum("n_rows").alias("all_rows"))
-        one = (
-            totals.crossJoin(F.broadcast(everything))  # a single row
-            .where(F.col("key").isNotNull() & (F.col("n_rows") * 100 >= F.col("all_rows") * share_percent))
-            .select(F.lit(field).alias("field"), F.col("key").alias("key_name"))
-        )
-        found = one if found is None else found.unionByName(one)
-    return found
+        one = dense_totals(points.select(column.alias("key")), "key").withColumn("field", F.lit(field))
+        totals = one if totals is None else totals.unionByName(one)
+    everything = totals.groupBy("field").agg(F.sum("n_rows").alias("all_rows"))
+    heavy = F.col("key").isNotNull() & (F.col("n_rows") * 100 >= F.col("all_rows") * share_percent)
+    return totals.join(everything, "field").where(heavy).select("field", F.col("key").alias("key_name"))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.model import scalar_value, tags_key
+from tidemark.model import entries_key, scalar_value
+
+
+#: Room for a 64-bit tie below a write time, either sign (fixed value).
+TIES = Decimal(2 * 10**19)
 
 
 @dataclass(frozen=True)
@@ -113,14 +118,17 @@ def last_write(points: DataFrame, *, tie: str | None = "point_id") -> DataFrame:
     tags_key, tags, ts, is_float, value.
     """
     ties = [c for c in (tie, "batch") if c in points.columns]
-    order = [F.coalesce("write_ms", F.lit(-(2**62))), *map(F.col, ties[:1])]
+    # write time and tie as one decimal number: fixed-size buffers keep the aggregation a hash aggregation, without sorts
+    order = F.coalesce("write_ms", F.lit(-(2**62))).cast("decimal(19,0)") * F.lit(TIES).cast("decimal(20,0)")
+    order = order + F.coalesce(F.col(ties[0]).cast("long"), F.lit(-(2**63))) if ties else order
     rows = points.where(F.col("metric").isNotNull() & F.col("tags").isNotNull() & F.col("ts").isNotNull()).withColumn("value", scalar_value()).where("value is not null")
-    return (
-        rows.select("metric", tags_key().alias("tags_key"), "tags", "ts", F.col("int_value").isNull().alias("is_float"), "value", F.struct(*order).alias("o"))
-        .groupBy("metric", "tags_key", "ts", "is_float")
-        .agg(F.max_by(F.struct("tags", "value"), "o").alias("w"))
-        .select("metric", "tags_key", "w.tags", "ts", "is_float", "w.value")
+    newest = (
+        rows.select("metric", F.array_sort(F.map_entries("tags")).alias("entries"), "ts", F.col("int_value").isNull().alias("is_float"), "value", order.alias("o"))
+        .groupBy("metric", "entries", "ts", "is_float")
+        .agg(F.max_by("value", "o").alias("value"))
     )
+    tags = F.map_from_entries("entries")
+    return newest.select("metric", entries_key(F.col("entries")).alias("tags_key"), tags.alias("tags"), "ts", "is_float", "value")
 
 
 def scan(points: DataFrame, metric: str, start: int, stop: int, filters: Filters | None = None) -> DataFrame:
