@@ -82,7 +82,7 @@ def identifiers(points: DataFrame) -> DataFrame:
     A source is metric and tags; it is hashed from the sorted entries, so their order does not matter.
     """
     tags = F.col("tags")
-    entries = F.array_sort(F.map_entries(tags))
+    entries = F.sort_array(F.map_entries(tags))
     of = lambda k, c: F.struct(F.lit(k).alias("entity"), c.alias("item"))
     source = F.when(F.col("metric").isNotNull() & tags.isNotNull(), F.xxhash64(F.lit("source"), F.col("metric"), entries))
     one = F.array(

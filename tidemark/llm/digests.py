@@ -312,7 +312,7 @@ def _counts_met(points: DataFrame, found: DataFrame, qs, *, rows_per_task: int =
     parts = [f"{kind}_{c}" for kind in ("below", "upto") for c in names]
     salts = max(1, -(-points.count() // rows_per_task))
     tags = F.col("tags")
-    mark = F.xxhash64("metric", F.array_sort(F.map_entries(tags)), "ts", "float_value", "int_value")
+    mark = F.xxhash64("metric", F.sort_array(F.map_entries(tags)), "ts", "float_value", "int_value")
     rows = _expanded(points, F.pmod(mark, F.lit(salts)).cast("int").alias("salt"))
     limits = found.select(*KEYS, *names, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
