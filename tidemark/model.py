@@ -16,7 +16,7 @@ ROLLUP_DDL = "metric STRING, tags MAP<STRING,STRING>, ts INT, value FLOAT, resol
 def entries_key(entries: Column) -> Column:
     """The same of an array of (key, value) in any order."""
     entry = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))
-    return F.array_join(F.array_sort(F.transform(entries, entry)), ",")
+    return F.array_join(F.sort_array(F.transform(entries, entry)), ",")
 
 
 def tags_key(tags: str | Column = "tags") -> Column:

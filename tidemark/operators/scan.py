@@ -123,7 +123,7 @@ def last_write(points: DataFrame, *, tie: str | None = "point_id") -> DataFrame:
     order = order + F.coalesce(F.col(ties[0]).cast("long"), F.lit(-(2**63))) if ties else order
     rows = points.where(F.col("metric").isNotNull() & F.col("tags").isNotNull() & F.col("ts").isNotNull()).withColumn("value", scalar_value()).where("value is not null")
     newest = (
-        rows.select("metric", F.array_sort(F.map_entries("tags")).alias("entries"), "ts", F.col("int_value").isNull().alias("is_float"), "value", order.alias("o"))
+        rows.select("metric", F.sort_array(F.map_entries("tags")).alias("entries"), "ts", F.col("int_value").isNull().alias("is_float"), "value", order.alias("o"))
         .groupBy("metric", "entries", "ts", "is_float")
         .agg(F.max_by("value", "o").alias("value"))
     )

@@ -135,7 +135,7 @@ def drop_repeats(rows: DataFrame, keys: list[str], *, chunk_s: int = CHUNK_S) ->
 
 def pack_rows(rows: DataFrame, keys: list[str], span_s: int = 3600) -> DataFrame:
     """One row per series and time span with its points as a sorted array (bounded by the span)."""
-    return rows.withColumn("base", F.col("ts") - F.col("ts") % span_s).groupBy(*keys, "base").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("points"))
+    return rows.withColumn("base", F.col("ts") - F.col("ts") % span_s).groupBy(*keys, "base").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("points"))
 
 
 def unpack_rows(packed: DataFrame, keys: list[str]) -> DataFrame:

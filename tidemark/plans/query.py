@@ -104,14 +104,15 @@ def run(points: DataFrame, q: Query, rollups: DataFrame | None = None, *, strict
 
 def json_result(result: DataFrame) -> DataFrame:
     """One JSON object per group: ``{"metric", "tags", "dps": {ts: value}}``."""
-    dps = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("string").alias("key"), "value"))))
-    keyed = result.withColumn("_k", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("group_tags")))))
+    in_order = F.sort_array(F.collect_list(F.struct("ts", "value")))
+    dps = F.map_from_entries(F.transform(in_order, lambda p: F.struct(p["ts"].cast("string").alias("key"), p["value"].alias("value"))))
+    keyed = result.withColumn("_k", F.to_json(F.map_from_entries(F.sort_array(F.map_entries("group_tags")))))
     return keyed.groupBy("metric", "_k").agg(F.first("group_tags").alias("tags"), dps.alias("dps")).select(F.to_json(F.struct("metric", "tags", "dps")).alias("json"))
 
 
 def text_result(result: DataFrame) -> DataFrame:
     """Per group a line with its tags, then one line per point, as rows ``group, ord, line``."""
-    group = F.array_join(F.transform(F.array_sort(F.map_entries("group_tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    group = F.array_join(F.transform(F.sort_array(F.map_entries("group_tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     x = result.withColumn("group", group)
     heads = x.select("group").distinct().select("group", F.lit(-1).alias("ord"), F.col("group").alias("line"))
     return heads.unionByName(x.select("group", F.col("ts").alias("ord"), F.concat_ws(" ", F.col("ts").cast("string"), F.col("value").cast("string")).alias("line")))
