@@ -233,7 +233,8 @@ def daily_digests(points: DataFrame, *, compression: float = 600.0) -> DataFrame
     """
     rows = _expanded(points)
     parts = rows.mapInArrow(_first_pass(compression), DIGEST_DDL)
-    salts = 1 if rows.rdd.getNumPartitions() <= 512 else 32
+    # a group has at most one digest per buffer of rows; beyond some hundreds a salted level comes between
+    salts = 1 if points.count() <= 512 * BUFFER_ROWS else 32
     return merge_digests(parts, compression=compression, salts=salts)
 
 
