@@ -128,3 +128,24 @@ def test_request_served_from_rollups(spark):
     stored = rollup.roll_up(written.where("ts < 7200"), "hour").join(written.select("tags_key", "tags").dropDuplicates(["tags_key"]), "tags_key")
     q = Query("m.x", "sum", 0, 14_400, {}, 3600, "max")
     assert sorted((r.ts, r.value) for r in run(points, q, stored).collect()) == sorted((r.ts, r.value) for r in run(points, q).collect())
+
+
+def test_registered_aggregate_and_same_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import series
+
+    series.register_aggregate("range", lambda c: F.max(c) - F.min(c))
+    try:
+        assert {v for *_, v in answered(spark, aggregate="range")} == {100.0}
+    finally:
+        del series.AGGREGATES["range"]
+    df = spark.createDataFrame([(1,), (1,), (2,)], "a INT")
+    assert scan.same_rows(df, df.orderBy("a")) and not scan.same_rows(df, df.distinct())
+
+
+def test_tagged_actions(spark):
+    from tidemark.session import cancel, run_tagged
+
+    assert run_tagged(spark, "t1", lambda: spark.range(5).count()) == 5
+    assert cancel(spark, "t1") == []

@@ -147,3 +147,8 @@ def list_points(points: DataFrame) -> DataFrame:
 def to_wire(points: DataFrame) -> DataFrame:
     """Stored rows back in the ingest schema."""
     return points.select("metric", "tags", "ts", "value_type", "int_value", "float_value", "int_list", "float_list")
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Do two tables hold the same rows, counting repeats?  (Columns in the same order; no maps.)"""
+    return not a.exceptAll(b).take(1) and not b.exceptAll(a).take(1)

@@ -19,6 +19,11 @@ AGGREGATES: dict[str, Callable[[Column | str], Column]] = {"sum": F.sum, "min":
 CHUNK_S = 86400
 
 
+def register_aggregate(name: str, aggregate: Callable[[Column | str], Column]) -> None:
+    """Make a column aggregate available to downsampling, grids and requests by name."""
+    AGGREGATES[name] = aggregate
+
+
 def downsample(rows: DataFrame, keys: list[str], interval: int, aggregate: str) -> DataFrame:
     """One value per series and epoch-aligned bucket, at the bucket's centre; empty buckets are absent."""
     return rows.withColumn("ts", bucket_centre("ts", interval)).groupBy(*keys, "ts").agg(AGGREGATES[aggregate]("value").alias("value"))

@@ -46,3 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def run_tagged(spark: SparkSession, tag: str, action):
+    """Run an action under a tag; ``cancel`` from another thread ends its jobs."""
+    spark.addTag(tag)
+    try:
+        return action()
+    finally:
+        spark.removeTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> list[str]:
+    return spark.interruptTag(tag)
