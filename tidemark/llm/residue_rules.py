@@ -184,9 +184,12 @@ def filler(words: list[str]) -> bool:
     return len(plain) >= 8 and len(kinds) == 1
 
 
-@lru_cache(maxsize=100_000)
 def kind_of(segment: str) -> str:
-    """residue kind of one segment: placeholder, error, notice, sample, filler, neutral or text."""
+    """Kind of one segment: placeholder, error, notice, sample, filler, neutral or text; short ones are remembered."""
+    return _kind_of_short(segment) if len(segment) <= 500 else _kind_of(segment)
+
+
+def _kind_of(segment: str) -> str:
     bare = _TAIL.sub("", segment.replace("_", " ")).strip(" .!?…·-–—:;,()[]*#\"'")
     if MARKED.search(segment) and placeholder(segment):
         return "placeholder"
@@ -205,6 +208,9 @@ def kind_of(segment: str) -> str:
     return "text"
 
 
+_kind_of_short = lru_cache(maxsize=30_000)(_kind_of)
+
+
 def split(text: str | None) -> list[str]:
     """Segments to be judged; a JSON object with a status is one segment."""
     if not text or not text.strip():
