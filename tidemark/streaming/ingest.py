@@ -41,10 +41,10 @@ def rolling(points: DataFrame, path: str, checkpoint: str, *, resolution: str =
     """
 
     def sink(df: DataFrame, number: int) -> None:
-        days = [r.d for r in df.select(F.floor(F.col("ts") / 86400).cast("int").alias("d")).distinct().limit(10_000).collect()]
-        if not days:
-            return
-        touched = store().where(F.floor(F.col("ts") / 86400).cast("int").isin(days))
+        day = F.floor(F.col("ts") / 86400)
+        days = df.select(day.alias("d")).distinct()
+        rows = store()
+        touched = rows.join(days, F.floor(rows.ts / 86400) == days.d, "left_semi")
         out = rollup.roll_up(last_write(touched, tie=None), resolution)
         (
             out.withColumn("day", F.floor(F.col("ts") / 86400).cast("int"))
