@@ -65,6 +65,23 @@ def test_operator(spark):
     assert s["small"].used_share > 0.98
 
 
+def bins_of(got, n, capacity):
+    rows = got.collect()
+    assert sorted((r.doc_id, r.piece) for r in rows) == [(k, 0) for k in range(n)]
+    fill = {}
+    for r in rows:
+        fill[r.bin_id] = fill.get(r.bin_id, 0) + r.n_tokens
+    assert max(fill.values()) <= capacity and min(fill) >= 0
+    return fill
+
+
+@pytest.mark.parametrize("size, capacity, most", [("154", 256, 100_000), ("case when id % 50 = 0 then 20 else 154 end", 256, 98_000), ("30", 100, 33_335), ("1", 1_000_000, 1), ("0", 256, 1)])
+def test_rounds_end_when_bins_stay_open(spark, size, capacity, most):
+    packs = spark.createDataFrame([("a", capacity)], "pack_name STRING, capacity INT")
+    got = pack_texts(spark.range(100_000).selectExpr("id as doc_id", f"cast({size} as bigint) as n_tokens"), packs)
+    assert len(bins_of(got, 100_000, capacity)) <= most
+
+
 def test_empty_and_bad_input(spark):
     packs = spark.createDataFrame([("small", 256)], "pack_name STRING, capacity INT")
     nothing = spark.createDataFrame([], SIZES)

@@ -5,7 +5,9 @@ packed on its own: best fit in decreasing order gives a start, then a swap-based
 local search moves single items, exchanges one for one and two for one between
 underfull bins whenever that raises the sum of squared fills, until bins empty.
 Bins that stay underfull are opened again and their items go through further
-rounds with fewer blocks, down to one.  Each round is written to the shared folder.
+rounds with fewer blocks, down to one.  A pack whose round closes hardly any of
+its bins keeps only the emptiest ones open and halves its blocks, so that the
+rounds come to an end whatever the sizes.  Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-BINS_DDL = "pack_name STRING, capacity INT, bin_id BIGINT, doc_id BIGINT, piece INT, n_tokens INT, open BOOLEAN"
+BINS_DDL = "pack_name STRING, capacity INT, bin_id BIGINT, doc_id BIGINT, piece INT, n_tokens INT, open INT"
+#: A round is a stall if it leaves more than this share of the bins that were open before.
+STALLED = 0.9
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -121,17 +125,20 @@ def pack_items(sizes: np.ndarray, capacity: int, *, tries: int = 20_000) -> list
     return Search(sizes, best_fit(sizes, capacity), capacity).run(tries)
 
 
-def _pack_group(number: int, keep_share: float, tries: int):
+def _pack_group(base: int, keep_share: float, tries: int):
+    """Packs one block.  ``open``: 0 closed, 1 underfull, 2 underfull and at most half full or the emptiest of the block."""
+
     def pack(x: pd.DataFrame) -> pd.DataFrame:
-        capacity = int(x["capacity"].iloc[0])
+        capacity, block, last = int(x["capacity"].iloc[0]), int(x["block"].iloc[0]), int(x["blocks"].iloc[0]) == 1
         x = x.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         sizes = x["n_tokens"].to_numpy(np.int64)
         bins = pack_items(sizes, capacity, tries=tries)
-        bin_of, open_ = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        block = int(x["block"].iloc[0])
-        for k, items in enumerate(bins):
-            bin_of[items] = (number << 58) | (block << 24) | k
-            open_[items] = sizes[items].sum() < keep_share * capacity
+        fills = [int(sizes[items].sum()) for items in bins]
+        low = max(capacity // 2, min(fills))
+        bin_of, open_ = np.zeros(len(x), np.int64), np.zeros(len(x), np.int32)
+        for k, (items, fill) in enumerate(zip(bins, fills)):
+            bin_of[items] = ((base + block) << 24) | k
+            open_[items] = 0 if last or fill >= keep_share * capacity else 2 if fill <= low else 1
         return x.assign(bin_id=bin_of, open=open_)[["pack_name", "capacity", "bin_id", "doc_id", "piece", "n_tokens", "open"]]
 
     return pack
@@ -165,20 +172,33 @@ def pack_texts(
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / c).cast("int") - 1, F.lit(0)))))
         .select("k.pack_name", "k.capacity", "doc_id", "piece", F.least(F.col("n") - F.col("piece") * c, c).cast("int").alias("n_tokens"))
     )
-    left, closed, number = cut(pieces), None, 0
+    left, closed, number, base = cut(pieces), None, 0, 0
+    blocks = {r[0]: max(1, -(-r[1] // block_items)) for r in left.groupBy("pack_name").count().collect()}
+    if not blocks:
+        return sizes.sparkSession.createDataFrame([], empty)
+    opened: dict[str, int] = {}
     while True:
-        count = left.groupBy("pack_name").count().agg(F.max("count")).first()[0] or 0
-        blocks = max(1, -(-count // block_items))
+        spread = F.broadcast(sizes.sparkSession.createDataFrame(list(blocks.items()), "pack_name STRING, blocks INT"))
         packed = cut(
-            left.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(blocks)).cast("int"))
+            left.join(spread, "pack_name")
+            .withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.col("blocks")).cast("int"))
             .groupBy("pack_name", "block")
-            .applyInPandas(_pack_group(number, keep_share if blocks > 1 else 0.0, tries), BINS_DDL)
+            .applyInPandas(_pack_group(base, keep_share, tries), BINS_DDL)
         )
-        done = packed.where(~F.col("open"))
+        state = packed.where("open > 0").groupBy("pack_name").agg(F.countDistinct("bin_id"), F.count("*"), F.count_if(F.col("open") == 2)).collect()
+        stalled = {name for name, bins, *_ in state if bins > STALLED * opened.get(name, float("inf"))}
+        again = F.col("open") > F.when(F.col("pack_name").isin(*stalled), 1).otherwise(0) if stalled else F.col("open") > 0
+        done = packed.where(~again)
         closed = done if closed is None else closed.unionByName(done)
-        if blocks == 1:
+        if not state:
             return closed.select("pack_name", "bin_id", "doc_id", "piece", "n_tokens")
-        left, number = packed.where("open").drop("open", "bin_id"), number + 1
+        base, number = base + max(blocks.values()), number + 1
+        left = packed.where(again).drop("open", "bin_id")
+        opened = {name: bins for name, bins, *_ in state}
+        blocks = {
+            name: max(1, min(-(-(low if name in stalled else pieces) // block_items), blocks[name] // 2 if name in stalled else blocks[name]))
+            for name, _, pieces, low in state
+        }
 
 
 def fill_summary(bins: DataFrame, packs: DataFrame) -> DataFrame:
