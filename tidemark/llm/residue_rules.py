@@ -138,12 +138,17 @@ BOILERPLATE = re.compile(
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+| \| | / (?=\D)")
 
 
-_SIGNATURE = re.compile(r"\n--[ \t]*\n.*\Z", re.S)
+#: A line of dashes and, if one follows, a known short signature line; whatever else follows is judged like the rest.
+_SIGNATURE = re.compile(
+    r"\n--[ \t]*(?=\n)(?:\n[ \t]*(?:(?:sent from my|gesendet von|envoyé de|enviado desde) [^\W_]+(?: [^\W_]+)?|(?:ps\W{0,2})?photo follows|\d{1,2}/\d{1,2}"
+    r"|size \d[\d.,]*(?:, \w{1,12} \d[\d.,]* ?(?:mm|cm|m|kg|g))*)[ \t.!:)]{0,4}(?=\n|\Z))?",
+    re.I,
+)
 _SPACES = re.compile(r"[ \t\r\f\v]+")
 
 
 def prepared(text: str, *, mask: bool = False) -> str:
-    """Cleaned text without markup and signature; tags become line breaks, runs of blanks one; ``mask``: quotes emptied."""
+    """Cleaned text without markup and known signature lines; tags become line breaks, runs of blanks one; ``mask``: quotes emptied."""
     text = clean(text)
     text = masked(text) if mask else text
     text = _SIGNATURE.sub("\n", _TAG.sub("\n", _SPECIAL.sub(" ", text)))
