@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -95,3 +96,38 @@ def test_work_survives_failures_without_loss_or_repeat(spark, tmp_path):
     assert ledger.process("w", base, build) == ["y", "z"]
     assert ledger.process("w", base, build) == []
     assert sorted((r.name, r.k) for r in ledger.finished_output(spark, base).collect()) == [(i, k) for i in "xyz" for k in range(3)]
+
+
+def test_a_stale_writer_leaves_the_output_of_the_other_alone(spark, tmp_path):
+    now, base = [1000], f"{tmp_path}/out"
+    ledger = WorkLedger(spark, f"{tmp_path}/l", lease_ms=60_000, clock=lambda: now[0])
+    other = WorkLedger(spark, f"{tmp_path}/l", lease_ms=60_000, clock=lambda: now[0])
+    ledger.add(["x"])
+    rows = lambda name: spark.createDataFrame([(name, k) for k in range(3)], "name STRING, k INT")
+
+    def slow(item):  # outlives its lease; meanwhile another worker does the item, and then this one writes
+        now[0] += 100_000
+        assert other.process("b", base, lambda item: rows("b")) == ["x"]
+        return rows("a")
+
+    with pytest.raises(StaleWriter):
+        ledger.process("a", base, slow)
+    assert ledger.state("x")[0] == "done"
+    assert sorted((r.name, r.k) for r in ledger.finished_output(spark, base).collect()) == [("b", k) for k in range(3)]
+    assert ledger.process("a", base, lambda item: rows("c")) == []
+
+
+def test_a_long_write_keeps_its_lease(spark, tmp_path):
+    ledger, base, taken = WorkLedger(spark, f"{tmp_path}/l", lease_ms=1500), f"{tmp_path}/out", []
+    ledger.add(["x"])
+
+    def slow(item):
+        time.sleep(4)
+        taken.append(ledger.lease("x", "b"))
+        return spark.range(3).toDF("k")
+
+    assert ledger.process("a", base, slow) == ["x"] and taken == [None]
+    ledger.add(["y"])
+    assert ledger.lease("y", "a") == 1 and open(f"{tmp_path}/l/y/2.json", "w").close() is None
+    assert ledger.state("y") == ("leased", 2)  # a renewal not yet written out frees nothing
+    assert sorted(r.k for r in ledger.finished_output(spark, base).collect()) == [0, 1, 2]

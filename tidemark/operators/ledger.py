@@ -4,13 +4,15 @@ Two parts.  ``fold_log`` and ``messages_to_load`` read the log of earlier runs:
 every (run, topic, partition) is a work item whose state follows from its last log
 entry, and the messages outside all ranges that are done are still to be loaded.
 ``WorkLedger`` keeps the items of our own runs in a shared folder: pending, leased
-and done, with leases that expire, fencing tokens that reject writers whose lease
-has passed to another, and output paths that depend on the item alone.
+and done, with leases that expire and are renewed during writes, fencing tokens that reject
+writers whose lease has passed to another, and one output path for each token, of
+which the state ``done`` records the one to read.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable
 
@@ -141,7 +143,13 @@ class WorkLedger:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return json.loads(text) if text else {"state": "pending", "until": 0}
+        return json.loads(text) if text else {}
+
+    def _last(self, item: str) -> tuple[dict, int]:
+        """The last complete state and the newest token; a file still empty (being written, or of a crash) is no state."""
+        tokens = self._states(item)
+        entry = next((e for t in reversed(tokens) if (e := self._read(item, t))), {"state": "pending", "until": 0})
+        return entry, tokens[-1] if tokens else -1
 
     def _write(self, item: str, token: int, entry: dict) -> bool:
         path = self._path(f"{self.folder}/{item}/{token}.json")
@@ -165,13 +173,10 @@ class WorkLedger:
 
     def state(self, item: str) -> tuple[str, int]:
         """(pending, leased or done; newest token).  An expired lease reads as pending."""
-        tokens = self._states(item)
-        if not tokens:
-            return "pending", -1
-        entry = self._read(item, tokens[-1])
+        entry, token = self._last(item)
         if entry["state"] == "leased" and entry["until"] < self.clock():
-            return "pending", tokens[-1]
-        return entry["state"], tokens[-1]
+            return "pending", token
+        return entry["state"], token
 
     def lease(self, item: str, worker: str) -> int | None:
         """Take a pending item; the fencing token, or None if it isn't pending or another was first."""
@@ -181,12 +186,24 @@ class WorkLedger:
         entry = {"state": "leased", "worker": worker, "until": self.clock() + self.lease_ms}
         return token + 1 if self._write(item, token + 1, entry) else None
 
-    def finish(self, item: str, token: int) -> None:
-        """Mark as done; raises StaleWriter unless ``token`` is the item's newest lease."""
+    def renew(self, item: str, token: int) -> int:
+        """Extend a lease; the new fencing token, which replaces ``token``.  StaleWriter if it isn't the newest lease."""
+        entry = self._leased(item, token) | {"until": self.clock() + self.lease_ms}
+        if not self._write(item, token + 1, entry):
+            raise StaleWriter(f"{item}: token {token} was overtaken")
+        return token + 1
+
+    def _leased(self, item: str, token: int) -> dict:
         tokens = self._states(item)
-        if not tokens or tokens[-1] != token or self._read(item, token)["state"] != "leased":
+        entry = self._read(item, token) if tokens and tokens[-1] == token else {}
+        if entry.get("state") != "leased":
             raise StaleWriter(f"{item}: token {token}, newest {tokens[-1] if tokens else None}")
-        if not self._write(item, token + 1, {"state": "done", "until": 0}):
+        return entry
+
+    def finish(self, item: str, token: int, path: str | None = None) -> None:
+        """Mark as done with its output ``path``; raises StaleWriter unless ``token`` is the item's newest lease."""
+        self._leased(item, token)
+        if not self._write(item, token + 1, {"state": "done", "until": 0, "path": path}):
             raise StaleWriter(f"{item}: token {token} was overtaken")
 
     def release(self, item: str, token: int) -> None:
@@ -194,28 +211,63 @@ class WorkLedger:
         if self._states(item)[-1:] != [token] or not self._write(item, token + 1, {"state": "pending", "until": 0}):
             raise StaleWriter(f"{item}: token {token}")
 
-    def output_path(self, base: str, item: str) -> str:
-        """Where an item's output goes: the same path for every attempt, so that a retry replaces."""
-        return f"{base.rstrip('/')}/item={item}"
+    def output_path(self, base: str, item: str, token: int) -> str:
+        """Where the attempt that took ``token`` writes: a path of its own, so that no attempt touches another's files."""
+        return f"{base.rstrip('/')}/item={item}/token={token}"
 
     def process(self, worker: str, base: str, build: Callable[[str], DataFrame]) -> list[str]:
-        """Lease every pending item, write its output and mark it as done; the items done here."""
+        """Lease every pending item, write its output and mark it as done; the items done here.
+
+        The lease is renewed every third of its time while the output is written.
+        """
         ended = []
         for item in self.items():
             if (token := self.lease(item, worker)) is None:
                 continue
+            path = self.output_path(base, item, token)
+            keeper = _Keeper(self, item, token)
             try:
-                build(item).write.mode("overwrite").parquet(self.output_path(base, item))
+                with keeper:
+                    build(item).write.mode("overwrite").parquet(path)
             except Exception:
-                self.release(item, token)
+                self.release(item, keeper.token)
                 raise
-            self.finish(item, token)
+            self.finish(item, keeper.token, path)
             ended.append(item)
         return ended
 
     def finished_output(self, spark: SparkSession, base: str) -> DataFrame | None:
-        """Output of the done items only; what a failed attempt left behind is not read."""
-        paths = [self.output_path(base, i) for i in self.items() if self.state(i)[0] == "done"]
+        """Output of the done items only, from the paths they record; what other attempts left behind is not read."""
+        paths = []
+        for item in self.items():
+            entry, _ = self._last(item)
+            if entry["state"] == "done":
+                # items done before paths were recorded lie in the item's own folder
+                paths.append(entry.get("path") or f"{base.rstrip('/')}/item={item}")
         return spark.read.parquet(*paths) if paths else None
 
 
+class _Keeper:
+    """Renews a lease from a thread of its own until the block ends; ``token`` is the newest one taken."""
+
+    def __init__(self, ledger: WorkLedger, item: str, token: int):
+        self.ledger, self.item, self.token = ledger, item, token
+        self._end = threading.Event()
+        self._thread = threading.Thread(target=self._run, daemon=True)
+
+    def _run(self) -> None:
+        while not self._end.wait(self.ledger.lease_ms / 3000):
+            try:
+                self.token = self.ledger.renew(self.item, self.token)
+            except StaleWriter:  # finish() with this token fails as well
+                return
+            except Exception:  # the folder could not be reached: the next turn tries again
+                continue
+
+    def __enter__(self) -> _Keeper:
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._end.set()
+        self._thread.join()
