@@ -79,6 +79,21 @@ def test_certified_errors_are_the_true_ones(spark, sent):
         assert worst * len(v) <= 0.01 * len(v) + 1
 
 
+def test_copies_of_one_point_are_spread_over_the_parts(spark, monkeypatch):
+    copy = {"metric": "m", "tags": {"dc": "x"}, "ts": 10, "float_value": 1.5}
+    df = frame(spark, [copy] * 4000 + [copy | {"ts": k, "float_value": float(k)} for k in range(8000)])
+    daily = D.daily_digests(df)
+    found = D.estimates(daily.unionByName(D.over_all_days(daily)))
+    made, expanded = [], D._expanded
+    monkeypatch.setattr(D, "_expanded", lambda *a: made.append(expanded(*a)) or made[-1])
+    counts = D._counts_met(df, found, D.QUANTILES, rows_per_task=1000).where("dim = 'all' and field = 'float' and day is null").collect()
+    sizes = [r["count"] for r in made[0].groupBy("salt").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 1300
+    v = sorted([1.5] * 4000 + [float(k) for k in range(8000)])
+    p50 = found.where("dim = 'all' and field = 'float' and day is null").first().p50
+    assert [(r.below_p50, r.upto_p50) for r in counts] == [(bisect_left(v, p50), bisect_right(v, p50))]
+
+
 def test_digests_merge_in_any_split(spark):
     data = [{"metric": "m", "tags": {"dc": "x"}, "ts": k % 3 * 86400, "float_value": float(np.float32(np.sin(k) * 1e6))} for k in range(6000)]
     df = frame(spark, data)

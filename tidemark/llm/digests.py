@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import cut
@@ -303,6 +303,13 @@ def _counts_sent(points: DataFrame, found: DataFrame, qs) -> DataFrame:
     return keys.join(summed, "g", "left").drop("g").na.fill(0, parts)
 
 
+def _salt(points: DataFrame, salts: int) -> Column:
+    """Part of a row, from its content and, where there is one, its point_id: copies of one point are spread too."""
+    unique = ["point_id"] if "point_id" in points.columns else []
+    mark = F.xxhash64(*unique, "metric", F.sort_array(F.map_entries(F.col("tags"))), "ts", "float_value", "int_value")
+    return F.pmod(mark, F.lit(salts)).cast("int")
+
+
 def _counts_met(points: DataFrame, found: DataFrame, qs, *, rows_per_task: int = 500_000) -> DataFrame:
     """Counting pass for any number of groups: rows and estimates of a metric meet in salted parts.
 
@@ -312,9 +319,7 @@ def _counts_met(points: DataFrame, found: DataFrame, qs, *, rows_per_task: int =
     names = [percent_name(q) for q in qs]
     parts = [f"{kind}_{c}" for kind in ("below", "upto") for c in names]
     salts = max(1, -(-points.count() // rows_per_task))
-    tags = F.col("tags")
-    mark = F.xxhash64("metric", F.sort_array(F.map_entries(tags)), "ts", "float_value", "int_value")
-    rows = _expanded(points, F.pmod(mark, F.lit(salts)).cast("int").alias("salt"))
+    rows = _expanded(points, _salt(points, salts).alias("salt"))
     limits = found.select(*KEYS, *names, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
