@@ -94,6 +94,17 @@ def test_operator_defined_cases(spark):
     assert M.judge_texts(df.limit(0)).collect() == []
 
 
+def test_long_segments_are_not_cut_within_a_placeholder():
+    w = M.train([t for _, t, _ in corpus(1500, 1)])
+    words = " ".join(WORDS) * 12
+    texts = [f"{words[:n]} I'd order the {{{{item}}}} again tomorrow {words[:900]}" for n in range(360, 400)]
+    assert all(found for _, found in M.Judge(w).verdicts(texts))
+    mention = f"{words[:340]} on my printed label template stands {{{{item}}}} again tomorrow {words[:900]}"
+    assert not M.Judge(w).verdicts([mention])[0][1]
+    for text in (words[:3000], "x" * 3000, texts[5], "%s" * 900):
+        assert "".join(p for p, _ in R.pieces(text, 400)) == text and all(len(p) <= 400 for p, _ in R.pieces(text, 400))
+
+
 def test_features_do_not_depend_on_the_batch():
     texts = ["One text here.", "x", "日本", "404 not found 12345678"]
     w = M.train(["Fine lamp.", "HTTP 404 Not Found."])

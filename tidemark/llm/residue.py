@@ -29,7 +29,7 @@ AROUND = 16  # characters on either side of a placeholder that tell its use
 SLOT_AT = 0.25  # score from which a placeholder in a value's place counts, as its delimiters are checked
 STRAY = 0.25  # share of a text's characters that may be misspelt beyond recognition
 UNNAMED_AT = 0.7  # score of a text in which no phrase of the rules is found, misspelt ones mostly
-CUT_CHARS = 400  # longer segments are judged piece by piece, never cut off
+CUT_CHARS = 400  # longer segments are judged piece by piece, never cut off nor within a match of the rules
 
 
 def features(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,23 +180,24 @@ class Judge:
 
     def verdicts(self, texts: list[str | None]) -> list[tuple[float, bool]]:
         """(score, found) of each text."""
-        cut = [[s for s in rules.split(t) if rules.kind_of(s) != "neutral"] for t in texts]
-        for parts in cut:
-            for k, s in enumerate(parts):
-                if len(s) > CUT_CHARS:
-                    parts[k : k + 1] = [s[i : i + CUT_CHARS] for i in range(0, len(s), CUT_CHARS)]
+        cut, kinds = [], []
+        for text in texts:
+            judged = [(s, kind) for s in rules.split(text) if (kind := rules.kind_of(s)) != "neutral"]
+            judged = [p for s, kind in judged for p in (rules.pieces(s, CUT_CHARS) if len(s) > CUT_CHARS else [(s, kind)])]
+            cut.append([s for s, _ in judged])
+            kinds.append([kind for _, kind in judged])
         fresh = list({s for parts in cut for s in parts if s not in self.known})
         self.known.update(zip(fresh, score(self.w, [holed(s) for s in fresh]).tolist()))
         out = []
-        for text, parts in zip(texts, cut):
+        for text, parts, kind in zip(texts, cut, kinds):
             if not parts:
                 out.append((0.0, False))
                 continue
             p = [self.known[s] for s in parts]
-            slot = max((q for q, s in zip(p, parts) if q >= SLOT_AT and rules.kind_of(s) == "placeholder"), default=0.0)
+            slot = max((q for q, k in zip(p, kind) if q >= SLOT_AT and k == "placeholder"), default=0.0)
             size = sum(map(len, parts))
             mean = sum(q * len(s) for q, s in zip(p, parts)) / size
-            named = any(rules.kind_of(s) != "text" for s in parts)
+            named = any(k != "text" for k in kind)
             stray = sum(len(s) for q, s in zip(p, parts) if q < self.at) / size
             residue = (stray == 0 and (named or mean >= UNNAMED_AT)) or (named and stray < STRAY and mean >= 0.7)
             residue = residue or (mean >= self.at and rules.filler(rules.all_words(text)))

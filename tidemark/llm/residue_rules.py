@@ -237,6 +237,37 @@ def split(text: str | None) -> list[str]:
     return out
 
 
+_WHOLE = (PLACEHOLDER, FAILED, _ADJECTIVE, ERROR, NOTICE, SAMPLE)
+_REACH = 100  # the longest match of these patterns that is kept in one piece, about
+
+
+def pieces(segment: str, size: int) -> list[tuple[str, str]]:
+    """(piece, kind): parts of at most ``size`` characters, cut at blanks where there are some and outside matches of the rules.
+
+    A placeholder is merely mentioned if the wording within half of ``size`` on either side of it says so, cut or not.
+    """
+    out, lo = [], 0
+    while lo < len(segment):
+        hi = lo + size
+        if hi < len(segment):
+            first = max(lo, hi - 2 * _REACH)
+            window = segment[first : hi + _REACH]
+            inside = {first + k for pattern in _WHOLE for m in pattern.finditer(window) for k in range(m.start() + 1, m.end())}
+            free = [k for k in range(hi, max(lo, hi - _REACH), -1) if k not in inside]
+            blank = [k for k in free if segment[k - 1].isspace() and not segment[k].isdigit()]
+            hi = (blank or free or [hi])[0]
+        part = segment[lo:hi]
+        kind = kind_of(part)
+        if kind == "placeholder" and len(part) < len(segment):
+            at = lo + (PLACEHOLDER.search(part) or FAILED.search(part)).start()
+            around = segment[max(0, at - size // 2) : at + size // 2]
+            kind = "text" if _MENTION.search(PLACEHOLDER.sub(" ", around)) else kind
+        if part.strip():
+            out.append((part, kind))
+        lo = hi
+    return out
+
+
 def all_words(text: str) -> list[str]:
     return WORD.findall(prepared(text, mask=True).replace("_", " ").lower())
 
