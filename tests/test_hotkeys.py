@@ -1,9 +1,12 @@
+import math
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 from tests.points import frame
 from tidemark.operators.hotkeys import dense_totals, heavy_keys
+from tidemark.queries import problems
 
 
 def brute(rows):
@@ -43,3 +46,22 @@ def test_heavy_keys(spark):
     rows = [{"metric": "a" if i < 6 else f"m{i}", "tags": {"x": "1", "y": "2"} if i < 50 else ({"x": "1"} if i < 90 else None)} for i in range(99)] + [{"metric": None, "tags": {}}]
     assert {tuple(r) for r in heavy_keys(frame(spark, rows)).collect()} == {("metric", "a"), ("name", "x"), ("name", "y")}
     assert heavy_keys(frame(spark, [])).collect() == []
+
+
+def test_sums_and_sources_of_all_keys(spark, small):
+    points = pq.read_table(f"{small}/points.parquet", columns=["metric", "tags", "int_value", "float_value"]).to_pylist()
+    by_metric, by_tag, sources = {}, {}, {}
+    for p in points:
+        v = p["float_value"] if p["int_value"] is None else float(p["int_value"])
+        names = {k for k, _ in p["tags"] or []}
+        for into, keys in ((by_metric, {p["metric"]} - {None}), (by_tag, names)):
+            for k in keys:
+                into.setdefault(k, []).extend([] if v is None else [v])
+        if p["metric"] is not None and p["tags"] is not None:
+            for k in names:
+                sources.setdefault(k, set()).add((p["metric"], tuple(sorted((a, b or "") for a, b in p["tags"]))))
+    for query, want in ((problems.p2_metric_sums, by_metric), (problems.p2_tag_sums, by_tag)):
+        got = {r.key_name: r for r in query(spark, small).collect()}
+        assert got.keys() == want.keys() and all(got[k].n_values == len(v) for k, v in want.items())
+        assert all(got[k].total == (pytest.approx(math.fsum(v), rel=1e-9) if v else None) for k, v in want.items())
+    assert {r.key_name: r.n_sources for r in problems.p2_tag_sources(spark, small).collect()} == {k: len(v) for k, v in sources.items()}

@@ -54,6 +54,26 @@ def p2_metric_sources(spark: SparkSession, d: str) -> DataFrame:
     return hotkeys.dense_totals(pairs, "metric").select(F.col("key").alias("key_name"), F.col("n_rows").alias("n_sources"))
 
 
+def p2_tag_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct sources per tag name: one row per source first, so no name is long."""
+    sources = table(spark, d, "points").select(series_key().alias("k"), F.array_sort(F.map_keys("tags")).alias("names")).where("k is not null").distinct()
+    return hotkeys.dense_totals(sources, "names").select(F.col("key").alias("key_name"), F.col("n_rows").alias("n_sources"))
+
+
+def _sums(points: DataFrame, key) -> DataFrame:
+    totals = hotkeys.dense_totals(points.select(key.alias("key"), scalar_value().alias("value")), "key", value="value")
+    return totals.where(F.col("key").isNotNull()).select(F.col("key").alias("key_name"), "n_values", F.when(F.col("n_values") > 0, F.col("total")).alias("total"))
+
+
+def p2_metric_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Sums per metric; without SQL, as the last digits of a sum depend on its order."""
+    return _sums(table(spark, d, "points"), F.col("metric"))
+
+
+def p2_tag_sums(spark: SparkSession, d: str) -> DataFrame:
+    return _sums(table(spark, d, "points"), F.map_keys("tags"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.flag_readings(table(spark, d, "points"), table(spark, d, "metric_catalog")).select("point_id")
 
@@ -91,7 +111,7 @@ def p6_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_metric_totals, p2_tag_totals, p2_metric_sources, p3_found, p3_impossible,
+    p2_found, p2_metric_totals, p2_tag_totals, p2_metric_sources, p2_tag_sources, p2_metric_sums, p2_tag_sums, p3_found, p3_impossible,
     p4_found, p4_items, p6_found, p6_grid, p6_counters,
 )}
 
@@ -121,6 +141,7 @@ UNION ALL SELECT 'name', k FROM e WHERE n * 100 >= 6 * (SELECT sum(n) FROM e)"""
     "p2_metric_totals": _TOTALS_SQL.format(rows=f"SELECT metric AS key_name, {SQL_VALUE} AS v, ts, point_id FROM points"),
     "p2_tag_totals": _TOTALS_SQL.format(rows=f"SELECT unnest(map_keys(tags)) AS key_name, {SQL_VALUE} AS v, ts, point_id FROM points"),
     "p2_metric_sources": f"SELECT metric AS key_name, count(DISTINCT {SQL_KEY}) AS n_sources FROM points WHERE metric IS NOT NULL AND tags IS NOT NULL GROUP BY 1",
+    "p2_tag_sources": f"SELECT key_name, count(DISTINCT k) AS n_sources FROM (SELECT unnest(map_keys(tags)) AS key_name, {SQL_KEY} AS k FROM points WHERE metric IS NOT NULL AND tags IS NOT NULL) GROUP BY 1",
     "p3_impossible": f"""
 SELECT point_id FROM points p JOIN metric_catalog c ON p.metric = c.metric
 WHERE c.step_s > 0 AND tags IS NOT NULL AND ({SQL_VALUE} < lowest OR {SQL_VALUE} > highest)""",
