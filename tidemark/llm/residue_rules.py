@@ -1,7 +1,8 @@
-"""Phrase rules for texts that are no content: weak labels for training and the exact check after scoring.
+"""Preparing texts, the delimiters of placeholders, and phrase rules that give weak labels for training.
 
-The word lists and patterns are fixed values: general wording of unfilled
-placeholders, filler, HTTP errors and script notices in the languages of the corpus.
+Only ``prepared``, ``holes`` and ``split`` take part in judging a text; the phrases
+label the training sample and nothing else.  They are fixed values: general wording
+of filler, HTTP errors and script notices in the languages of the corpus.
 """
 
 from __future__ import annotations
@@ -39,26 +40,29 @@ def _repaired(part: str) -> str:
 
 
 #: Quoted spans: what is quoted is mentioned, not meant.
-QUOTED = re.compile('"[^"\n]{1,400}"|“[^”]{1,400}”|„[^“”"]{1,400}[“”"]|«[^»]{1,400}»|「[^」]{1,400}」|『[^』]{1,400}』')
+QUOTED = re.compile('"[^"\n]+"|“[^“”]+”|„[^„“”"]+[“”"]|«[^«»]+»|「[^「」]+」|『[^『』]+』')
+_TITLE = re.compile(r"<(?:title|h1)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?(?:p|div|br|html|head|title|body|h[1-6]|noscript|span|b|i|em|strong|ul|li|s|center|hr|script|style)\b[^<>]*/?>", re.I)
 #: Special tokens of tokenizers are ordinary text.
 _SPECIAL = re.compile(r"<\|\w+\|>|</?s>|<(?:unk|pad|mask|bos|eos|cls|sep)>|\[(?:UNK|PAD|MASK|CLS|SEP|BOS|EOS|INST)\]|\[/INST\]|<<SYS>>|<</SYS>>|<start_of_turn>|<end_of_turn>|<0x[0-9A-F]{2}>")
 
-_NAME = r"(?!ref\b|update\b|edit\b|sic\b)[^\W\d][\w.!'-]{0,24}(?: {1,3}[\w.!'-]{1,24}){0,2}"
-#: Delimiters of template languages around a field name.
+_NAME = r"(?!ref\b|update\b|edit\b|sic\b)[^\W\d][\w.!'-]*(?: {1,3}[\w.!'-]+){0,2}"
+#: Delimiters of template languages around a field name, of any length.
 PLACEHOLDER = re.compile(
-    r"\{\{\{?\s*[#/&^>]?\s*[^{}\n]{1,40}\}\}\}?"
-    r"|\{%-?[^%\n]{1,40}-?%\}|<%[=-]?[^%\n]{1,40}%>|\$\{[^{}\n]{1,40}\}|#\{[^{}\n]{1,40}\}"
-    r"|@@[^@\n]{1,40}@@|##[^#\n]{1,40}##|\[\[[^\[\]\n]{1,40}\]\]|<<[^<>\n]{1,40}>>|\*\|[^|\n]{1,40}\|\*"
+    r"\{\{\{?[^{}\n]+\}\}\}?"
+    r"|\{%-?[^%\n]+-?%\}|<%[=-]?[^%\n]+%>|\$\{[^{}\n]+\}|#\{[^{}\n]+\}"
+    r"|@@[^@\n]+@@|##[^#\n]+##|\[\[[^\[\]\n]+\]\]|<<[^<>\n]+>>|\*\|[^|\n]+\|\*"
     rf"|\{{(?:{_NAME}|\d)\}}|\[{_NAME}\]|<(?!/){_NAME}>|\|{_NAME}\||(?<![\w$])\${_NAME}\$(?!\w)|(?<![\w%])%{_NAME}%(?!\w)"
-    r"|(?<![\w:]):[a-z][a-z_.]{2,30}:(?![\w:])"
-    r"|(?<!\w)__[^\W_](?:[\w. ]{0,38}?[^\W_])?__(?!\w)|(?<![\w%])%[sd](?![\w%])|(?<!_)_{4,}(?!_)",
+    r"|(?<![\w:]):[a-z][a-z_.]{2,}:(?![\w:])"
+    r"|(?<!\w)__[^\W_](?:[\w. ]*?[^\W_])?__(?!\w)|(?<![\w%])%(?:\d\$|\([\w. ]+\))?[sd](?![A-Za-z0-9%])|\{{1,3}\s*\}{1,3}|(?<!_)_{4,}(?!_)",
 )
-FAILED = re.compile(r"\b(?:undefined|UNDEFINED|Undefined|null|NULL|NaN|NAN)\b|\[object Object\]|<no value>|#(?:REF|N/A|VALUE|NAME\?)!?")
+FAILED = re.compile(r"(?<![A-Za-z0-9_])(?:undefined|UNDEFINED|Undefined|null|NULL|NaN|NAN)(?![A-Za-z0-9_])|\[object Object\]|<no value>|#(?:REF|N/A|VALUE|NAME\?)!?")
+HOLE = "\ue000"  # stands for a placeholder
+TITLE = "\ue001"  # stands before the text of a title or first heading
 #: A failed value followed by a common noun is an adjective ("the undefined shape of").
-_ADJECTIVE = re.compile(r"\b(?:undefined|null)\s+(?:shape|form|size|value|result|hypothesis|and void|area|feeling|purpose|state|behaviou?r|edges?|colou?r of)\b", re.I)
+ADJECTIVE = re.compile(rf"{HOLE}\s+(?:shape|form|size|value|result|hypothesis|and void|area|feeling|purpose|state|behaviou?r|edges?|colou?r of)\b", re.I)
 #: Sentences that speak of brackets, labels or templates mention a placeholder.
-_MENTION = re.compile(
+MENTION = re.compile(
     r"\bbrackets\b|\bprint(?:ed|s)?\b|\btemplate\b|\bimpres[oa]\b|\bmuster\w*etikett|\bmention\b|\bvorgedruckt\b|\bstampat[oa]\b|\bsegnaposto\b|напечатан|印字|印刷"
     r"|\b(?:as|comme|como|come|als) (?:an? )?(?:example|exemple|ejemplo|esempio|beispiel)\b",
     re.I,
@@ -82,10 +86,9 @@ ERROR = re.compile(
 )
 MARKED = re.compile(r"[{}<>\[\]@#|$%]|__|:\w|undefined|null|NaN|NULL|UNDEFINED|Undefined|NAN")
 STATUS_NUMBER = re.compile(rf"(?<![\d,.-]){_STATUS}(?![\d,.-])")
-WORD = re.compile(r"\w+")
-_JSON_STATUS = re.compile(rf":\s*{_STATUS}\b")
+WORD = re.compile(r"[^\W_]+")
+_OBJECT = re.compile(r'\{\s*"[^"{}]+"\s*:[^{}]*\}')
 _TAIL = re.compile(r"[\s(]+\d{2,}\)?\s*$")
-_JSON_ERROR = re.compile(r'^\W{0,3}\{\s*"[^"]{1,20}"\s*:.{0,400}\}\W*$', re.S)
 _TRACE = re.compile(r"\b\w+(?:Exception|Error)\b\s*:|\bat [\w.$]+\(|Traceback \(most recent|, line \d+", re.I)
 
 _SCRIPT = r"(?:java\s?script|\bjs\b|(?:client-side )?script(?:s|ing)\b|skripte?|скрипт\w*|スクリプト|cookies)"
@@ -104,174 +107,129 @@ NOTICE = re.compile(
 _PERSONAL = re.compile(
     r"\b(?:i|me|my|their shop|asked me|j'ai|il a fallu|tuve que|ho dovuto|mi ha|musste|ich|wollte|asked|пришлось|мне)\b.{0,40}" + _SCRIPT, re.I
 )
-
 #: Wording of texts that were never written.
 SAMPLE = re.compile(
-    r"text goes here|insert text|your (?:review|text|comment) here|to be (?:written|done|added)|\bplaceholder\b|test review|please ignore|sample (?:review|text|comment)|dummy (?:content|text|review)|review body|example (?:comment|review|text)|lorem ipsum"
-    r"|blindtext|platzhalter|mustertext|beispieltext|text folgt|nur ein test|hier steht ihre|ihre bewertung hier|testbewertung"
-    r"|votre avis ici|texte d.exemple|texte à venir|faux texte|avis de test|texte de (?:test|remplissage)|à rédiger|exemple d.avis"
-    r"|texto de (?:ejemplo|relleno|prueba)|escriba aquí|reseña de prueba|pendiente de redactar|su opinión aquí"
-    r"|testo (?:di (?:prova|esempio)|segnaposto|fittizio)|la tua recensione|recensione di prova|da scrivere|scrivi qui|solo una prova"
-    r"|текст отзыва|здесь будет|пример текста|тестовый отзыв|образец|заполнитель|рыба-текст|текст-рыба"
-    r"|サンプルテキスト|ダミー|ここに.{0,12}(?:入力|書|レビュー|本文)|テスト(?:投稿|レビュー)|仮(?:の)?(?:テキスト|文)|レビュー本文|文章が入ります",
-    re.I,
-)
-#: The invented Latin of filler text (fixed values).
-LATIN = frozenset(
-    "amet caradis cursim dictu dolor eget elaris fringo hendra ipsum lacunis lorem maurit molenda nec nulum ornare phares portam "
-    "pravit quonda sed semperis sit sodal tempus turpem ultra velis vestum vitrae adipiscing aliqua consectetur dolore eiusmod elit "
-    "incididunt labore magna tempor ut".split()
-)
-#: Keys struck at random and words typed to fill a box (fixed values).
-MASH = frozenset(
-    "asdf asd asdfg asdfgh qwer qwert qwerty zxcv zxc yxcv hjkl jkl fghj dfgh uiop sdfg aaaa aaa bbbb xxx xxxx qqq qqqq zzz abc abcd xyz "
-    "1234 123 12345 test tset testing bla blah blabla foo bar lorem word wort mot palabra parola слово text texte texto testo review avis "
-    "reseña recensione bewertung отзыв тест текст dummy sample テスト あああ".split()
-)
-#: What surrounds such texts without being content.
-BOILERPLATE = re.compile(
-    r"^(?:loading(?: reviews?)?|skip to content|read more|need help|see our guide|© ?all rights reserved|all rights reserved|please wait|menu|"
-    r"home|sent from my \w+|hi|hello|ps|photo follows|gesendet von .*|envoyé de .*|enviado desde .*|edit|ok|ref \w+)$",
+    r"text goes here|insert text|your (?:review|text|comment) here|to be (?:written|done|added)|\bplaceholder\b|test review|sample (?:review|text|comment)|dummy (?:content|text|review)|example (?:comment|review|text)|lorem ipsum"
+    r"|blindtext|platzhalter|mustertext|beispieltext|text folgt|nur ein test|testbewertung|ihre bewertung hier"
+    r"|votre avis ici|texte d.exemple|texte à venir|faux texte|avis de test|texte de (?:test|remplissage)|à rédiger"
+    r"|texto de (?:ejemplo|relleno|prueba)|escriba aquí|reseña de prueba|su opinión aquí|pendiente de redactar"
+    r"|testo (?:di (?:prova|esempio)|segnaposto|fittizio)|recensione di prova|scrivi qui|solo una prova|da scrivere|la tua recensione qui"
+    r"|пример текста|здесь будет ваш отзыв|тестовый отзыв|образец|заполнитель|рыба-текст|текст-рыба"
+    r"|サンプルテキスト|ダミー|ここに.{0,12}(?:入力|書)|テスト(?:投稿|レビュー)|文章が入ります",
     re.I,
 )
-
+#: Words of the customary Latin filler that no living language uses (fixed values).
+LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing eiusmod tempor incididunt aliqua veniam nostrud ullamco laboris commodo consequat".split())
+#: Rows of keys and the alphabets: words along them are typed to fill a box (fixed values).
+ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "yxcvbnm", "abcdefghijklmnopqrstuvwxyz", "1234567890")
+_STEPS = frozenset(a + b for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:]))
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+| \| | / (?=\D)")
-
-
-#: A line of dashes and, if one follows, a known short signature line; whatever else follows is judged like the rest.
-_SIGNATURE = re.compile(
-    r"\n--[ \t]*(?=\n)(?:\n[ \t]*(?:(?:sent from my|gesendet von|envoyé de|enviado desde) [^\W_]+(?: [^\W_]+)?|(?:ps\W{0,2})?photo follows|\d{1,2}/\d{1,2}"
-    r"|size \d[\d.,]*(?:, \w{1,12} \d[\d.,]* ?(?:mm|cm|m|kg|g))*)[ \t.!:)]{0,4}(?=\n|\Z))?",
-    re.I,
-)
 _SPACES = re.compile(r"[ \t\r\f\v]+")
+_NUMBERED = re.compile(r"\w*\d[\w.,:/-]*")
+_DIGITS = re.compile(r"(?<=\D)\d+$")
+
 
+def prepared(text: str) -> str:
+    """Cleaned text: what is quoted emptied, tags as line breaks, titles marked, placeholders as one character each.
 
-def prepared(text: str, *, mask: bool = False) -> str:
-    """Cleaned text without markup and known signature lines; tags become line breaks, runs of blanks one; ``mask``: quotes emptied."""
+    The strings of JSON objects are no quotes.
+    """
     text = clean(text)
-    text = masked(text) if mask else text
-    text = _SIGNATURE.sub("\n", _TAG.sub("\n", _SPECIAL.sub(" ", text)))
-    return _SPACES.sub(" ", text)
+    if "<" in text or "[" in text:
+        text = _TAG.sub("\n", _TITLE.sub(f"\n{TITLE}", _SPECIAL.sub(" ", text)))
+    bare = text.strip()
+    if bare[:1] in "[{" and bare[-1:] in "]}" and '"' in bare and ":" in bare:
+        text = text.replace('"', "")
+    else:
+        text = _OBJECT.sub(lambda m: m.group().replace('"', ""), text) if "{" in text else text
+        text = QUOTED.sub(' "" ', text)
+    return _SPACES.sub(" ", holes(text))
 
 
-def masked(text: str) -> str:
-    return QUOTED.sub(' "" ', text)
+def holes(text: str) -> str:
+    """Placeholders and failed values replaced by one character each: the exact check of their delimiters."""
+    return FAILED.sub(HOLE, PLACEHOLDER.sub(HOLE, text)) if MARKED.search(text) else text
 
 
-def segments(text: str) -> list[str]:
-    """Sentences and lines of a prepared, masked text, without blank ones."""
-    return [s for s in (x.strip() for x in _SENTENCE.split(text)) if s and any(c.isalnum() or c in "_%" for c in s)]
+def split(text: str | None) -> list[str]:
+    """Sentences and lines of the whole text that say anything; lines of one or two words that follow each other are one segment."""
+    if not text or not text.strip():
+        return []
+    out: list[str] = []
+    lone = False
+    for s in _SENTENCE.split(prepared(text)):
+        s = s.strip()
+        if not any(c.isalnum() or c == HOLE for c in s):
+            continue
+        short = s.count(" ") < 2 and s[-1] not in ".!?…。！？"
+        if lone and short and HOLE not in s and HOLE not in out[-1] and TITLE not in s + out[-1]:
+            out[-1] += " " + s
+        else:
+            out.append(s)
+        lone = short
+    return out
+
 
+def pieces(segment: str, size: int) -> list[str]:
+    """Parts of at most ``size`` characters, cut at blanks where there are some; a placeholder is one character and never cut."""
+    out, lo = [], 0
+    while len(segment) - lo > size:
+        blank = segment.rfind(" ", lo + size // 2, lo + size)
+        hi = blank + 1 if blank > 0 else lo + size
+        out.append(segment[lo:hi])
+        lo = hi
+    return [*out, segment[lo:]]
 
-def placeholder(segment: str) -> bool:
-    """Does a value's place hold a template's field or a failed substitution (not merely mentioned)?"""
-    found = PLACEHOLDER.search(segment)
-    if found is None:
-        found = FAILED.search(segment)
-        if found is None or _ADJECTIVE.search(segment) or _TRACE.search(segment):
-            return False
-    return not _MENTION.search(PLACEHOLDER.sub(" ", segment))
 
+@lru_cache(maxsize=50_000)
+def typed(word: str) -> tuple[str, bool]:
+    """(word without digits at its end, does it run along a row of keys or repeat one letter?)"""
+    w = _DIGITS.sub("", word)
+    return w, len(w) >= 3 and (all(w[k : k + 2] in _STEPS for k in range(len(w) - 1)) or len(set(w)) == 1)
 
-def filler(words: list[str]) -> bool:
-    """Words struck at random, one word over and over, or invented Latin."""
+
+def variety(words: list[str]) -> tuple[float, float]:
+    """(share of different words, share of words along rows of keys)."""
     if not words:
-        return False
-    plain = [re.sub(r"(?<=\D)\d+$", "", w) for w in words]
-    latin = sum(w in LATIN for w in plain)
-    if latin >= 3 and latin >= 0.7 * len(plain):
-        return True
-    kinds = set(plain)
-    mash = sum(w in MASH or w[:4] in MASH for w in plain)
-    if len(plain) >= 3 and mash >= 0.8 * len(plain) and len(kinds) <= 6:
+        return 1.0, 0.0
+    plain = [typed(w) for w in words]
+    return len({w for w, _ in plain}) / len(plain), sum(keys for _, keys in plain) / len(plain)
+
+
+def normal(segment: str) -> str:
+    """Form in which segments are compared: small letters, words with digits alike."""
+    return _NUMBERED.sub("#", segment.lower())
+
+
+def filler(words: list[str]) -> bool:
+    """Weak label of a whole text: customary Latin, keys struck at random, or a handful of words again and again."""
+    latin = sum(w in LATIN for w in words)
+    if latin >= 2 and latin >= 0.08 * len(words):
         return True
-    return len(plain) >= 8 and len(kinds) == 1
+    different, keys = variety(words)
+    return (len(words) >= 3 and keys >= 0.5) or (len(words) >= 6 and different <= 0.5 and different * len(words) < 6)
 
 
 def kind_of(segment: str) -> str:
-    """Kind of one segment: placeholder, error, notice, sample, filler, neutral or text; short ones are remembered."""
+    """Weak label of one segment: error, notice, sample or text; short ones are remembered."""
     return _kind_of_short(segment) if len(segment) <= 500 else _kind_of(segment)
 
 
 def _kind_of(segment: str) -> str:
-    bare = _TAIL.sub("", segment.replace("_", " ")).strip(" .!?…·-–—:;,()[]*#\"'")
-    if MARKED.search(segment) and placeholder(segment):
-        return "placeholder"
-    if BOILERPLATE.match(bare) or not any(c.isalpha() for c in bare):
-        return "error" if re.fullmatch(rf"\(?{_STATUS}\)?", bare) else "neutral"
+    bare = _TAIL.sub("", segment.replace("_", " ")).strip(" .!?…·-–—:;,()[]*#\"'" + TITLE)
+    if not any(c.isalpha() for c in bare):
+        return "error" if re.fullmatch(rf"\(?{_STATUS}\)?", bare) else "text"
     low = bare.lower()
-    if "script" in low or "skript" in low or "js" in low or "скрипт" in low or "スクリプト" in low or "cookies" in low:
-        if NOTICE.search(bare) and not _PERSONAL.search(bare):
-            return "notice"
+    if ("script" in low or "skript" in low or "js" in low or "скрипт" in low or "スクリプト" in low or "cookies" in low) and NOTICE.search(bare):
+        return "text" if _PERSONAL.search(bare) else "notice"
     if ERROR.search(low) or _TRACE.search(segment):
         return "error"
-    if SAMPLE.search(low):
-        return "sample"
-    if filler(re.findall(r"\w+", low)):
-        return "filler"
-    return "text"
+    return "sample" if SAMPLE.search(low) else "text"
 
 
 _kind_of_short = lru_cache(maxsize=30_000)(_kind_of)
 
 
-def split(text: str | None) -> list[str]:
-    """Segments to be judged; a JSON object with a status is one segment."""
-    if not text or not text.strip():
-        return []
-    whole = prepared(text)
-    if len(whole) < 600 and _JSON_ERROR.match(whole) and _JSON_STATUS.search(whole):
-        return [whole.replace('"', "")]
-    out = segments(prepared(text, mask=True))
-    if len(out) >= 4:  # a column of single words is one segment
-        joined, run = [], []
-        for s in [*out, ""]:
-            if s and len(s) <= 24 and s.count(" ") < 2:
-                run.append(s)
-                continue
-            joined += [" ".join(run)] if len(run) >= 4 else run
-            run = []
-            joined += [s] if s else []
-        out = joined
-    return out
-
-
-_WHOLE = (PLACEHOLDER, FAILED, _ADJECTIVE, ERROR, NOTICE, SAMPLE)
-_REACH = 100  # the longest match of these patterns that is kept in one piece, about
-
-
-def pieces(segment: str, size: int) -> list[tuple[str, str]]:
-    """(piece, kind): parts of at most ``size`` characters, cut at blanks where there are some and outside matches of the rules.
-
-    A placeholder is merely mentioned if the wording within half of ``size`` on either side of it says so, cut or not.
-    """
-    out, lo = [], 0
-    while lo < len(segment):
-        hi = lo + size
-        if hi < len(segment):
-            first = max(lo, hi - 2 * _REACH)
-            window = segment[first : hi + _REACH]
-            inside = {first + k for pattern in _WHOLE for m in pattern.finditer(window) for k in range(m.start() + 1, m.end())}
-            free = [k for k in range(hi, max(lo, hi - _REACH), -1) if k not in inside]
-            blank = [k for k in free if segment[k - 1].isspace() and not segment[k].isdigit()]
-            hi = (blank or free or [hi])[0]
-        part = segment[lo:hi]
-        kind = kind_of(part)
-        if kind == "placeholder" and len(part) < len(segment):
-            at = lo + (PLACEHOLDER.search(part) or FAILED.search(part)).start()
-            around = segment[max(0, at - size // 2) : at + size // 2]
-            kind = "text" if _MENTION.search(PLACEHOLDER.sub(" ", around)) else kind
-        if part.strip():
-            out.append((part, kind))
-        lo = hi
-    return out
-
-
-def all_words(text: str) -> list[str]:
-    return WORD.findall(prepared(text, mask=True).replace("_", " ").lower())
-
-
 def seeds() -> list[str]:
     """The literal phrases of the rules, one by one: every one of them is residue."""
     out = []
@@ -280,11 +238,5 @@ def seeds() -> list[str]:
             phrase = re.sub(r"\\[bsSwW]|[\\^$]|\(\?:|\(\?![^)]*\)|[()?*+]|\{[^}]*\}|\[[^\]]*\]|\.", " ", part).strip()
             if len(phrase) > 4:
                 out.append(phrase)
-    need = ("this page requires", "please enable", "you need to turn on", "to read this review, switch on", "the reviews below need", "your browser does not support or has disabled")
-    out += [f"{a} {b}{c}" for a in need for b in ("javascript", "js", "scripts", "client-side scripting", "javascript and cookies") for c in ("", " to continue", " to view this content", " and reload the page", " in your browser settings")]
-    words = sorted(MASH)
-    out += [joint.join([w] * n) for w in words for n in (4, 9, 20) for joint in (" ", ", ")]
-    out += [" ".join(words[(7 * k + j * step) % len(words)] for j in range(9)) for k in range(60) for step in (1, 5)]
-    latin = sorted(LATIN)
-    out += [" ".join(latin[(11 * k + j * step) % len(latin)] for j in range(8)) for k in range(60) for step in (1, 3)]
-    return out
+    need = ("this page requires", "please enable", "you need to turn on", "to read this, switch on", "your browser does not support")
+    return out + [f"{a} {b}{c}" for a in need for b in ("javascript", "scripts", "javascript and cookies") for c in ("", " to continue", " in your browser settings")]
