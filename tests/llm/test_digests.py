@@ -61,11 +61,13 @@ def exact(data):
     return {k: sorted(v) for k, v in groups.items()}
 
 
-@pytest.mark.parametrize("sent", [10**6, 0])
-def test_certified_errors_are_the_true_ones(spark, sent):
+@pytest.mark.parametrize("rows_per_part, buffer", [(10**6, 200_000), (100, 200_000), (300, 50), (10**6, 70)])
+def test_certified_errors_are_the_true_ones(spark, monkeypatch, rows_per_part, buffer):
+    buffers = D._buffers
+    monkeypatch.setattr(D, "_buffers", lambda batches: buffers((b.slice(lo, 60) for b in batches for lo in range(0, b.num_rows, 60)), buffer))
     data = rows()
     want = exact(data)
-    got = D.certified_percentiles(frame(spark, data, "n INT, day INT").withColumnRenamed("n", "low"), sent_groups=sent).collect()
+    got = D.certified_percentiles(frame(spark, data, "n INT, day INT").withColumnRenamed("n", "low"), rows_per_part=rows_per_part).collect()
     assert {tuple(r[k] for k in D.KEYS) for r in got} == set(want)
     for r in got:
         v = want[tuple(r[k] for k in D.KEYS)]
@@ -79,16 +81,14 @@ def test_certified_errors_are_the_true_ones(spark, sent):
         assert worst * len(v) <= 0.01 * len(v) + 1
 
 
-def test_copies_of_one_point_are_spread_over_the_parts(spark, monkeypatch):
+def test_copies_of_one_point_are_spread_over_the_parts(spark):
     copy = {"metric": "m", "tags": {"dc": "x"}, "ts": 10, "float_value": 1.5}
     df = frame(spark, [copy] * 4000 + [copy | {"ts": k, "float_value": float(k)} for k in range(8000)])
+    spread = df.withColumn("salts", D.F.lit(12)).select(D._spread_of(df, "salts").alias("s")).groupBy("s").count().collect()
+    assert len(spread) == 12 and max(r["count"] for r in spread) < 1300
     daily = D.daily_digests(df)
     found = D.estimates(daily.unionByName(D.over_all_days(daily)))
-    made, expanded = [], D._expanded
-    monkeypatch.setattr(D, "_expanded", lambda *a: made.append(expanded(*a)) or made[-1])
-    counts = D._counts_met(df, found, D.QUANTILES, rows_per_task=1000).where("dim = 'all' and field = 'float' and day is null").collect()
-    sizes = [r["count"] for r in made[0].groupBy("salt").count().collect()]
-    assert len(sizes) == 12 and max(sizes) < 1300
+    counts = D.rank_counts(df, found, rows_per_part=1000).where("dim = 'all' and field = 'float' and day is null").collect()
     v = sorted([1.5] * 4000 + [float(k) for k in range(8000)])
     p50 = found.where("dim = 'all' and field = 'float' and day is null").first().p50
     assert [(r.below_p50, r.upto_p50) for r in counts] == [(bisect_left(v, p50), bisect_right(v, p50))]

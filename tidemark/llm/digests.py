@@ -7,8 +7,14 @@ second pass over the rows counts, for each estimate, the values below it and up
 it, which certifies the rank error of every estimate.
 
 All groups of a task are clustered at once (sorted arrays, ``reduceat``), in the
-first pass per split, then after one shuffle of digests.  With many splits an
-additional, salted level of merging keeps the digests of a hot group apart.
+first pass per split, then after one shuffle of digests; a salted level comes
+between, with as many parts as keep a hot group's digests at some hundreds each.
+
+The counting pass brings the rows of a metric's day together with the estimates of
+that day's groups and of the metric's groups over all days.  A day with more rows
+than one part takes is spread over several, and only its estimates are copied, so
+that rows plus copies stay in proportion to the data.  Nothing is sent to all workers but
+the list of those days.
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ KEYS = ["field", "metric", "dim", "dim_value", "day"]
 KEYS_DDL = "field STRING, metric STRING, dim STRING, dim_value STRING, day INT"
 DIGEST_DDL = f"{KEYS_DDL}, n BIGINT, low DOUBLE, high DOUBLE, means ARRAY<DOUBLE>, weights ARRAY<BIGINT>"
 BUFFER_ROWS = 200_000
-#: Estimates are sent to all workers up to this many groups (about 60 MB); beyond, they meet the rows in a shuffle.
-SENT_GROUPS = 250_000
+#: Digests of one group that a task of the first merging level takes, about.
+FAN = 256
 
 
 def percent_name(q: float) -> str:
@@ -90,7 +96,7 @@ def quantiles(n, low, high, count, means, weights, qs=QUANTILES) -> np.ndarray:
 
 def _expanded(points: DataFrame, *more) -> DataFrame:
     tags = F.col("tags")
-    return points.where(F.col("metric").isNotNull()).select(
+    return points.where(F.col("metric").isNotNull() & F.col("ts").isNotNull()).select(
         *more, "metric", *(tags[d].alias(d) for d in DIMENSIONS), F.floor(F.col("ts") / 86400).cast("int").alias("day"),
         F.col("float_value").cast("double").alias("f"), F.col("int_value").cast("double").alias("i"),
     )
@@ -228,13 +234,13 @@ def daily_digests(points: DataFrame, *, compression: float = 600.0) -> DataFrame
     """Digests per field, metric, dimension value and day.
 
     ``field``: ``float`` (float_value) and ``joint`` (int_value, else float_value);
-    ``dim``: ``all`` (the whole metric) or a tag.  Rows without metric or without a
-    finite value, and, for a day, without ts, are in no group.
+    ``dim``: ``all`` (the whole metric) or a tag.  Rows without a metric, a ts or a
+    finite value are in no group.
     """
     rows = _expanded(points)
     parts = rows.mapInArrow(_first_pass(compression), DIGEST_DDL)
-    # a group has at most one digest per buffer of rows; beyond some hundreds a salted level comes between
-    salts = 1 if points.count() <= 512 * BUFFER_ROWS else 32
+    # a group has at most one digest per buffer of rows
+    salts = -(-points.count() // (FAN * BUFFER_ROWS))
     return merge_digests(parts, compression=compression, salts=salts)
 
 
@@ -261,12 +267,12 @@ def estimates(digests: DataFrame, qs=QUANTILES) -> DataFrame:
     return digests.select(*NAMES).mapInArrow(kernel, f"{KEYS_DDL}, n BIGINT, " + ", ".join(f"{c} DOUBLE" for c in names))
 
 
-def _compare(table: pa.Table, index: dict[tuple, int], values: np.ndarray) -> np.ndarray:
+def _compare(rows: pa.Table, index: dict[tuple, int], values: np.ndarray) -> np.ndarray:
     """Per group (rows of ``values``): how many values lie below each estimate, then how many up to it."""
     q = values.shape[1]
     total = np.zeros((len(index), 2 * q), np.int64)
     for whole in (False, True):
-        for v, number, keys in _groupings(table, whole):
+        for v, number, keys in _groupings(rows, whole):
             at = np.array([index[k] for k in keys])
             order = np.argsort(number, kind="stable")
             x, start = v[order], np.searchsorted(number[order], np.arange(len(keys)))
@@ -276,66 +282,94 @@ def _compare(table: pa.Table, index: dict[tuple, int], values: np.ndarray) -> np
     return total
 
 
-def _counts_sent(points: DataFrame, found: DataFrame, qs) -> DataFrame:
-    """Counting pass with the estimates sent to every worker (their number has been checked)."""
-    names = [percent_name(q) for q in qs]
-    local = found.select(*KEYS, *names).toArrow()
-    index = {k: j for j, k in enumerate(zip(*(local.column(c).to_pylist() for c in KEYS)))}
-    values = np.column_stack([local.column(c).to_numpy() for c in names]) if index else np.zeros((0, len(names)))
-    sent = points.sparkSession.sparkContext.broadcast((index, values))
-    parts = [f"{kind}_{c}" for kind in ("below", "upto") for c in names]
+def _spread_of(points: DataFrame, salts: str) -> Column:
+    """Part of a row among ``salts``, from its content and, where there is one, its point_id: copies of one point are spread too."""
+    unique = ["point_id"] if "point_id" in points.columns else []
+    mark = F.xxhash64(*unique, "metric", F.sort_array(F.map_entries(F.col("tags"))), "ts", "float_value", "int_value")
+    return F.when(F.col(salts).isNull(), 0).otherwise(F.pmod(mark, F.col(salts))).cast("int")
 
-    def kernel(batches):
-        index, values = sent.value
-        total = np.zeros((len(index), 2 * len(names)), np.int64)
-        for table in _buffers(batches):
-            total += _compare(table, index, values)
+
+def _count_kernel(names: list[str], parts: list[str]):
+    """Rows arrive by (bucket metric, bucket day, salt), the estimates of a part before its readings."""
+
+    def emit(index: dict[tuple, int], total: np.ndarray) -> Iterator[pa.RecordBatch]:
         used = np.flatnonzero(total.any(axis=1))
+        keys = list(index)
         for lo in range(0, len(used), 20_000):
             some = used[lo : lo + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(np.ascontiguousarray(total[some, j])) for j in range(total.shape[1]))], names=["g", *parts])
-
-    counted = _expanded(points).mapInArrow(kernel, "g BIGINT, " + ", ".join(f"{c} BIGINT" for c in parts))
-    summed = counted.groupBy("g").agg(*(F.sum(c).alias(c) for c in parts))
-    keys = points.sparkSession.createDataFrame(pa.table({**{c: local.column(c) for c in KEYS}, "g": pa.array(np.arange(len(index)))})) if index else None
-    if keys is None:
-        return found.select(*KEYS, *(F.lit(0).cast("long").alias(c) for c in parts))
-    return keys.join(summed, "g", "left").drop("g").na.fill(0, parts)
-
+            yield pa.RecordBatch.from_arrays([*_key_arrays([keys[k] for k in some]), *(pa.array(np.ascontiguousarray(total[some, j])) for j in range(total.shape[1]))], names=[*KEYS, *parts])
+
+    def known(limits: pa.Table, index: dict, values: np.ndarray) -> tuple[dict, np.ndarray]:
+        if not limits.num_rows:
+            return index, values
+        index, fresh = dict(index), []
+        for j, k in enumerate(zip(*(limits.column(c).to_pylist() for c in ("field", "metric", "dim", "dim_value", "group_day")))):
+            if k not in index:  # groups over all days come with every day
+                index[k] = len(index)
+                fresh.append(j)
+        flat = pc.list_flatten(limits.column("limits").combine_chunks()).to_numpy(zero_copy_only=False)
+        return index, np.concatenate([values, flat.reshape(-1, len(names))[fresh]])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, values, part = {}, np.zeros((0, len(names))), None  # estimates of the part that the last buffer ended in
+        for table in _buffers(batches):
+            is_limit = table.column("is_limit")
+            index, values = known(table.filter(is_limit), index, values)
+            rows = table.filter(pc.invert(is_limit))
+            if rows.num_rows:
+                yield from emit(index, _compare(rows, index, values))
+            last = tuple(table.column(c)[-1] for c in ("metric", "day", "salt"))
+            if last != part:  # it began in this buffer
+                mine = is_limit
+                for c, x in zip(("metric", "day", "salt"), last):
+                    mine = pc.and_(mine, pc.equal(table.column(c), x))
+                index, values = known(table.filter(mine), {}, values[:0])
+                part = last
 
-def _salt(points: DataFrame, salts: int) -> Column:
-    """Part of a row, from its content and, where there is one, its point_id: copies of one point are spread too."""
-    unique = ["point_id"] if "point_id" in points.columns else []
-    mark = F.xxhash64(*unique, "metric", F.sort_array(F.map_entries(F.col("tags"))), "ts", "float_value", "int_value")
-    return F.pmod(mark, F.lit(salts)).cast("int")
+    return kernel
 
 
-def _counts_met(points: DataFrame, found: DataFrame, qs, *, rows_per_task: int = 500_000) -> DataFrame:
-    """Counting pass for any number of groups: rows and estimates of a metric meet in salted parts.
+def rank_counts(points: DataFrame, found: DataFrame, qs=QUANTILES, *, rows_per_part: int = 1_000_000, most_spread: int = 100_000) -> DataFrame:
+    """For each group: how many values lie below each of its estimates, and how many up to it.
 
-    Rows are shuffled once; a metric that holds up to all rows is spread over as many
-    parts as keep each at about ``rows_per_task``, and its estimates go to each.
+    Days of a metric with more than ``rows_per_part`` rows are spread over parts; the
+    list of such days is sent to all workers and has at most ``most_spread`` entries,
+    as parts grow beyond ``rows / most_spread`` rows where that would be more.
     """
     names = [percent_name(q) for q in qs]
     parts = [f"{kind}_{c}" for kind in ("below", "upto") for c in names]
-    salts = max(1, -(-points.count() // rows_per_task))
-    rows = _expanded(points, _salt(points, salts).alias("salt"))
-    limits = found.select(*KEYS, *names, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        index = {k: j for j, k in enumerate(zip(*(right.column(c).to_pylist() for c in KEYS)))}
-        values = np.column_stack([right.column(c).to_numpy() for c in names]) if index else np.zeros((0, len(names)))
-        total = _compare(left, index, values) if index and left.num_rows else np.zeros((len(index), 2 * len(names)), np.int64)
-        used = np.flatnonzero(total.any(axis=1))
-        keys = list(index)
-        return pa.Table.from_arrays([*_key_arrays([keys[k] for k in used]), *(pa.array(np.ascontiguousarray(total[used, j])) for j in range(total.shape[1]))], names=[*KEYS, *parts])
-
-    schema = f"{KEYS_DDL}, " + ", ".join(f"{c} BIGINT" for c in parts)
-    counted = rows.groupBy("metric", "salt").cogroup(limits.groupBy("metric", "salt")).applyInArrow(count, schema)
+    # every usable row has a joint value, so these groups count the rows of each metric and day
+    days = found.where("field = 'joint' and dim = 'all' and day is not null").select("metric", "day", F.col("n").alias("rows"))
+    everything = days.agg(F.sum("rows")).first()[0] or 0
+    per_part = max(rows_per_part, -(-everything // most_spread))
+    hot = days.where(F.col("rows") > per_part).select("metric", "day", F.ceil(F.col("rows") / per_part).cast("int").alias("salts"))
+    rows = (
+        points.where(F.col("metric").isNotNull() & F.col("ts").isNotNull())
+        .withColumn("day", F.floor(F.col("ts") / 86400).cast("int"))
+        .join(F.broadcast(hot), ["metric", "day"], "left")
+    )
+    rows = _expanded(rows, _spread_of(points, "salts").alias("salt"))
+    readings = rows.where("f is not null or i is not null").select(
+        "metric", "day", "salt", F.lit(False).alias("is_limit"), *DIMENSIONS, "f", "i",
+        *(F.lit(None).cast(t).alias(c) for c, t in (("field", "string"), ("dim", "string"), ("dim_value", "string"), ("group_day", "int"), ("limits", "array<double>"))),
+    )
+    groups = found.select("metric", "field", "dim", "dim_value", F.col("day").alias("group_day"), F.array(*names).alias("limits"))
+    of_day = groups.where("group_day is not null").withColumn("day", F.col("group_day"))
+    of_all = groups.where("group_day is null").join(days.select("metric", "day"), "metric")
+    limits = (
+        of_day.unionByName(of_all).join(F.broadcast(hot), ["metric", "day"], "left")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
+        .select(
+            "metric", "day", "salt", F.lit(True).alias("is_limit"), *(F.lit(None).cast("string").alias(c) for c in DIMENSIONS), *(F.lit(None).cast("double").alias(c) for c in ("f", "i")),
+            "field", "dim", "dim_value", "group_day", "limits",
+        )
+    )
+    together = readings.unionByName(limits).repartition("metric", "day", "salt").sortWithinPartitions("metric", "day", "salt", F.col("is_limit").desc())
+    counted = together.mapInArrow(_count_kernel(names, parts), f"{KEYS_DDL}, " + ", ".join(f"{c} BIGINT" for c in parts))
     return counted.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in parts))
 
 
-def certified_percentiles(points: DataFrame, *, qs=QUANTILES, compression: float = 600.0, sent_groups: int = SENT_GROUPS) -> DataFrame:
+def certified_percentiles(points: DataFrame, *, qs=QUANTILES, compression: float = 600.0, rows_per_part: int = 1_000_000) -> DataFrame:
     """Percentiles per group and day, and over all days (day null), with certified rank errors.
 
     Keys, ``n``, one column per quantile, and ``rank_error``: the greatest distance,
@@ -345,7 +379,7 @@ def certified_percentiles(points: DataFrame, *, qs=QUANTILES, compression: float
     """
     daily = cut(daily_digests(points, compression=compression))
     found = cut(estimates(daily.unionByName(over_all_days(daily, compression=compression)), qs))
-    counts = (_counts_sent if found.count() <= sent_groups else _counts_met)(points, found, qs)
+    counts = rank_counts(points, found, qs, rows_per_part=rows_per_part)
     counts = counts.select(*(F.col(k).alias(f"c_{k}") for k in KEYS), *(c for c in counts.columns if c not in KEYS))
     same = None
     for k in KEYS:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bitmaps, digests, packing, residue, tokens
 from tidemark.model import tags_key
+from tidemark.queries.problems import rounded, sql_rounded
 from tidemark.session import table
 
 
@@ -25,6 +26,12 @@ def p1_rank_check(spark: SparkSession, d: str) -> DataFrame:
     return x.select(*digests.KEYS, "n", kept.alias("within_bound"))
 
 
+def p1_small_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Medians of the groups of at most 100 values, whose digests hold every value: they must be exact."""
+    x = digests.certified_percentiles(table(spark, d, "points"))
+    return x.where("n <= 100").select(*digests.KEYS, "n", rounded(F.col("p50"), 3).alias("p50"))
+
+
 def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
     return bitmaps.distinct_cube(table(spark, d, "points"))
 
@@ -79,19 +86,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_percentiles, p1_rank_check, p5_distinct, p5_error_check, p7_ids, p7_round_trip, p8_bins, p8_audit, p8_fill, p9_found,
+    p1_percentiles, p1_rank_check, p1_small_medians, p5_distinct, p5_error_check, p7_ids, p7_round_trip, p8_bins, p8_audit, p8_fill, p9_found,
 )}
 
-SQL = {
-    "p1_rank_check": """
+_GROUPS = """
 WITH r AS (SELECT metric, (ts // 86400)::INT AS day, tags['dc'] AS dc, tags['host'] AS host, tags['shard'] AS shard, tags['port'] AS port,
-  float_value::DOUBLE AS f, coalesce(int_value::DOUBLE, float_value::DOUBLE) AS j FROM points WHERE metric IS NOT NULL),
+  float_value::DOUBLE AS f, coalesce(int_value::DOUBLE, float_value::DOUBLE) AS j FROM points WHERE metric IS NOT NULL AND ts IS NOT NULL),
 d AS (SELECT metric, day, f, j, 'all' AS dim, NULL AS dim_value FROM r
   UNION ALL SELECT metric, day, f, j, 'dc', dc FROM r WHERE dc IS NOT NULL UNION ALL SELECT metric, day, f, j, 'host', host FROM r WHERE host IS NOT NULL
   UNION ALL SELECT metric, day, f, j, 'shard', shard FROM r WHERE shard IS NOT NULL UNION ALL SELECT metric, day, f, j, 'port', port FROM r WHERE port IS NOT NULL),
 v AS (SELECT 'float' AS field, metric, dim, dim_value, day, f AS v FROM d UNION ALL SELECT 'joint', metric, dim, dim_value, day, j FROM d),
-g AS (SELECT field, metric, dim, dim_value, day FROM v WHERE v IS NOT NULL UNION ALL SELECT field, metric, dim, dim_value, NULL FROM v WHERE v IS NOT NULL)
-SELECT field, metric, dim, dim_value, day, count(*) AS n, TRUE AS within_bound FROM g GROUP BY ALL""",
+g AS (SELECT field, metric, dim, dim_value, day, v FROM v WHERE isfinite(v) UNION ALL SELECT field, metric, dim, dim_value, NULL, v FROM v WHERE isfinite(v))"""
+
+SQL = {
+    "p1_rank_check": _GROUPS + " SELECT field, metric, dim, dim_value, day, count(*) AS n, TRUE AS within_bound FROM g GROUP BY ALL",
+    "p1_small_medians": _GROUPS + f" SELECT field, metric, dim, dim_value, day, count(*) AS n, {sql_rounded('quantile_cont(v, 0.5)', 3)} AS p50 FROM g GROUP BY field, metric, dim, dim_value, day HAVING count(*) <= 100",
     "p5_error_check": """
 WITH k AS (SELECT metric, tags['host'] AS hosts, tags['trace'] AS traces, CASE WHEN metric IS NOT NULL THEN
   array_to_string(list_sort(list_transform(map_entries(tags), lambda e: e.key || '=' || coalesce(e.value, ''))), ',') END AS sources FROM points)
