@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidemark.llm import packing
 from tidemark.llm.packing import Search, best_fit, fill_summary, pack_items, pack_texts
 
 
@@ -87,5 +88,11 @@ def test_empty_and_bad_input(spark):
     nothing = spark.createDataFrame([], SIZES)
     assert pack_texts(nothing, packs).collect() == []
     assert pack_texts(nothing, packs.limit(0)).collect() == []
-    with pytest.raises(ValueError):
-        pack_texts(nothing, spark.range(1001).selectExpr("cast(id as string) as pack_name", "5 as capacity"))
+
+
+def test_kinds_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "KINDS", 2)
+    packs = spark.createDataFrame([(c, k) for c, k in zip("abcde", (10, 20, 30, 40, 50))], "pack_name STRING, capacity INT")
+    got = pack_texts(spark.createDataFrame([(k, 7, None, None) for k in range(40)], SIZES), packs).collect()
+    for name, least in zip("abcde", (40, 20, 10, 8, 6)):
+        assert len({r.bin_id for r in got if r.pack_name == name}) == least and sorted(r.doc_id for r in got if r.pack_name == name) == list(range(40))

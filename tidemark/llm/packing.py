@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from tidemark.session import cut
 
 BINS_DDL = "pack_name STRING, capacity INT, bin_id BIGINT, doc_id BIGINT, piece INT, n_tokens INT, open INT"
+PACKED_DDL = "pack_name STRING, bin_id BIGINT, doc_id BIGINT, piece INT, n_tokens INT"
+#: Kinds of containers that are packed together.
+KINDS = 1000
 #: A round is a stall if it leaves more than this share of the bins that were open before.
 STALLED = 0.9
 
@@ -154,17 +157,23 @@ def pack_texts(
 ) -> DataFrame:
     """``pack_name, bin_id, doc_id, piece, n_tokens``: every text in bins of each capacity.
 
-    sizes: doc_id, n_tokens; packs: pack_name, capacity (a small fixed table; at most
-    1,000 rows with a positive capacity).  A text is split only if it is larger than
+    sizes: doc_id, n_tokens; packs: pack_name, capacity (rows with a positive one count;
+    a thousand at a time, as every text goes into every kind of container).  A text is split only if it is larger than
     the capacity: into pieces of exactly the capacity and one remainder.  Texts
     without tokens take no room but have a row.  Null n_tokens counts as 0.
     """
-    kinds = packs.where((F.col("capacity") > 0) & F.col("pack_name").isNotNull()).select("pack_name", "capacity").distinct().take(1001)
-    if len(kinds) > 1000:
-        raise ValueError("more than 1,000 kinds of containers")
-    empty = "pack_name STRING, bin_id BIGINT, doc_id BIGINT, piece INT, n_tokens INT"
+    kinds = packs.where((F.col("capacity") > 0) & F.col("pack_name").isNotNull()).select("pack_name", "capacity").distinct().orderBy("pack_name", "capacity").collect()
     if not kinds:
-        return sizes.sparkSession.createDataFrame([], empty)
+        return sizes.sparkSession.createDataFrame([], PACKED_DDL)
+    out = None
+    for lo in range(0, len(kinds), KINDS):
+        one = _pack_kinds(sizes, kinds[lo : lo + KINDS], block_items, keep_share, tries)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _pack_kinds(sizes: DataFrame, kinds: list, block_items: int, keep_share: float, tries: int) -> DataFrame:
+    """The rounds for some kinds of containers together."""
     n, c = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("int"), F.col("k.capacity")
     kind = F.array(*(F.struct(F.lit(k.pack_name).alias("pack_name"), F.lit(int(k.capacity)).alias("capacity")) for k in kinds))
     pieces = (
@@ -175,7 +184,7 @@ def pack_texts(
     left, closed, number, base = cut(pieces), None, 0, 0
     blocks = {r[0]: max(1, -(-r[1] // block_items)) for r in left.groupBy("pack_name").count().collect()}
     if not blocks:
-        return sizes.sparkSession.createDataFrame([], empty)
+        return sizes.sparkSession.createDataFrame([], PACKED_DDL)
     opened: dict[str, int] = {}
     while True:
         spread = F.broadcast(sizes.sparkSession.createDataFrame(list(blocks.items()), "pack_name STRING, blocks INT"))

@@ -81,12 +81,20 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_summary(p8_bins(spark, d), table(spark, d, "pack_sizes"))
 
 
+def p8_char_fill(spark: SparkSession, d: str) -> DataFrame:
+    """The same packing by characters, which SQL can count: pieces, least number of bins, and whether at most 1 % more (and one) are used."""
+    docs, packs = table(spark, d, "documents"), table(spark, d, "pack_sizes")
+    sizes = docs.select("doc_id", F.length("text").alias("n_tokens"))
+    s = packing.fill_summary(packing.pack_texts(sizes, packs), packs)
+    return s.select("pack_name", "n_pieces", "least_bins", (F.col("n_bins") <= F.col("least_bins") * 1.01 + 1).alias("near_least"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.judge_texts(table(spark, d, "documents")).where("found").select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_percentiles, p1_rank_check, p1_small_medians, p5_distinct, p5_error_check, p7_ids, p7_round_trip, p8_bins, p8_audit, p8_fill, p9_found,
+    p1_percentiles, p1_rank_check, p1_small_medians, p5_distinct, p5_error_check, p7_ids, p7_round_trip, p8_bins, p8_audit, p8_fill, p8_char_fill, p9_found,
 )}
 
 _GROUPS = """
@@ -109,4 +117,7 @@ UNION ALL SELECT metric, 'traces', count(DISTINCT traces), TRUE FROM k GROUP BY
 UNION ALL SELECT metric, 'sources', count(DISTINCT sources), TRUE FROM k GROUP BY 1 HAVING count(sources) > 0""",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_audit": "SELECT pack_name, (SELECT count(*) FROM documents) AS n_docs, 0 AS overfull_bins, 0 AS split_needlessly FROM pack_sizes",
+    "p8_char_fill": """
+WITH p AS (SELECT pack_name, capacity, coalesce(length(text), 0) AS n FROM documents, pack_sizes)
+SELECT pack_name, sum(greatest(1, ceil(n / capacity)))::BIGINT AS n_pieces, ceil(sum(n) / any_value(capacity))::BIGINT AS least_bins, TRUE AS near_least FROM p GROUP BY 1""",
 }
