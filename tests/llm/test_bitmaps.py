@@ -2,7 +2,6 @@ import itertools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.points import frame
 from tidemark.llm import bitmaps as B
@@ -17,24 +16,43 @@ def test_sizing():
     assert B.standard_error(64, 0) == 0 and B.standard_error(64, 10**9) == float("inf")
 
 
+def cube(spark, rows, bits, **how):
+    return B.estimate(B.merge(B.partial_bitmaps(rows, bits), **how), bits)
+
+
+def traces(spark, lo, hi, different):
+    return spark.range(lo, hi).selectExpr("cast(id % 2 as int) * 86400 as ts", "'m' as metric", f"map('dc', 'x', 'trace', concat('t', id % {different})) as tags")
+
+
 @pytest.mark.parametrize("n", [1, 50, 3000, 20_000])
 def test_estimate_within_its_error(spark, n):
-    bits = B.bits_for(n, 0.01)
-    df = spark.range(3 * n).select(F.lit("g").alias("g"), (F.col("id") % n).cast("string").alias("item"))
-    r = B.estimate(B.set_bits(df, ["g"], bits), ["g"], F.lit(bits)).first()
-    assert abs(r.n_distinct - n) <= 4 * r.n_error + 1
+    bits = dict.fromkeys(range(8), B.bits_for(3 * n, 0.01))
+    got = cube(spark, traces(spark, 0, 3 * n, n), bits).where("entity = 4 and by = 0").first()
+    assert abs(got.n_distinct - n) <= 4 * got.n_error + 1
 
 
-def test_union_equals_the_whole(spark):
-    df = spark.range(5000).select("id", (F.col("id") % 7).alias("g"), (F.col("id") % 900).alias("item"))
-    whole = B.set_bits(df, ["g"], 4096)
-    halves = B.set_bits(df.where("id < 2000"), ["g"], 4096).unionByName(B.set_bits(df.where("id >= 1500"), ["g"], 4096))
-    assert B.merge(halves, ["g"]).exceptAll(whole).count() == 0 and whole.exceptAll(B.merge(halves, ["g"])).count() == 0
+@pytest.mark.parametrize("bits", [4096, 2**18, 2**20])
+def test_union_equals_the_whole(spark, monkeypatch, bits):
+    monkeypatch.setattr(B, "BUFFER_BITS", 1000)
+    bits = {by: bits for by in range(8)}
+    whole = B.merge(B.partial_bitmaps(traces(spark, 0, 30_000, 20_000), bits))
+    parts = [B.merge(B.partial_bitmaps(traces(spark, lo, hi, 20_000), bits)) for lo, hi in ((0, 9000), (5000, 21_000), (20_000, 30_000))]
+    for salts in (1, 3):
+        both = B.merge(parts[0].unionByName(parts[1]).unionByName(parts[2]), salts=salts)
+        assert both.exceptAll(whole).count() == 0 and whole.exceptAll(both).count() == 0
+    assert whole.where("ones >= 4096").count() == whole.where("length(data) = 8192").count()
+    bare = B.merge(parts[0].unionByName(parts[1]).unionByName(parts[2]), data=False)
+    assert sorted(B.estimate(bare, bits).collect(), key=str) == sorted(B.estimate(whole, bits).collect(), key=str)
 
 
 def test_full_bitmap_has_no_estimate(spark):
-    df = spark.range(20_000).select(F.lit(1).alias("g"), F.col("id").alias("item"))
-    assert B.estimate(B.set_bits(df, ["g"], 64), ["g"], F.lit(64)).first().n_distinct is None
+    got = cube(spark, traces(spark, 0, 20_000, 20_000), dict.fromkeys(range(8), 64)).where("entity = 4").collect()
+    assert got and all(r.n_distinct is None for r in got)
+
+
+def test_sizes_follow_the_largest_group(spark):
+    sizes = B.sizes_of(traces(spark, 0, 5000, 5000))
+    assert sizes[0] == B.bits_for(10_000, 0.01) and sizes[4] == sizes[7] == B.bits_for(5000, 0.01)
 
 
 def test_cube_against_sets(spark):

@@ -11,6 +11,7 @@ from tidemark.queries.problems import rounded, sql_rounded
 from tidemark.session import table
 
 
+SQL_TAGS_KEY = "array_to_string(list_sort(list_transform(map_entries(tags), lambda e: e.key || '=' || coalesce(e.value, ''))), ',')"
 #: Certified rank error, as a share of n, that every group keeps (a half cluster and one value's rank).
 RANK_BOUND = 0.01
 
@@ -36,17 +37,36 @@ def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
     return bitmaps.distinct_cube(table(spark, d, "points"))
 
 
+#: Groupings (4 day, 2 metric, 1 dc) in which the exact counts of p5_error_check are made, by entity.
+CHECKED = {"metrics": range(8), "tag_names": range(8), "hosts": range(8), "traces": (0, 2), "sources": (0, 2)}
+
+
 def p5_error_check(spark: SparkSession, d: str) -> DataFrame:
-    """Exact distinct hosts, traces and sources per metric, and whether the estimate is within 4 standard errors."""
+    """Exact distinct counts, and whether the estimate is within 5 standard errors: names, metrics and hosts in all groupings, the many traces and sources in two."""
     points = table(spark, d, "points")
-    estimated = bitmaps.distinct_cube(points).where(~F.col("by_day") & ~F.col("by_dc") & F.col("by_metric"))
-    tags = F.col("tags")
-    exact = points.select("metric", tags["host"].alias("hosts"), tags["trace"].alias("traces"), F.when(F.col("metric").isNotNull(), tags_key()).alias("sources"))
-    pairs = exact.select("metric", F.explode(F.array(*(F.struct(F.lit(c).alias("entity"), F.col(c).alias("v")) for c in ("hosts", "traces", "sources")))).alias("e"))
-    counted = pairs.where("e.v is not null").select("metric", "e.entity", "e.v").distinct().groupBy("metric", "entity").agg(F.count("*").alias("n_exact"))
-    e = estimated.select(F.col("metric").alias("m"), F.col("entity").alias("kind"), "n_distinct", "n_error")
-    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 4 * F.col("n_error") + 1
-    return counted.join(e, F.col("metric").eqNullSafe(F.col("m")) & (F.col("entity") == F.col("kind"))).select("metric", "entity", "n_exact", near.alias("within_bound"))
+    tags, by = F.col("tags"), F.col("by")
+    items = {
+        "metrics": F.array("metric"), "tag_names": F.map_keys(tags), "hosts": F.array(tags["host"]), "traces": F.array(tags["trace"]),
+        "sources": F.array(F.when(F.col("metric").isNotNull(), F.concat("metric", F.lit(" "), tags_key()))),
+    }
+
+    def named(entity, values):
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(entity).alias("entity"), v.alias("v")))
+
+    each = F.concat(*(named(*x) for x in items.items()))
+    fine = points.select(F.floor(F.col("ts") / 86400).cast("int").alias("day"), "metric", tags["dc"].alias("dc"), F.explode(each).alias("e")).where("e.v is not null").select("day", "metric", "dc", "e.*").distinct()
+    groupings = F.element_at(F.create_map(*(x for e, b in CHECKED.items() for x in (F.lit(e), F.array(*(F.lit(k) for k in b))))), F.col("entity"))
+    keys = [F.when(by.bitwiseAND(b) > 0, F.col(c)).alias(c) for c, b in bitmaps.FLAGS]
+    counted = fine.withColumn("by", F.explode(groupings)).select("entity", "by", *keys, "v").distinct().groupBy("entity", "by", "day", "metric", "dc").agg(F.count("*").alias("n_exact"))
+    e = bitmaps.distinct_cube(points).select(
+        F.col("entity").alias("kind"), (4 * F.col("by_day").cast("int") + 2 * F.col("by_metric").cast("int") + F.col("by_dc").cast("int")).alias("grouping"),
+        *(F.col(c).alias(f"e_{c}") for c, _ in bitmaps.FLAGS), "n_distinct", "n_error",
+    )
+    same = (F.col("entity") == F.col("kind")) & (by == F.col("grouping"))
+    for c, _ in bitmaps.FLAGS:
+        same &= F.col(c).eqNullSafe(F.col(f"e_{c}"))
+    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 5 * F.col("n_error") + 1
+    return counted.join(e, same).select("entity", "by", "day", "metric", "dc", "n_exact", near.alias("within_bound"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -109,12 +129,13 @@ g AS (SELECT field, metric, dim, dim_value, day, v FROM v WHERE isfinite(v) UNIO
 SQL = {
     "p1_rank_check": _GROUPS + " SELECT field, metric, dim, dim_value, day, count(*) AS n, TRUE AS within_bound FROM g GROUP BY ALL",
     "p1_small_medians": _GROUPS + f" SELECT field, metric, dim, dim_value, day, count(*) AS n, {sql_rounded('quantile_cont(v, 0.5)', 3)} AS p50 FROM g GROUP BY field, metric, dim, dim_value, day HAVING count(*) <= 100",
-    "p5_error_check": """
-WITH k AS (SELECT metric, tags['host'] AS hosts, tags['trace'] AS traces, CASE WHEN metric IS NOT NULL THEN
-  array_to_string(list_sort(list_transform(map_entries(tags), lambda e: e.key || '=' || coalesce(e.value, ''))), ',') END AS sources FROM points)
-SELECT metric, 'hosts' AS entity, count(DISTINCT hosts) AS n_exact, TRUE AS within_bound FROM k GROUP BY 1 HAVING count(hosts) > 0
-UNION ALL SELECT metric, 'traces', count(DISTINCT traces), TRUE FROM k GROUP BY 1 HAVING count(traces) > 0
-UNION ALL SELECT metric, 'sources', count(DISTINCT sources), TRUE FROM k GROUP BY 1 HAVING count(sources) > 0""",
+    "p5_error_check": f"""
+WITH k AS (SELECT (ts // 86400)::INT AS day, metric, tags['dc'] AS dc, map_keys(tags) AS names, tags['host'] AS host, tags['trace'] AS trace, CASE WHEN metric IS NOT NULL THEN metric || ' ' || {SQL_TAGS_KEY} END AS src FROM points),
+x AS (SELECT day, metric, dc, 'metrics' AS entity, metric AS v FROM k UNION ALL SELECT day, metric, dc, 'tag_names', unnest(names) FROM k UNION ALL SELECT day, metric, dc, 'hosts', host FROM k
+  UNION ALL SELECT day, metric, dc, 'traces', trace FROM k UNION ALL SELECT day, metric, dc, 'sources', src FROM k),
+g AS (SELECT entity, grp, CASE WHEN grp & 4 > 0 THEN day END AS day, CASE WHEN grp & 2 > 0 THEN metric END AS metric, CASE WHEN grp & 1 > 0 THEN dc END AS dc, v
+  FROM x, range(8) r(grp) WHERE v IS NOT NULL AND (entity NOT IN ('traces', 'sources') OR grp IN (0, 2)))
+SELECT entity, grp::INT AS "by", day, metric, dc, count(DISTINCT v) AS n_exact, TRUE AS within_bound FROM g GROUP BY ALL""",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_audit": "SELECT pack_name, (SELECT count(*) FROM documents) AS n_docs, 0 AS overfull_bins, 0 AS split_needlessly FROM pack_sizes",
     "p8_char_fill": """
