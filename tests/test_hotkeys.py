@@ -65,3 +65,19 @@ def test_sums_and_sources_of_all_keys(spark, small):
         assert got.keys() == want.keys() and all(got[k].n_values == len(v) for k, v in want.items())
         assert all(got[k].total == (pytest.approx(math.fsum(v), rel=1e-9) if v else None) for k, v in want.items())
     assert {r.key_name: r.n_sources for r in problems.p2_tag_sources(spark, small).collect()} == {k: len(v) for k, v in sources.items()}
+
+
+def test_nan_and_infinities_stay_in_the_sums(spark):
+    df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("b", float("inf")), ("b", 2.0), ("c", None), ("c", 3.0), ("d", None)], "key STRING, v DOUBLE")
+    got = {r.key: (r.n_values, r.total) for r in dense_totals(df, "key", value="v").collect()}
+    assert math.isnan(got["a"][1]) and got["b"] == (2, math.inf) and got["c"] == (1, 3.0) and got["d"] == (0, 0.0)
+
+
+def test_finished_blocks_are_handed_on(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(6000).selectExpr("cast(id % 1500 as string) as key", "cast(1 as double) as v").repartition(6)
+        got = dense_totals(df, "key", value="v", blocks=40, most_keys=100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.key for r in got) == sorted(map(str, range(1500))) and {(r.n_rows, r.total) for r in got} == {(4, 4.0)}

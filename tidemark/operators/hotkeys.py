@@ -3,10 +3,10 @@
 Each task dictionary-encodes the keys of its input split and accumulates into
 dense arrays (``bincount`` for counts and sums, scatter-reduce for the last value).
 The dictionary is cut into blocks by key hash; a task hands on, per block, one row
-with its keys and arrays.  Blocks are then summed in two levels, so that neither a
-hot key (one array slot per task) nor a task count in the thousands makes one task
-long.  Work per task depends on the rows of its split only, which Spark cuts to
-equal bytes; rows are never shuffled.
+with its keys and arrays.  Blocks are then summed in two levels, many of them at once
+in a task, so that neither a hot key (one array slot per task) nor a task count in
+the thousands makes one task long.  Work per task depends on the rows of its split
+only, which Spark cuts to equal bytes; rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ class Accumulator:
         return found
 
     def add(self, slot, counts, filled, sums, at, tie, value) -> None:
-        """Add to slots; ``counts`` None counts rows.  Rows without a value must have nan values and LOWEST times."""
+        """Add to slots; ``counts`` None counts rows.  Rows without a value must have sums of 0 and LOWEST times."""
         size = len(self.counts)
         if counts is None:
             self.counts += np.bincount(slot, minlength=size)
@@ -66,7 +66,7 @@ class Accumulator:
         if at is None:
             return
         np.add.at(self.filled, slot, filled)
-        self.sums += np.bincount(slot, weights=np.nan_to_num(sums), minlength=size)
+        self.sums += np.bincount(slot, weights=sums, minlength=size)
         order = np.lexsort((tie, at, slot))
         s = slot[order]
         end = np.flatnonzero(np.append(s[1:] != s[:-1], True))
@@ -125,7 +125,7 @@ def _encode(blocks: int, fan: int, most_keys: int):
                 if parent is not None:
                     there, value, when, tie = there[parent], value[parent], when[parent], tie[parent]
                 if len(at):
-                    acc.add(local[at], None, there.astype(np.int64), value, when, tie, value)
+                    acc.add(local[at], None, there.astype(np.int64), np.where(there, value, 0.0), when, tie, value)
             if len(acc.index) > most_keys:
                 yield acc.rows(blocks, slot)
                 acc = Accumulator()
@@ -135,15 +135,65 @@ def _encode(blocks: int, fan: int, most_keys: int):
     return kernel
 
 
-def _sum_blocks(table: pa.Table) -> Accumulator:
-    acc = Accumulator()
-    for batch in table.to_batches():
-        flat = {n: pc.list_flatten(batch.column(n)) for n in ("keys", "counts", "filled", "sums", "last_at", "last_tie", "last_value")}
-        coded = pc.dictionary_encode(flat["keys"], null_encoding="encode")
-        slot = acc.slots(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        num = {n: flat[n].to_numpy(zero_copy_only=False) for n in list(flat)[1:]}
-        acc.add(slot, num["counts"], num["filled"], num["sums"], num["last_at"], num["last_tie"], num["last_value"])
-    return acc
+def _add_blocks(acc: Accumulator, batch: pa.RecordBatch) -> None:
+    flat = {n: pc.list_flatten(batch.column(n)) for n in ("keys", "counts", "filled", "sums", "last_at", "last_tie", "last_value")}
+    coded = pc.dictionary_encode(flat["keys"], null_encoding="encode")
+    slot = acc.slots(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    num = {n: flat[n].to_numpy(zero_copy_only=False) for n in list(flat)[1:]}
+    acc.add(slot, num["counts"], num["filled"], num["sums"], num["last_at"], num["last_tie"], num["last_value"])
+
+
+def _level(blocks: int, most_keys: int):
+    """Sums whatever blocks a task gets; partial sums may go out early."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = Accumulator()
+        for batch in batches:
+            if batch.num_rows:
+                _add_blocks(acc, batch)
+            if len(acc.index) > most_keys:
+                yield acc.rows(blocks, 0)
+                acc = Accumulator()
+        if (out := acc.rows(blocks, 0)) is not None:
+            yield out
+
+    return kernel
+
+
+def _last(most_keys: int):
+    """Totals of whole blocks; rows arrive sorted by block, so that the keys of finished blocks need not be kept."""
+
+    def totals(acc: Accumulator) -> pa.RecordBatch:
+        known = acc.filled > 0
+        columns = {
+            "key": pa.array(list(acc.index), pa.string()),
+            "n_rows": pa.array(acc.counts),
+            "n_values": pa.array(acc.filled),
+            "total": pa.array(np.where(known, acc.sums, 0.0)),
+            "last_value": pa.array(np.ascontiguousarray(acc.last["value"]), mask=~known),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc, open_block = Accumulator(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column("block").to_numpy()
+            if len(acc.index) > most_keys:  # hand on what is finished
+                same = int(np.argmax(block != open_block)) if (block != open_block).any() else len(block)
+                if same:
+                    _add_blocks(acc, batch.slice(0, same))
+                if same == len(block):
+                    continue
+                yield totals(acc)
+                acc, batch = Accumulator(), batch.slice(same)
+            _add_blocks(acc, batch)
+            open_block = block[-1]
+        if acc.index:
+            yield totals(acc)
+
+    return kernel
 
 
 def dense_totals(
@@ -153,7 +203,7 @@ def dense_totals(
     value: str | None = None,
     at: str | None = None,
     tie: str | None = None,
-    blocks: int = 64,
+    blocks: int = 4096,
     fan: int = 32,
     most_keys: int = 200_000,
 ) -> DataFrame:
@@ -163,7 +213,9 @@ def dense_totals(
     Null keys are a key of their own (null), entries of a null or empty array count
     for nothing.  The last value is that of the greatest (``at``, ``tie``), nulls
     lowest.  Without ``value`` only ``n_rows`` is counted, the others are 0 and null.
-    Sums are in double.  Empty input gives an empty result.
+    Sums are in double; NaN and infinities go into them as they are.  A task of the
+    last level holds the keys of one block, and those of others up to ``most_keys``.
+    Empty input gives an empty result.
     """
     columns = [F.col(key).alias("key")]
     if value is not None:
@@ -174,25 +226,8 @@ def dense_totals(
         ]
     parts = df.select(*columns).mapInArrow(_encode(blocks, fan, most_keys), BLOCKS_DDL)
 
-    def level(table: pa.Table) -> pa.Table:
-        first = table.column("slot")[0].as_py()
-        out = _sum_blocks(table).rows(1, first)
-        return pa.Table.from_batches([out.set_column(0, "block", table.column("block").combine_chunks().slice(0, 1))])
-
-    def last(table: pa.Table) -> pa.Table:
-        acc = _sum_blocks(table)
-        known = acc.filled > 0
-        return pa.table(
-            {
-                "key": pa.array(list(acc.index), pa.string()),
-                "n_rows": acc.counts,
-                "n_values": acc.filled,
-                "total": pa.array(np.where(known, acc.sums, 0.0)),
-                "last_value": pa.array(np.ascontiguousarray(acc.last["value"]), mask=~known),
-            }
-        )
-
-    return parts.groupBy("block", "slot").applyInArrow(level, BLOCKS_DDL).groupBy("block").applyInArrow(last, TOTALS_DDL)
+    summed = parts.repartition("block", "slot").mapInArrow(_level(blocks, most_keys), BLOCKS_DDL)
+    return summed.repartition("block").sortWithinPartitions("block").mapInArrow(_last(most_keys), TOTALS_DDL)
 
 
 def heavy_keys(points: DataFrame, *, share_percent: int = 6) -> DataFrame:
