@@ -3,7 +3,9 @@ import time
 
 import pytest
 
-from tidemark.operators.ledger import StaleWriter, WorkLedger, fold_log, mark_loaded, messages_to_load
+from pyspark.sql import functions as F
+
+from tidemark.operators.ledger import StaleWriter, WorkLedger, fold_log, load_next, mark_loaded, messages_to_load
 
 MESSAGES = "topic STRING, partition_id INT, msg_offset BIGINT, batch_id BIGINT, payload_crc BIGINT, n_points INT, append_ms BIGINT"
 LOG = "run_id BIGINT, topic STRING, partition_id INT, start_offset BIGINT, stop_offset BIGINT, state STRING, logged_ms BIGINT"
@@ -131,3 +133,72 @@ def test_a_long_write_keeps_its_lease(spark, tmp_path):
     assert ledger.lease("y", "a") == 1 and open(f"{tmp_path}/l/y/2.json", "w").close() is None
     assert ledger.state("y") == ("leased", 2)  # a renewal not yet written out frees nothing
     assert sorted(r.k for r in ledger.finished_output(spark, base).collect()) == [0, 1, 2]
+
+
+def batch(spark, items, by):
+    return spark.createDataFrame([(i, by, k) for i in items for k in range(2) if i != "empty"], "item STRING, worker STRING, k INT")
+
+
+def test_items_are_written_together(spark, tmp_path):
+    now, base = [1000], f"{tmp_path}/out"
+    book = lambda: WorkLedger(spark, f"{tmp_path}/l", lease_ms=60_000, clock=lambda: now[0])
+    ledger = book()
+    ledger.add(["a", "b", "empty"])
+    rows = lambda: sorted((r.worker, r.k) for r in ledger.finished_output(spark, base).collect())
+
+    def crash(items):  # before anything is written
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        ledger.process_together("w1", base, crash)
+    assert {ledger.state(i)[0] for i in ledger.items()} == {"pending"} and ledger.finished_output(spark, base) is None
+
+    class Dies(WorkLedger):  # after the write, before and between the done states
+        left = 1
+
+        def finish(self, *a):
+            if self.left == 0:
+                raise KeyboardInterrupt
+            self.left -= 1
+            super().finish(*a)
+
+    with pytest.raises(KeyboardInterrupt):
+        Dies(spark, f"{tmp_path}/l", lease_ms=60_000, clock=lambda: now[0]).process_together("w2", base, lambda items: batch(spark, items, "w2"))
+    assert sorted(ledger.state(i)[0] for i in ledger.items()) == ["done", "leased", "leased"]
+    assert ledger.process_together("w3", base, lambda items: batch(spark, items, "w3")) == []  # the leases are still alive
+    now[0] += 100_000
+
+    def slow(items):  # outlives its leases; another does the items
+        assert items == ["b", "empty"]
+        now[0] += 100_000
+        assert book().process_together("w5", base, lambda i: batch(spark, i, "w5")) == items
+        return batch(spark, items, "w4")
+
+    assert ledger.process_together("w4", base, slow) == []
+    assert rows() == [("w2", 0), ("w2", 1), ("w5", 0), ("w5", 1)]
+    assert ledger.process_together("w6", base, crash) == []
+
+
+def test_next_run_by_the_ledger(spark, tmp_path, small):
+    messages, log = spark.read.parquet(f"{small}/queue_messages.parquet"), spark.read.parquet(f"{small}/kafka_inputs.parquet")
+    ledger, base = WorkLedger(spark, f"{tmp_path}/l"), f"{tmp_path}/out"
+    want = sorted(map(tuple, messages_to_load(messages, log).collect()))
+    assert sorted(map(tuple, load_next(ledger, base, messages, log).collect())) == want
+    assert sorted(map(tuple, load_next(ledger, base, messages, log).collect())) == want  # nothing is loaded again
+    assert {ledger.state(i)[0] for i in ledger.items()} == {"done"}
+    odd = WorkLedger(spark, f"{tmp_path}/l2")
+    assert load_next(odd, f"{base}2", messages.withColumn("topic", F.lit("a/b %")).limit(3), log).count() > 0
+    assert load_next(WorkLedger(spark, f"{tmp_path}/l3"), f"{base}3", messages.limit(0), log).collect() == []
+
+
+def test_a_live_lease_of_the_log_keeps_its_messages(spark):
+    messages = spark.createDataFrame([("t", 0, k, k, k) for k in range(10)], "topic STRING, partition_id INT, msg_offset LONG, batch_id LONG, payload_crc LONG")
+    log = spark.createDataFrame([(1, "t", 0, 2, 5, "started", 1000), (2, "t", 0, 5, 10**15, "committed", 900)], LOG)
+    of = lambda **how: sorted(r.msg_offset for r in messages_to_load(messages, log, **how).collect())
+    assert of() == [0, 1, 2, 3, 4] and of(now_ms=1500, lease_ms=600) == [0, 1] and of(now_ms=2000, lease_ms=600) == [0, 1, 2, 3, 4]
+
+
+def test_a_folder_out_of_reach_is_an_error(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(Exception):
+        WorkLedger(spark, f"{tmp_path}/file").add(["a"])

@@ -11,11 +11,14 @@ which the state ``done`` records the one to read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
 import time
 from collections.abc import Callable
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +58,17 @@ def mark_loaded(messages: DataFrame, done: DataFrame, *, span: int = 4096) -> Da
 
     A sweep over offsets instead of a join on ranges: ranges and messages of one
     (topic, partition) are cut into spans of ``span`` offsets, and a running count of
-    open ranges decides.  Work is linear in messages plus ranges, and a partition
+    open ranges decides.  Ranges are clipped to the offsets that there are, so a wild
+    bound costs nothing.  Work is linear in messages plus ranges, and a partition
     that holds most messages is spread over its spans.
     """
     keys = ["topic", "partition_id"]
     span_of = lambda c: F.floor(c / span).cast("long")
+    there = messages.groupBy(*keys).agg(F.min("msg_offset").alias("least"), F.max("msg_offset").alias("most"))
     ranges = (
-        done.where(F.col("stop_offset") > F.col("start_offset"))
+        done.join(there, keys)
+        .withColumns({"start_offset": F.greatest("start_offset", "least"), "stop_offset": F.least("stop_offset", F.col("most") + 1)})
+        .where(F.col("stop_offset") > F.col("start_offset"))
         .select(*keys, "start_offset", "stop_offset", F.explode(F.sequence(span_of(F.col("start_offset")), span_of(F.col("stop_offset") - 1))).alias("span"))
     )
     edge = lambda at, step: ranges.select(
@@ -88,15 +95,17 @@ def mark_loaded(messages: DataFrame, done: DataFrame, *, span: int = 4096) -> Da
     )
 
 
-def messages_to_load(messages: DataFrame, log: DataFrame, *, span: int = 4096) -> DataFrame:
+def messages_to_load(messages: DataFrame, log: DataFrame, *, now_ms: int | None = None, lease_ms: int | None = None, span: int = 4096) -> DataFrame:
     """``topic, partition_id, msg_offset`` of the messages that the next run still has to load.
 
     Left out are messages in a done range, those whose content (batch_id and
     payload_crc) lies in a done range anywhere, and those whose content has a smaller
     offset in the same partition.  A null batch_id or payload_crc is no known content:
-    such a message repeats nothing.  Rows read twice count once.
+    such a message repeats nothing.  Rows read twice count once.  With a clock
+    (``now_ms``, ``lease_ms``) messages in the range of a live lease are left to its holder.
     """
-    done = fold_log(log).where(F.col("state") == "done")
+    items = fold_log(log, now_ms=now_ms, lease_ms=lease_ms)
+    done = items.where(F.col("state") != "pending" if now_ms is not None else F.col("state") == "done")
     marked = mark_loaded(messages, done, span=span)
     known = F.col("batch_id").isNotNull() & F.col("payload_crc").isNotNull()
     content = ["batch_id", "payload_crc"]
@@ -121,6 +130,8 @@ class WorkLedger:
     is created only if it does not exist yet (Hadoop's ``create`` without overwrite),
     so of two writers that want the same token one fails: tokens are fencing tokens.
     A crash leaves the last complete state; an expired lease can be taken again.
+    The folder must be on a file system that creates a file once only (HDFS, local or
+    network disks; an object store needs a committer with conditional writes).
     """
 
     def __init__(self, spark: SparkSession, folder: str, *, lease_ms: int = 600_000, clock: Callable[[], int] | None = None):
@@ -155,8 +166,10 @@ class WorkLedger:
         path = self._path(f"{self.folder}/{item}/{token}.json")
         try:
             stream = self._fs.create(path, False)
-        except Exception:  # exists: another writer was first
-            return False
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName() or self._fs.exists(path):
+                return False  # another writer was first
+            raise
         stream.write(bytearray(json.dumps(entry).encode()))
         stream.close()
         return True
@@ -236,14 +249,43 @@ class WorkLedger:
             ended.append(item)
         return ended
 
+    def process_together(self, worker: str, base: str, build: Callable[[list[str]], DataFrame]) -> list[str]:
+        """Lease all pending items, write the output of all of them in one job and mark them as done; the items done here.
+
+        ``build(items)`` gives rows with a column ``item``.  The attempt has a folder
+        of its own, named after its items and tokens; each item's state records its part of it.
+        """
+        held = {item: token for item in self.items() if (token := self.lease(item, worker)) is not None}
+        if not held:
+            return []
+        attempt = f"{base.rstrip('/')}/attempt={hashlib.sha256(json.dumps(sorted(held.items())).encode()).hexdigest()[:16]}"
+        keepers = [_Keeper(self, item, token) for item, token in held.items()]
+        try:
+            with _Keepers(keepers, self.lease_ms):
+                build(list(held)).write.mode("overwrite").partitionBy("item").parquet(attempt)
+        except Exception:
+            for k in keepers:
+                self.release(k.item, k.token)
+            raise
+        ended = []
+        for k in keepers:
+            path = f"{attempt}/item={k.item}"
+            try:
+                self.finish(k.item, k.token, path if self._fs.exists(self._path(path)) else "")
+            except StaleWriter:  # its lease went to another while we wrote: theirs is read
+                continue
+            ended.append(k.item)
+        return ended
+
     def finished_output(self, spark: SparkSession, base: str) -> DataFrame | None:
         """Output of the done items only, from the paths they record; what other attempts left behind is not read."""
         paths = []
         for item in self.items():
             entry, _ = self._last(item)
             if entry["state"] == "done":
-                # items done before paths were recorded lie in the item's own folder
-                paths.append(entry.get("path") or f"{base.rstrip('/')}/item={item}")
+                # items done before paths were recorded lie in the item's own folder; an empty path is an item without rows
+                path = entry.get("path")
+                paths += [f"{base.rstrip('/')}/item={item}" if path is None else path] if path != "" else []
         return spark.read.parquet(*paths) if paths else None
 
 
@@ -255,14 +297,19 @@ class _Keeper:
         self._end = threading.Event()
         self._thread = threading.Thread(target=self._run, daemon=True)
 
+    def renew(self) -> bool:
+        """Is there a lease left to be renewed?"""
+        try:
+            self.token = self.ledger.renew(self.item, self.token)
+        except StaleWriter:  # finish() with this token fails as well
+            return False
+        except Exception:  # the folder could not be reached: the next turn tries again
+            pass
+        return True
+
     def _run(self) -> None:
-        while not self._end.wait(self.ledger.lease_ms / 3000):
-            try:
-                self.token = self.ledger.renew(self.item, self.token)
-            except StaleWriter:  # finish() with this token fails as well
-                return
-            except Exception:  # the folder could not be reached: the next turn tries again
-                continue
+        while not self._end.wait(self.ledger.lease_ms / 3000) and self.renew():
+            pass
 
     def __enter__(self) -> _Keeper:
         self._thread.start()
@@ -271,3 +318,55 @@ class _Keeper:
     def __exit__(self, *_) -> None:
         self._end.set()
         self._thread.join()
+
+
+class _Keepers:
+    """Renews many leases from one thread until the block ends."""
+
+    def __init__(self, keepers: list[_Keeper], lease_ms: int):
+        self.keepers, self.wait_s = keepers, lease_ms / 3000
+        self._end = threading.Event()
+        self._thread = threading.Thread(target=self._run, daemon=True)
+
+    def _run(self) -> None:
+        live = self.keepers
+        while live and not self._end.wait(self.wait_s):
+            live = [k for k in live if k.renew()]
+
+    def __enter__(self) -> _Keepers:
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._end.set()
+        self._thread.join()
+
+
+def partition_item(topic: str, partition: int) -> str:
+    """Name of the work item of a queue partition, fit for a folder."""
+    return f"{quote(topic, safe='')}-{partition}".replace("%", "_x")
+
+
+def load_next(ledger: WorkLedger, base: str, messages: DataFrame, log: DataFrame, *, worker: str = "next run", now_ms: int | None = None, lease_ms: int | None = None) -> DataFrame:
+    """The messages that the next run loads, by the ledger: ``topic, partition_id, msg_offset``.
+
+    Every partition of the queue is a work item.  The run leases the pending ones,
+    writes what ``messages_to_load`` leaves of them, in one job, under paths of its
+    tokens, and marks them as done.  Read back are the paths of the done states alone,
+    so an attempt that failed or lost its leases leaves nothing behind, and a run that
+    is repeated after a crash goes on with the items that are not done.
+    """
+    spark = messages.sparkSession
+    known = messages.where("topic is not null and partition_id is not null").select("topic", "partition_id").distinct().collect()  # partitions of the queue
+    names = [(r.topic, r.partition_id, partition_item(r.topic, r.partition_id)) for r in known]
+    ledger.add(sorted(n for *_, n in names))
+
+    def build(items: list[str]) -> DataFrame:
+        mine = spark.createDataFrame([n for n in names if n[2] in set(items)], "topic STRING, partition_id INT, item STRING")
+        todo = messages_to_load(messages, log, now_ms=now_ms, lease_ms=lease_ms)
+        return todo.join(F.broadcast(mine.withColumn("partition_id", F.col("partition_id").cast(todo.schema["partition_id"].dataType))), ["topic", "partition_id"])
+
+    ledger.process_together(worker, base, build)
+    out = ledger.finished_output(spark, base)
+    columns = ["topic", "partition_id", "msg_offset"]
+    return out.select(*columns) if out is not None else messages.select(*columns).limit(0)

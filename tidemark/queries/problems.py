@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.model import scalar_value, series_key
 from tidemark.operators import anomalies, grid, hotkeys, ledger
-from tidemark.session import table
+from tidemark.session import shared_folder, table
 
 #: ``metric{name=value,...}`` of a row of points, in DuckDB's SQL
 SQL_KEY = (
@@ -83,8 +85,16 @@ def p3_impossible(spark: SparkSession, d: str) -> DataFrame:
     return flags.where("impossible").select("point_id")
 
 
+LEASE_MS = 600_000
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.messages_to_load(table(spark, d, "queue_messages"), table(spark, d, "kafka_inputs"))
+    """The next run by the ledger, at a time when all leases of the log have expired; a ledger of its own for each call."""
+    messages, log = table(spark, d, "queue_messages"), table(spark, d, "kafka_inputs")
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    now = (log.agg(F.max("logged_ms")).first()[0] or 0) + LEASE_MS + 1
+    book = ledger.WorkLedger(spark, f"{folder}/states", lease_ms=LEASE_MS)
+    return ledger.load_next(book, f"{folder}/output", messages, log, now_ms=now, lease_ms=LEASE_MS)
 
 
 def p4_items(spark: SparkSession, d: str) -> DataFrame:

@@ -28,9 +28,11 @@ def local_session(app: str = "tidemark", cores: str = "8", **conf: str) -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests only) a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; on a local master, where there is none set, a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"tidemark-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
