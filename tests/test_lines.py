@@ -75,11 +75,16 @@ def test_json(spark):
         '[{"metric": "a", "timestamp": 11, "value": 7}, {"metric": "a", "timestamp": 12, "value": [1, 2.5]}, {"metric": "a", "timestamp": 13, "value": [1, 2]}]',
         "nonsense", "", None, '{"metric": null}',
     ]
+    bodies += ['[{"metric": "b", "timestamp": 14, "value": "x"}, {"timestamp": 15, "value": 1}, {"metric": "b", "timestamp": "soon", "value": 1}, {"metric": "b", "timestamp": 4294967296, "value": 1}, {"metric": "b", "timestamp": 16, "value": [1, "x"]}]', "[]"]
     x = lines.parse_json_points(spark.createDataFrame([(b,) for b in bodies], "body STRING"))
-    got = {r.ts: r for r in x.collect()}
+    got = {r.ts: r for r in x.where("error is null").collect()}
     assert set(got) == {10, 11, 12, 13}
     assert got[10].metric == "l.load" and got[10].tags == {"cluster": "c", "host": "web1"} and got[10].float_value == 1.5
     assert got[11].int_value == 7 and got[12].float_list == [1.0, 2.5] and got[13].int_list == [1, 2]
+    bad = sorted((r.error, r.rejected or "") for r in x.where("error is not null").collect())
+    assert [e for e, _ in bad] == ["bad JSON", "bad list value", "bad timestamp", "bad value", "empty", "empty", "no metric", "no metric", "no object", "timestamp out of range"]
+    assert bad[0][1] == "nonsense" and '"x"' in bad[3][1] and all(r.value_type is None and r.metric is None for r in x.where("error is not null").collect())
+    assert lines.parse_json_points(spark.createDataFrame([], "body STRING")).collect() == []
 
 
 def test_validation(spark):

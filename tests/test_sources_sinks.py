@@ -49,6 +49,37 @@ def snap(data):
     return out
 
 
+def snap_frames(data, plain):
+    crc = lambda b: packs.masked_crc(b).to_bytes(4, "little")
+    parts = ((0, crc(data) + snap(data)), (1, crc(plain) + plain))
+    return b"\xff\x06\x00\x00sNaPpY" + b"".join(bytes([kind]) + len(b).to_bytes(3, "little") + b for kind, b in parts)
+
+
+def test_streams_are_read_to_their_end():
+    one, two = zlib.compress(b"first" * 300), gzip.compress(b"second")
+    assert packs.inflate_all(one + two) == b"first" * 300 + b"second"
+    for cut in (one[:-5], one[: len(one) // 2], one + two[:-9], one + b"junk"):
+        with pytest.raises(ValueError):
+            packs.inflate_all(cut)
+    with pytest.raises(ValueError):
+        packs.inflate_all(one + two, most=1503)
+
+
+def test_frames_in_a_line_stream(spark, tmp_path):
+    t = "put a {} 1 cluster=c\n"
+    first, second = (t.format(2) + t.format(3)[:9]).encode(), (t.format(3)[9:] + t.format(4)).encode()
+    z, sn = zlib.compress(first), snap_frames(second, b"")
+    data = t.format(1).encode() + b"deflate %d\n" % len(z) + z + b"snappy %d\n" % len(sn) + sn + t.format(5).encode() + b"deflate 3\nxyz" + t.format(6).encode() + b"deflate 99\nab"
+    folder = tmp_path / "streams"
+    folder.mkdir()
+    (folder / "a").write_bytes(data)
+    (folder / "b").write_bytes(t.format(7).encode()[:-1])
+    (folder / "c").write_bytes(b"")
+    got = readers.read_line_streams(spark, str(folder)).collect()
+    assert sorted(r.ts for r in got if r.error is None) == [1, 2, 3, 4, 5, 6, 7]
+    assert sorted(r.error for r in got if r.error is not None) == ["truncated frame", "truncated stream"]
+
+
 def test_compressed_frames():
     data = b"abcabcabc" * 40
     assert packs.inflate(zlib.compress(data) + b"rest") == (data, b"rest")
@@ -59,9 +90,10 @@ def test_compressed_frames():
         packs.inflate(zlib.compress(data), most=10)
     assert packs.unsnap(snap(data)) == data
     assert packs.unsnap(b"\x09" + bytes([2 << 2]) + b"abc" + bytes([(6 - 4) << 2 | 1, 3])) == b"abcabcabc"
-    frames = b"\xff\x06\x00\x00sNaPpY" + b"".join(bytes([kind]) + (len(b) + 4).to_bytes(3, "little") + b"crc!" + b for kind, b in ((0, snap(data)), (1, b"plain")))
+    frames = snap_frames(data, b"plain")
     assert packs.unsnap_frames(frames) == data + b"plain"
-    for bad in (b"\x02\x01\x00\x00x", b"\x00\xff", b"\x00\x06\x00\x00crc!\x05\x01"):
+    assert packs.masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
+    for bad in (b"\x02\x01\x00\x00x", b"\x00\xff", b"\x00\x06\x00\x00crc!\x05\x01", frames[:-1] + b"X", frames[:14] + b"!" + frames[15:]):
         with pytest.raises((ValueError, IndexError)):
             packs.unsnap_frames(bad)
 
@@ -80,7 +112,10 @@ def test_pack_operator(spark):
 
 def test_kafka_options():
     ranges = readers.parse_ranges("t,0,5,9;t,1,0,3;u,0,1,2")
-    assert readers.kafka_offsets(ranges) == ('{"t": {"0": 5, "1": 0}, "u": {"0": 1}}', '{"t": {"0": 9, "1": 3}, "u": {"0": 2}}')
+    assert readers.kafka_reads(ranges) == [('{"t": [0, 1], "u": [0]}', '{"t": {"0": 5, "1": 0}, "u": {"0": 1}}', '{"t": {"0": 9, "1": 3}, "u": {"0": 2}}')]
+    two = readers.kafka_reads(readers.parse_ranges("t,0,20,30;t,0,5,9;t,0,8,12;t,1,4,4;t,2,0,1"))
+    assert two == [('{"t": [0, 2]}', '{"t": {"0": 5, "2": 0}}', '{"t": {"0": 12, "2": 1}}'), ('{"t": [0]}', '{"t": {"0": 20}}', '{"t": {"0": 30}}')]
+    assert readers.kafka_reads([]) == []
 
 
 def test_generators(spark):
@@ -111,6 +146,31 @@ def test_store_prunes_and_overwrites(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "compacted")).count() == 4
 
 
+def test_compaction_keeps_kinds_of_values_and_other_partitions(spark, tmp_path):
+    path, start = str(tmp_path / "t"), CONFIG[0].start + 5
+    kinds = [{"int_value": 1}, {"float_value": 1.5}, {"int_list": [1]}, {"float_list": [0.5]}, {"int_value": 2}]
+    rows = [{"metric": "m", "tags": {"cluster": "c"}, "ts": start, "write_ms": k, **v} for k, v in enumerate(kinds)]
+    lay = lambda r: store.with_layout(frame(spark, r).drop("point_id", "batch_id"), config=CONFIG, now=NOW)
+    store.compact(lay(rows + gauge([1.0], start=100, tags={"cluster": "c"})), path)
+    assert spark.read.parquet(path).count() == 5
+    store.compact(readers.read_points(spark, path), path + "2")
+    assert spark.read.parquet(path + "2").count() == 4  # what lies outside the generations was not read
+    store.compact(lay(gauge([9.0], start=100, tags={"cluster": "c"})), path + "2")
+    got = spark.read.parquet(path + "2")
+    assert got.count() == 5 and {r.int_value for r in got.where("int_value is not null").collect()} == {2}
+
+
+def test_of_two_lines_for_one_point_the_later_wins(spark, tmp_path):
+    src = lines_dir(tmp_path, "".join(f"put a 5 {k} cluster=c\n" for k in range(40)))
+    out = str(tmp_path / "out")
+    sink = store.points_sink(out, config=CONFIG, now=lambda: NOW)
+    ingest.ingest_lines(readers.read_lines(spark, src, streaming=True), sink, None, str(tmp_path / "check"), clock=lambda: 7).awaitTermination()
+    stored = spark.read.parquet(out)
+    assert [r.value for r in last_write(stored, tie=None).collect()] == [39.0]
+    store.compact(stored, str(tmp_path / "compacted"))
+    assert [r.int_value for r in spark.read.parquet(str(tmp_path / "compacted")).collect()] == [39]
+
+
 def lines_dir(tmp_path, *texts):
     folder = tmp_path / "lines"
     folder.mkdir(exist_ok=True)

@@ -128,9 +128,9 @@ def parse_lines(lines: DataFrame, *, column: str = "line", shard_tags: tuple[str
     )
 
 
-def valid_points(parsed: DataFrame) -> DataFrame:
+def valid_points(parsed: DataFrame, *more: str) -> DataFrame:
     return parsed.where((F.col("command") == "put") & F.col("error").isNull()).select(
-        "metric", "tags", "ts", "value_type", "int_value", "float_value", "int_list", "float_list"
+        "metric", "tags", "ts", "value_type", "int_value", "float_value", "int_list", "float_list", *more
     )
 
 
@@ -164,24 +164,42 @@ def parse_json_points(bodies: DataFrame, *, column: str = "body") -> DataFrame:
     """Points of JSON bodies: one object or an array of objects, the value a number or an array of numbers.
 
     A metric ``host/name`` with a slash is named ``l.<name>`` and gets the tag host.
-    Bodies that are no such JSON give no rows.
+    ``error`` is null for a point; else it names what is wrong, and ``rejected`` holds
+    the body (of which one row comes) or the object at fault.  Every body and object
+    has a row: none is dropped.
     """
     body = F.trim(F.col(column))
     array = F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
-    x = bodies.select(F.explode(F.from_json(array, f"ARRAY<{JSON_POINT}>")).alias("p")).select("p.*").where(F.col("metric").isNotNull() & F.col("timestamp").isNotNull())
+    parsed = F.from_json(array, f"ARRAY<{JSON_POINT}>")
+    x = bodies.select(F.col(column).alias("_body"), parsed.alias("_all")).select("_body", F.col("_all").isNull().alias("_bad"), F.explode_outer("_all").alias("p"))
+    x = x.select("_body", "_bad", F.col("p").isNull().alias("_none"), "p.*").withColumn("value", F.regexp_replace("value", "\\s", ""))
     slash = F.instr("metric", "/") > 0
     host, rest = F.substring_index("metric", "/", 1), F.expr("substring(metric, instr(metric, '/') + 1)")
     tags = F.coalesce(F.col("tags"), F.create_map().cast("map<string,string>"))
     tags = F.when(slash, F.map_concat(F.map_filter(tags, lambda k, v: k != "host"), F.create_map(F.lit("host"), host))).otherwise(tags)
-    value = F.regexp_replace("value", "\\s", "")
+    value = F.col("value")
     items = list_items(value)
     is_list, floats = value.startswith("["), F.exists(items, lambda i: ~looks_like_integer(i))
     y = x.select(
-        F.when(slash, F.concat(F.lit("l."), rest)).otherwise(F.col("metric")).alias("metric"), tags.alias("tags"), F.col("timestamp").try_cast("int").alias("ts"),
+        "_body", "_bad", "_none", F.when(slash, F.concat(F.lit("l."), rest)).otherwise(F.col("metric")).alias("metric"), tags.alias("tags"), "timestamp", "value",
         F.when(~is_list & looks_like_integer(value), parse_long(value)).alias("int_value"),
         F.when(~is_list & ~looks_like_integer(value), parse_float(value)).alias("float_value"),
         F.when(is_list & ~floats, F.transform(items, parse_long)).alias("int_list"),
         F.when(is_list & floats, F.transform(items, parse_float)).alias("float_list"),
     )
-    kind = F.when(F.col("int_value").isNotNull(), "INT").when(F.col("float_value").isNotNull(), "FLOAT").when(F.col("int_list").isNotNull(), "INT_LIST").when(F.col("float_list").isNotNull(), "FLOAT_LIST")
-    return y.withColumn("value_type", kind)
+    no_value = F.col("int_value").isNull() & F.col("float_value").isNull() & F.col("int_list").isNull() & F.col("float_list").isNull()
+    bad_item = F.coalesce(F.exists("int_list", lambda i: i.isNull()), F.exists("float_list", lambda i: i.isNull()), F.lit(False))
+    error = (
+        F.when(F.coalesce(F.trim("_body"), F.lit("")) == "", "empty")
+        .when(F.col("_bad"), "bad JSON").when(F.col("_none"), "no object").when(F.col("metric").isNull(), "no metric")
+        .when(F.coalesce(F.col("timestamp") <= 0, F.lit(True)), "bad timestamp").when(F.col("timestamp") >= 2**31, "timestamp out of range")
+        .when(no_value, "bad value").when(bad_item, "bad list value")
+    )
+    z = y.withColumn("error", error)
+    ok = F.col("error").isNull()
+    rejected = F.when(F.col("error").isin("empty", "bad JSON", "no object"), F.col("_body")).otherwise(F.to_json(F.struct("metric", "timestamp", "value", "tags")))
+    kind = F.when(F.col("int_value").isNotNull(), "INT").when(F.col("float_value").isNotNull(), "FLOAT").when(F.col("int_list").isNotNull(), "INT_LIST").otherwise("FLOAT_LIST")
+    return z.select(
+        *(F.when(ok, F.col(c)).alias(c) for c in ("metric", "tags")), F.when(ok, F.col("timestamp").cast("int")).alias("ts"),
+        *(F.when(ok, F.col(c)).alias(c) for c in ("int_value", "float_value", "int_list", "float_list")), F.when(ok, kind).alias("value_type"), "error", F.when(~ok, rejected).alias("rejected"),
+    )

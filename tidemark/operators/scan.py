@@ -112,12 +112,12 @@ def time_predicate(start: int, stop: int) -> Column:
 
 def last_write(points: DataFrame, *, tie: str | None = "point_id") -> DataFrame:
     """Of the writes of one (metric, tags, ts, int or float) the newest: greatest write_ms (null lowest), then
-    ``tie``, or the micro-batch that brought it where a table has no such column.
+    ``tie``, or where a table has no such column the place within the micro-batch (``write_seq``) or the micro-batch.
 
     Partial aggregation before the shuffle; nothing is sorted.  Columns: metric,
     tags_key, tags, ts, is_float, value.
     """
-    ties = [c for c in (tie, "batch") if c in points.columns]
+    ties = [c for c in (tie, "write_seq", "batch") if c in points.columns]
     # write time and tie as one decimal number: fixed-size buffers keep the aggregation a hash aggregation, without sorts
     order = F.coalesce("write_ms", F.lit(-(2**62))).cast("decimal(19,0)") * F.lit(TIES).cast("decimal(20,0)")
     order = order + F.coalesce(F.col(ties[0]).cast("long"), F.lit(-(2**63))) if ties else order

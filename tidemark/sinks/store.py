@@ -35,15 +35,25 @@ def write_points(points: DataFrame, path: str, *, batch: int | None = None) -> N
 
 
 def compact(points: DataFrame, path: str) -> None:
-    """Rewrite a table with only the newest write of each point, one sorted run per generation and shard."""
-    newest = F.struct(F.coalesce("write_ms", F.lit(-(2**62))), *([F.col("batch")] if "batch" in points.columns else []))
+    """Write a table with only the newest write of each point, one sorted run per generation, shard and day.
+
+    A point is one (metric, tags, ts) with one kind of value: an integer, a float and
+    lists of either stand side by side.  Of equal write times the later micro-batch
+    counts, then the later row of it.  Partitions of ``path`` that ``points`` does not
+    hold stay as they are.
+    """
+    newest = F.struct(F.coalesce("write_ms", F.lit(-(2**62))), *(F.col(c) for c in ("batch", "write_seq") if c in points.columns))
     columns = [c for c in points.columns if c not in ("gen", "shard", "batch")]
+    kind = F.coalesce(*(F.when(F.col(c).isNotNull(), k) for k, c in enumerate(("int_value", "float_value", "int_list", "float_list"))))
     kept = (
-        points.withColumn("_k", tags_key()).withColumn("_f", F.col("int_value").isNull())
-        .groupBy("gen", "shard", "metric", "_k", "ts", "_f").agg(F.max_by(F.struct(*columns), newest).alias("r"))
+        points.withColumn("_k", tags_key()).withColumn("_kind", kind)
+        .groupBy("gen", "shard", "metric", "_k", "ts", "_kind").agg(F.max_by(F.struct(*columns), newest).alias("r"))
         .select("r.*", "gen", "shard", "_k")
     )
-    kept.repartition("gen", "shard", F.floor(F.col("ts") / 86400)).sortWithinPartitions("metric", "_k", "ts").drop("_k").write.mode("overwrite").partitionBy("gen", "shard").parquet(path)
+    (
+        kept.repartition("gen", "shard", F.floor(F.col("ts") / 86400)).sortWithinPartitions("metric", "_k", "ts").drop("_k")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("gen", "shard").parquet(path)
+    )
 
 
 def points_sink(path: str, *, config: list[Period], now: Callable[[], int], shard_tags: tuple[str, ...] = ("cluster",)) -> Sink:

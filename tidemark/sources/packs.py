@@ -6,6 +6,7 @@ corrupt pack gives one error row and no points.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -152,8 +153,9 @@ def decode_pack(data: bytes, *, with_batch_id: bool = False) -> tuple[int | None
 
 
 def inflate(data: bytes, *, most: int = 1 << 28) -> tuple[bytes, bytes]:
-    """(content, what follows) of a zlib, gzip or raw deflate stream, with a bound on the content."""
+    """(content, what follows) of one whole zlib, gzip or raw deflate stream, with a bound on the content."""
     raw_first = not (data[:1] == b"\x78" or data[:2] == b"\x1f\x8b")
+    problem = "no deflate stream"
     for bits in ((-15, 47) if raw_first else (47, -15)):
         stream = zlib.decompressobj(bits)
         try:
@@ -162,8 +164,19 @@ def inflate(data: bytes, *, most: int = 1 << 28) -> tuple[bytes, bytes]:
             continue
         if stream.unconsumed_tail:
             raise ValueError("content beyond the bound")
-        return out + stream.flush(), stream.unused_data
-    raise ValueError("no deflate stream")
+        if stream.eof:
+            return out, stream.unused_data
+        problem = "truncated stream"
+    raise ValueError(problem)
+
+
+def inflate_all(data: bytes, *, most: int = 1 << 28) -> bytes:
+    """Content of streams that follow one another up to the end of the data."""
+    out = bytearray()
+    while data:
+        content, data = inflate(data, most=most - len(out))
+        out += content
+    return bytes(out)
 
 
 def unsnap(block: bytes) -> bytes:
@@ -195,8 +208,29 @@ def unsnap(block: bytes) -> bytes:
     return bytes(out)
 
 
-def unsnap_frames(data: bytes) -> bytes:
-    """Content of a framed snappy stream; checksums are not verified, padding is skipped."""
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+_CRC = _crc_table()
+
+
+def masked_crc(data: bytes) -> int:
+    """CRC-32C of the data, turned and shifted as snappy frames carry it."""
+    crc = 0xFFFFFFFF
+    for byte in data:
+        crc = _CRC[(crc ^ byte) & 0xFF] ^ crc >> 8
+    crc ^= 0xFFFFFFFF
+    return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
+
+
+def unsnap_frames(data: bytes, *, most: int = 1 << 28) -> bytes:
+    """Content of a framed snappy stream; checksums must hold, padding is skipped."""
     out, at = bytearray(), 0
     while at < len(data):
         if at + 4 > len(data):
@@ -205,17 +239,76 @@ def unsnap_frames(data: bytes) -> bytes:
         body, at = data[at + 4 : at + 4 + size], at + 4 + size
         if at > len(data):
             raise ValueError("truncated frame")
-        if kind == 0:
-            out += unsnap(body[4:])
-        elif kind == 1:
-            out += body[4:]
+        if kind in (0, 1):
+            content = unsnap(body[4:]) if kind == 0 else body[4:]
+            if masked_crc(content) != int.from_bytes(body[:4], "little"):
+                raise ValueError("checksum differs")
+            out += content
         elif 2 <= kind <= 0x7F:
             raise ValueError(f"frame kind {kind}")
+        if len(out) > most:
+            raise ValueError("content beyond the bound")
     return bytes(out)
 
 
-def decode_packs(packs: DataFrame, *, column: str = "value", compression: str | None = None, with_batch_id: bool = True) -> DataFrame:
-    """Points of binary packs; a corrupt pack is one row with ``error``.  compression: None, deflate or snappy."""
+#: Frames of compressed lines within a line stream: the command and the size in bytes of what follows its line.
+FRAME = re.compile(rb"^(deflate|snappy) +(\d+)[ \t\r]*$")
+
+
+def stream_lines(data: bytes, *, most: int = 1 << 28) -> Iterator[tuple[str | None, str | None]]:
+    """(line, error) of a recorded line stream, its compressed frames opened in place.
+
+    A line may begin in one frame and end in the next or in plain text.  A frame that
+    is cut short or corrupt is one error, and reading goes on behind it.
+    """
+    at, carried = 0, b""
+    while at < len(data):
+        end = data.find(b"\n", at)
+        end = len(data) if end < 0 else end
+        line, at = data[at:end], end + 1
+        found = FRAME.match(line)
+        if found is None:
+            yield (carried + line).decode("utf-8", "replace"), None
+            carried = b""
+            continue
+        size = int(found[2])
+        body, at = data[at : at + size], at + size
+        try:
+            if len(body) < size:
+                raise ValueError("truncated frame")
+            content = inflate_all(body, most=most) if found[1] == b"deflate" else unsnap_frames(body, most=most)
+        except (ValueError, IndexError) as e:
+            carried = b""
+            yield None, str(e)
+            continue
+        *whole, carried = (carried + content).split(b"\n")
+        yield from ((x.decode("utf-8", "replace"), None) for x in whole)
+    if carried:
+        yield carried.decode("utf-8", "replace"), None
+
+
+def open_streams(files: DataFrame, *, column: str = "content", most: int = 1 << 28, rows: int = 10_000) -> DataFrame:
+    """``line, frame_error`` of recorded line streams, one per row of ``files``; lines in order within a stream."""
+
+    def kernel(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                held = []
+                for pair in stream_lines(data.as_py() or b"", most=most):
+                    held.append(pair)
+                    if len(held) >= rows:
+                        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], pa.string()) for k in (0, 1)], names=["line", "frame_error"])
+                        held = []
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], pa.string()) for k in (0, 1)], names=["line", "frame_error"])
+
+    return files.select(F.col(column).cast("binary").alias("content")).mapInArrow(kernel, "line STRING, frame_error STRING")
+
+
+def decode_packs(packs: DataFrame, *, column: str = "value", compression: str | None = None, with_batch_id: bool = True, most: int = 1 << 28, rows: int = 20_000) -> DataFrame:
+    """Points of binary packs; a corrupt pack is one row with ``error``.  compression: None, deflate or snappy.
+
+    ``most``: bytes that one pack may hold when it is open; beyond, it is an error.
+    """
     if compression not in (None, "deflate", "snappy"):
         raise ValueError(f"unknown compression {compression!r}")
     schema = pa.schema(
@@ -227,17 +320,20 @@ def decode_packs(packs: DataFrame, *, column: str = "value", compression: str |
 
     def kernel(batches):
         for batch in batches:
-            rows = []
-            for data in batch.column(0).to_pylist():
-                if data is None:
+            held = []
+            for data in batch.column(0):
+                if (data := data.as_py()) is None:
                     continue
                 try:
-                    data = inflate(data)[0] if compression == "deflate" else unsnap_frames(data) if compression == "snappy" else data
+                    data = inflate_all(data, most=most) if compression == "deflate" else unsnap_frames(data, most=most) if compression == "snappy" else data
                     number, points = decode_pack(data, with_batch_id=with_batch_id)
-                    rows += [p | {"batch_id": number, "tags": list(p["tags"].items()), "error": None} for p in points]
+                    held += [p | {"batch_id": number, "tags": list(p["tags"].items()), "error": None} for p in points]
                 except (ValueError, KeyError, IndexError, UnicodeDecodeError, struct.error) as e:
-                    rows.append(dict.fromkeys(schema.names) | {"error": str(e) or type(e).__name__})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    held.append(dict.fromkeys(schema.names) | {"error": str(e) or type(e).__name__})
+                if len(held) >= rows:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held = []
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return packs.select(F.col(column).cast("binary").alias("value")).mapInArrow(kernel, DECODED_DDL)
 

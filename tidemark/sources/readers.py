@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import lines as parsing
 from tidemark.functions.times import Period, generation_ranges
+from tidemark.sources import packs
 
 
 def read_points(spark: SparkSession, path: str, *, start: int | None = None, stop: int | None = None, config: list[Period] | None = None, shards: list[str] | None = None) -> DataFrame:
@@ -41,20 +44,51 @@ def read_socket_lines(spark: SparkSession, host: str, port: int, *, shard_tags:
     return parsing.parse_lines(raw.withColumnRenamed("value", "line"), shard_tags=shard_tags)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return parsing.parse_json_points(spark.read.text(path, wholetext=True).withColumnRenamed("value", "body"))
+def read_line_streams(spark: SparkSession, path: str, *, shard_tags: tuple[str, ...] = ("cluster",)) -> DataFrame:
+    """Parsed lines of recorded streams (one file each) that may hold ``deflate N`` and ``snappy N`` frames.
+
+    A frame that cannot be opened is a row whose error says so.
+    """
+    lines = packs.open_streams(spark.read.format("binaryFile").load(path).select("content"))
+    parsed = parsing.parse_lines(lines, shard_tags=shard_tags)
+    return parsed.withColumn("error", F.coalesce("frame_error", "error")).drop("frame_error")
+
+
+def read_json(spark: SparkSession, path: str, *, per_line: bool = False) -> DataFrame:
+    """Points of JSON bodies, one per file or one per line, rejected ones with their error."""
+    return parsing.parse_json_points(spark.read.text(path, wholetext=not per_line).withColumnRenamed("value", "body"))
 
 
-def kafka_offsets(ranges: list[tuple[str, int, int, int]]) -> tuple[str, str]:
-    """Options startingOffsets and endingOffsets for (topic, partition, start, stop) ranges."""
-    import json
+Ranges = list[tuple[str, int, int, int]]
 
-    starts: dict[str, dict[str, int]] = {}
-    stops: dict[str, dict[str, int]] = {}
-    for topic, partition, start, stop in ranges:
-        starts.setdefault(topic, {})[str(partition)] = start
-        stops.setdefault(topic, {})[str(partition)] = stop
-    return json.dumps(starts, sort_keys=True), json.dumps(stops, sort_keys=True)
+
+def kafka_reads(ranges: Ranges) -> list[tuple[str, str, str]]:
+    """Options assign, startingOffsets and endingOffsets of bounded reads that together cover all ranges.
+
+    One read takes one range of each partition; further ranges of a partition go to
+    further reads.  Ranges without a message are left out; overlapping ones are joined,
+    so that no message is read twice.
+    """
+    per: dict[tuple[str, int], list[list[int]]] = {}
+    for topic, partition, start, stop in sorted(ranges):
+        if stop <= start:
+            continue
+        mine = per.setdefault((topic, partition), [])
+        if mine and start <= mine[-1][1]:
+            mine[-1][1] = max(mine[-1][1], stop)
+        else:
+            mine.append([start, stop])
+    out = []
+    for k in range(max(map(len, per.values()), default=0)):
+        assign: dict[str, list[int]] = {}
+        starts: dict[str, dict[str, int]] = {}
+        stops: dict[str, dict[str, int]] = {}
+        for (topic, partition), mine in per.items():
+            if k < len(mine):
+                assign.setdefault(topic, []).append(partition)
+                starts.setdefault(topic, {})[str(partition)], stops.setdefault(topic, {})[str(partition)] = mine[k]
+        out.append(tuple(json.dumps(x, sort_keys=True) for x in (assign, starts, stops)))
+    return out
 
 
 def parse_ranges(text: str) -> list[tuple[str, int, int, int]]:
@@ -66,17 +100,23 @@ def parse_ranges(text: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def read_kafka(spark: SparkSession, servers: str, topics: list[str], *, ranges: list[tuple[str, int, int, int]] | None = None, streaming: bool = False, most_per_batch: int | None = None) -> DataFrame:
-    """Packs of a queue: bounded by offsets in batch, or as a stream.  Needs Spark's Kafka connector on the class path."""
-    reader = (spark.readStream if streaming else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
-    if ranges is not None:
-        starts, stops = kafka_offsets(ranges)
-        reader = reader.option("startingOffsets", starts)
-        if not streaming:
-            reader = reader.option("endingOffsets", stops)
-    if streaming and most_per_batch:
-        reader = reader.option("maxOffsetsPerTrigger", most_per_batch)
-    return reader.load()
+def read_kafka(spark: SparkSession, servers: str, topics: list[str], *, ranges: Ranges | None = None, streaming: bool = False, most_per_batch: int | None = None) -> DataFrame:
+    """Packs of a queue: exactly the given ranges of offsets in batch, or a stream.  Needs Spark's Kafka connector on the class path."""
+    if streaming:
+        if ranges is not None:
+            raise ValueError("a stream has no ranges; its checkpoint keeps the offsets")
+        reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
+        return (reader.option("maxOffsetsPerTrigger", most_per_batch) if most_per_batch else reader).load()
+    reader = spark.read.format("kafka").option("kafka.bootstrap.servers", servers)
+    if ranges is None:
+        return reader.option("subscribe", ",".join(topics)).load()
+    out = None
+    for assign, starts, stops in kafka_reads([r for r in ranges if r[0] in topics]):
+        one = reader.option("assign", assign).option("startingOffsets", starts).option("endingOffsets", stops).load()
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("the ranges hold no message")
+    return out
 
 
 def sine_points(spark: SparkSession, *, start: int, stop: int, step: int, periods: list[int], amps: list[int], shifts: list[int], metric: str = "sin", cluster: str = "c0") -> DataFrame:
