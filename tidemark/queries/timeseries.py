@@ -58,8 +58,8 @@ def sql_segments(source: str, keys: str, order: str = "ts") -> str:
 SQL_LINE = "CASE WHEN x = x1 THEN y1 WHEN x = x2 THEN y2 ELSE y1 + ((y2 - y1) * (x - x1)) / (x2 - x1) END"
 
 
-def sql_query(q: requests.Query) -> str:
-    """The SQL of a request, step by step as the engine takes it."""
+def sql_query(q: requests.Query, stored_until: int | None = None) -> str:
+    """The SQL of a request, step by step as the engine takes it; buckets before ``stored_until`` come from 32-bit roll-ups."""
     groups = scan.group_names(q.filters)
     g = [f"g_{n}" for n in groups]
     keys = ", ".join([*g, "tags_key"])
@@ -69,7 +69,8 @@ def sql_query(q: requests.Query) -> str:
     now, order = "r", "ts, is_float"
     if q.interval:
         i = q.interval
-        parts.append(f"d AS (SELECT {keys}, ts - ts % {i} + {i // 2} AS ts, {q.downsampler}(v) AS v FROM {now} GROUP BY {keys}, ts - ts % {i} + {i // 2})")
+        down = f"{q.downsampler}(v)" if stored_until is None else f"CASE WHEN max(ts) < {stored_until} THEN {q.downsampler}(v)::FLOAT::DOUBLE ELSE {q.downsampler}(v) END"
+        parts.append(f"d AS (SELECT {keys}, ts - ts % {i} + {i // 2} AS ts, {down} AS v FROM {now} GROUP BY {keys}, ts - ts % {i} + {i // 2})")
         now, order = "d", "ts"
     if q.rate:
         parts.append(f"""t AS (SELECT {keys}, ts, (v - pv) / (ts - pt) AS v FROM (SELECT {keys}, ts, v, lag(ts) OVER o AS pt, lag(v) OVER o AS pv FROM {now}
@@ -162,13 +163,14 @@ def rate(spark, d):
 
 
 def _exact_sum(df: DataFrame) -> DataFrame:
-    """32-bit partials: sums and averages in another order may differ in the last bit, so five digits are compared."""
+    """32-bit partials: sums and averages in another order may differ in the last bit, so five digits of them are compared; extremes are exact."""
+    exact = F.col("agg").isin("max", "min")
     digits = F.floor(F.log10(F.abs("value").cast("double"))) - 4
     scale = F.pow(F.lit(10.0), digits)
-    return df.withColumn("value", F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.floor(F.col("value").cast("double") / scale + 0.50001) * scale).cast("float"))
+    return df.withColumn("value", F.when(exact | (F.col("value") == 0), F.col("value").cast("double")).otherwise(F.floor(F.col("value").cast("double") / scale + 0.50001) * scale).cast("float"))
 
 
-SQL_FIVE = "CASE WHEN value = 0 THEN 0 ELSE floor(value::DOUBLE / pow(10.0, floor(log10(abs(value)::DOUBLE)) - 4) + 0.50001) * pow(10.0, floor(log10(abs(value)::DOUBLE)) - 4) END::FLOAT"
+SQL_FIVE = "CASE WHEN value = 0 OR agg IN ('max', 'min') THEN value ELSE floor(value::DOUBLE / pow(10.0, floor(log10(abs(value)::DOUBLE)) - 4) + 0.50001) * pow(10.0, floor(log10(abs(value)::DOUBLE)) - 4) END::FLOAT"
 
 
 def _rollup(resolution: str):
@@ -217,12 +219,11 @@ def last_write_wins(spark, d):
 
 
 def dedup_adjacent(spark, d):
-    w = _written(spark, d).where("not is_float")
-    return series.drop_repeats(w, KEYS)
+    return series.drop_repeats(_written(spark, d), [*KEYS, "is_float"])
 
 
 def latest_point(spark, d):
-    return series.latest(_written(spark, d).where("is_float"), KEYS)
+    return series.latest(_written(spark, d), [*KEYS, "is_float"])
 
 
 def latest_ts(spark, d):
@@ -281,15 +282,19 @@ def outlanders(spark, d):
     return _points(spark, d).where(times.generation("ts", later, NOW) == times.OUTSIDE).select("point_id")
 
 
-def _lines(spark, d):
-    """Every scalar or list point as a line of the protocol, in its stored order of tags."""
-    p = _points(spark, d)
+def as_lines(p: DataFrame) -> DataFrame:
+    """Every scalar or list point as a line of the protocol, tags in order of their names."""
     tags = F.array_join(F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ")
     ints = F.concat(F.lit("["), F.array_join(F.col("int_list").cast("array<string>"), ","), F.lit("]"))
-    value = F.coalesce(F.col("int_value").cast("string"), F.concat(F.col("float_value").cast("decimal(20,4)").cast("string")), F.when(F.col("int_list").isNotNull(), ints), F.lit(""))
+    floats = F.concat(F.lit("["), F.array_join(F.transform("float_list", lambda v: v.cast("decimal(20,4)").cast("string")), ","), F.lit("]"))
+    value = F.coalesce(F.col("int_value").cast("string"), F.col("float_value").cast("decimal(20,4)").cast("string"), ints, floats, F.lit(""))
     return p.select("point_id", F.concat_ws(" ", F.lit("put"), F.col("metric"), F.col("ts").cast("string"), value, tags).alias("line"))
 
 
+def _lines(spark, d):
+    return as_lines(_points(spark, d))
+
+
 def parse_lines(spark, d):
     x = parsing.parse_lines(_lines(spark, d))
     return x.where("error is null").select("point_id", "metric", "ts", "value_type", "int_value", rounded(F.col("float_value").cast("double"), 3).alias("float_value"))
@@ -301,8 +306,9 @@ def parse_tags(spark, d):
 
 
 def parse_lists(spark, d):
-    x = parsing.parse_lines(_lines(spark, d)).where("error is null and int_list is not null")
-    return x.select("point_id", F.size("int_list").alias("n"), F.aggregate("int_list", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+    x = parsing.parse_lines(_lines(spark, d)).where("error is null and (int_list is not null or float_list is not null)")
+    values = F.coalesce(F.col("int_list").cast("array<double>"), F.col("float_list").cast("array<double>"))
+    return x.select("point_id", "value_type", F.size(values).alias("n"), rounded(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
 
 
 def invalid_lines(spark, d):
@@ -311,10 +317,18 @@ def invalid_lines(spark, d):
 
 
 def parse_json_points(spark, d):
-    p = _points(spark, d).where("int_value is not null and metric is not null and tags is not null")
-    body = F.to_json(F.struct("metric", F.col("ts").alias("timestamp"), F.col("int_value").alias("value"), "tags"))
-    x = parsing.parse_json_points(p.select(body.alias("body")))
-    return x.groupBy("metric", "value_type").agg(F.count("*").alias("n"), F.sum("int_value").cast("decimal(38,0)").cast("string").alias("total"), F.max("ts").alias("last_ts"))
+    """All points with a value as JSON bodies and back: numbers and lists of numbers."""
+    p = _points(spark, d).where("metric is not null and tags is not null")
+    value = F.coalesce(
+        F.col("int_value").cast("string"), F.col("float_value").cast("decimal(20,4)").cast("string"), F.to_json("int_list"),
+        F.concat(F.lit("["), F.array_join(F.transform("float_list", lambda v: v.cast("decimal(20,4)").cast("string")), ","), F.lit("]")),
+    )
+    body = F.concat(F.lit('{"metric":'), F.to_json(F.array("metric")).substr(F.lit(2), F.length(F.to_json(F.array("metric"))) - 2), F.lit(',"timestamp":'), F.col("ts").cast("string"), F.lit(',"value":'), value, F.lit(',"tags":'), F.to_json("tags"), F.lit("}"))
+    x = parsing.parse_json_points(p.where(value.isNotNull()).select(body.alias("body")))
+    return x.groupBy("metric", "value_type", "error").agg(
+        F.count("*").alias("n"), F.sum("int_value").cast("decimal(38,0)").cast("string").alias("total"), F.max("ts").alias("last_ts"),
+        F.sum(F.when(F.col("value_type").endswith("LIST"), F.greatest(F.size("int_list"), F.size("float_list")))).alias("n_items"), rounded(F.max("float_value").cast("double"), 3).alias("most"),
+    )
 
 
 def list_points_scan(spark, d):
@@ -328,24 +342,17 @@ def list_to_double(spark, d):
 
 
 def pack_rows(spark, d):
-    x = series.pack_rows(_written(spark, d).where("is_float"), KEYS, 3600)
-    return x.select(*KEYS, "base", F.size("points").alias("n"), F.element_at("points", 1)["ts"].alias("first_ts"), F.element_at("points", -1)["value"].alias("last_value"))
+    x = series.pack_rows(_written(spark, d), [*KEYS, "is_float"], 3600)
+    places = F.transform("points", lambda p, i: p["value"] * (i + 1))
+    return x.select(
+        *KEYS, "is_float", "base", F.size("points").alias("n"), F.aggregate("points", F.lit(0).cast("long"), lambda a, p: a + p["ts"]).alias("ts_sum"),
+        rounded(F.aggregate(places, F.lit(0.0), lambda a, v: a + v) / F.size("points"), 2).alias("weighted"), F.element_at("points", -1)["value"].alias("last_value"),
+    )
 
 
 def unpack_rows(spark, d):
-    return series.unpack_rows(series.pack_rows(_written(spark, d).where("is_float"), KEYS, 3600), KEYS)
-
-
-def json_result(spark, d):
-    """Response objects of a request, one per group."""
-    q = requests.Query(CPU, "max", START, STOP, {"cluster": Present()}, 3600, "max")
-    return requests.json_result(requests.run(_points(spark, d), q))
-
-
-def text_result(spark, d):
-    q = requests.Query(CPU, "max", START, STOP, {"cluster": Present()}, 3600, "max")
-    x = requests.text_result(requests.run(_points(spark, d), q))
-    return x.where("ord >= 0").groupBy("group").agg(F.count("*").alias("n"))
+    keys = [*KEYS, "is_float"]
+    return series.unpack_rows(series.pack_rows(_written(spark, d), keys, 3600), keys)
 
 
 def shard_name(spark, d):
@@ -391,7 +398,7 @@ QUERIES = {
         scan_metric_range, shard_prune, tag_must_exist, segments, gap_cutoff, rate, rollup_day, reaggregate, resolution_pick, rollup_stitch,
         last_write_wins, dedup_adjacent, latest_point, latest_ts, series_list, distinct_tag_values, health_check, name_lookup_join, union_chunks,
         queue_lag, queue_lag_total, generation_id, outlanders, parse_lines, parse_tags, parse_lists, invalid_lines, parse_json_points,
-        list_points_scan, list_to_double, pack_rows, unpack_rows, json_result, text_result, shard_name, charset_check, token_split, validate_points, events_hourly,
+        list_points_scan, list_to_double, pack_rows, unpack_rows, shard_name, charset_check, token_split, validate_points, events_hourly,
     )},
 }
 
@@ -407,8 +414,23 @@ def _sql_rollup(step: int, name: str) -> str:
 
 _FIVE = f"SELECT metric, tags_key, ts, {SQL_FIVE} AS value, resolution, agg FROM"
 _SHARD = "CASE WHEN len(list_filter(map_keys(tags), lambda k: k = 'cluster')) = 1 THEN 'cluster=' || tags['cluster'] END"
-_SQL_LINE_TEXT = """l AS (SELECT *, CASE WHEN int_value IS NOT NULL THEN 'INT' WHEN float_value IS NOT NULL THEN 'FLOAT' WHEN int_list IS NOT NULL THEN 'INT_LIST' END AS kind FROM points
-  WHERE metric IS NOT NULL AND tags IS NOT NULL AND (int_value IS NOT NULL OR float_value IS NOT NULL OR int_list IS NOT NULL))"""
+SQL_LINE_TEXT = """l AS (SELECT *, CASE WHEN int_value IS NOT NULL THEN 'INT' WHEN float_value IS NOT NULL THEN 'FLOAT'
+    WHEN int_list IS NOT NULL THEN 'INT_LIST' WHEN float_list IS NOT NULL AND len(float_list) > 0 THEN 'FLOAT_LIST' WHEN float_list IS NOT NULL THEN 'INT_LIST' END AS kind FROM points
+  WHERE metric IS NOT NULL AND tags IS NOT NULL AND (int_value IS NOT NULL OR float_value IS NOT NULL OR int_list IS NOT NULL OR float_list IS NOT NULL))"""
+#: Lines as as_lines makes them, cut into words, and the error that the first failing check names.
+SQL_LINE_ERRORS = """t AS (SELECT concat_ws(' ', 'put', metric, ts::VARCHAR, coalesce(int_value::VARCHAR, float_value::DECIMAL(20,4)::VARCHAR,
+    '[' || array_to_string(int_list, ',') || ']', '[' || array_to_string(list_transform(float_list, lambda v: v::DECIMAL(20,4)::VARCHAR), ',') || ']', ''),
+    array_to_string(list_sort(list_transform(map_entries(tags), lambda e: e.key || '=' || e.value)), ' ')) AS line FROM points),
+  w AS (SELECT line, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM t),
+  c AS (SELECT line, len(w) AS n, CASE WHEN regexp_full_match(w[3], '[+-]?[0-9]{1,19}') THEN try_cast(w[3] AS BIGINT) END AS ts, w[2] AS metric, w[4] AS v, w[5:] AS tags,
+    list_transform(w[5:], lambda x: string_split(x, '=')) AS pairs FROM w),
+  x AS (SELECT *, regexp_full_match(v, '\\[[^\\[\\]]*\\]') AS list, list_filter(string_split(v[2:-2], ','), lambda i: i <> '' OR contains(v, ',')) AS items,
+    list_bool_or(list_transform(pairs, lambda p: len(p) <> 2 OR p[1] = '' OR p[2] = '')) AS bad, list_transform(pairs, lambda p: p[1]) AS names FROM c),
+  e AS (SELECT CASE WHEN length(rtrim(line)) > 2048 THEN 'line too long' WHEN n < 5 THEN 'not enough arguments' WHEN ts IS NULL OR ts <= 0 THEN 'bad timestamp' WHEN ts >= 2147483648 THEN 'timestamp out of range'
+    WHEN v[1] = '[' AND NOT list THEN 'closing bracket' WHEN v[1] = '[' AND list_bool_or(list_transform(items, lambda i: NOT regexp_full_match(i, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?'))) THEN 'bad list value'
+    WHEN v[1] <> '[' AND NOT regexp_full_match(v, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN 'bad value' WHEN bad THEN 'bad tag' WHEN len(list_distinct(names)) < len(names) THEN 'duplicate tag'
+    WHEN NOT regexp_full_match(metric || array_to_string(list_transform(pairs, lambda p: p[1] || p[2]), ''), '[A-Za-z0-9._/@-]*') THEN 'illegal character'
+    WHEN len(list_filter(names, lambda k: k = 'cluster')) <> 1 THEN 'shard tag' END AS error FROM x)"""
 
 SQL = {
     **{n: sql_query(q) for n, q in REQUESTS.items()},
@@ -438,8 +460,8 @@ u AS (SELECT 1 AS part, * FROM h UNION ALL SELECT 2, * FROM m WHERE ts >= (SELEC
   UNION ALL SELECT 3, metric, tags_key, ts, v::FLOAT FROM w WHERE ts >= coalesce((SELECT t FROM e2), (SELECT t FROM e1)) AND ts < {STOP})
 SELECT metric, tags_key, ts - ts % 3600 + 1800 AS ts, max(v) AS value FROM u GROUP BY part, metric, tags_key, ts - ts % 3600""",
     "last_write_wins": f"WITH {sql_written()} SELECT metric, tags_key, ts, is_float, v AS value FROM w",
-    "dedup_adjacent": f"WITH {sql_written()}, {sql_segments('(SELECT * FROM w WHERE NOT is_float)', 'metric, tags_key')} SELECT metric, tags_key, x2 AS ts, y2 AS value FROM seg WHERE first OR y1 <> y2",
-    "latest_point": f"WITH {sql_written()} SELECT metric, tags_key, count(*) AS n, max(ts) AS last_ts, arg_max(v, ts) AS last_value FROM w WHERE is_float GROUP BY ALL",
+    "dedup_adjacent": f"WITH {sql_written()}, {sql_segments('w', 'metric, tags_key, is_float')} SELECT metric, tags_key, is_float, x2 AS ts, y2 AS value FROM seg WHERE first OR y1 <> y2",
+    "latest_point": f"WITH {sql_written()} SELECT metric, tags_key, is_float, count(*) AS n, max(ts) AS last_ts, arg_max(v, ts) AS last_value FROM w GROUP BY ALL",
     "latest_ts": f"WITH {sql_written()} SELECT metric, max(ts) AS last_ts FROM w GROUP BY 1",
     "series_list": f"WITH {sql_written()} SELECT metric, tags_key, count(*) AS n, min(ts) AS first_ts FROM w GROUP BY ALL",
     "distinct_tag_values": f"SELECT count(DISTINCT tags['host']) AS n_values FROM points WHERE metric = '{CPU}'",
@@ -456,15 +478,23 @@ SELECT n_before, n_after, (n_before - n_after) / nullif(n_before, 0) < 0.3 AS he
 SELECT topic, sum(lag)::BIGINT AS total_lag, max(lag) AS most_lag FROM l GROUP BY 1""",
     "generation_id": f"""SELECT CASE WHEN ts < {CONFIG[0].start} OR ts >= {NOW + times.SPAN_S} THEN -1 ELSE (ts - {CONFIG[0].start}) // {times.SPAN_S} END AS gen, ts // 86400 AS day, count(*) AS n FROM points GROUP BY ALL""",
     "outlanders": f"SELECT point_id FROM points WHERE ts < {times.periods([('20/03/24', 1)])[0].start} OR ts >= {NOW + times.SPAN_S}",
-    "parse_lines": f"WITH {_SQL_LINE_TEXT} SELECT point_id, metric, ts, kind AS value_type, int_value, {sql_rounded('(float_value::DECIMAL(20,4))::FLOAT::DOUBLE', 3)} AS float_value FROM l WHERE tags['cluster'] IS NOT NULL",
-    "parse_tags": f"WITH {_SQL_LINE_TEXT} SELECT point_id, unnest(map_keys(tags)) AS name, unnest(map_values(tags)) AS value FROM l WHERE tags['cluster'] IS NOT NULL",
-    "parse_lists": f"WITH {_SQL_LINE_TEXT} SELECT point_id, len(int_list) AS n, list_sum(int_list)::BIGINT AS total FROM l WHERE kind = 'INT_LIST' AND tags['cluster'] IS NOT NULL",
-    "parse_json_points": f"""SELECT metric, 'INT' AS value_type, count(*) AS n, sum(int_value)::VARCHAR AS total, max(ts) AS last_ts FROM points
-WHERE int_value IS NOT NULL AND metric IS NOT NULL AND tags IS NOT NULL GROUP BY 1""",
+    "parse_lines": f"WITH {SQL_LINE_TEXT} SELECT point_id, metric, ts, kind AS value_type, int_value, {sql_rounded('(float_value::DECIMAL(20,4))::FLOAT::DOUBLE', 3)} AS float_value FROM l WHERE tags['cluster'] IS NOT NULL",
+    "parse_tags": f"WITH {SQL_LINE_TEXT} SELECT point_id, unnest(map_keys(tags)) AS name, unnest(map_values(tags)) AS value FROM l WHERE tags['cluster'] IS NOT NULL",
+    "parse_lists": f"""WITH {SQL_LINE_TEXT}, v AS (SELECT point_id, kind, coalesce(int_list::DOUBLE[], list_transform(float_list, lambda x: x::DECIMAL(20,4)::FLOAT::DOUBLE)) AS v FROM l WHERE tags['cluster'] IS NOT NULL)
+SELECT point_id, kind AS value_type, len(v) AS n, {sql_rounded("coalesce(list_sum(v), 0)", 3)} AS total FROM v WHERE kind IN ('INT_LIST', 'FLOAT_LIST')""",
+    "invalid_lines": f"WITH {SQL_LINE_ERRORS} SELECT error, count(*) AS n FROM e WHERE error IS NOT NULL GROUP BY 1",
+    "validate_points": """WITH e AS (SELECT CASE WHEN int_value IS NULL AND float_value IS NULL AND int_list IS NULL AND float_list IS NULL THEN 'no value' WHEN NOT isfinite(float_value) THEN 'not finite'
+  WHEN ts IS NULL OR ts < 0 THEN 'timestamp out of range' WHEN tags IS NULL OR cardinality(tags) < 1 THEN 'no tags'
+  WHEN metric IS NULL OR NOT regexp_full_match(metric, '[A-Za-z0-9._/@-]*') OR len(list_filter(map_entries(tags), lambda e: NOT coalesce(regexp_full_match(e.key || e.value, '[A-Za-z0-9._/@-]*'), FALSE))) > 0 THEN 'illegal character'
+  WHEN NOT list_contains(map_keys(tags), 'cluster') THEN 'shard tag' END AS error FROM points)
+SELECT error, count(*) AS n FROM e GROUP BY 1""",
+    "parse_json_points": f"""WITH {SQL_LINE_TEXT} SELECT metric, kind AS value_type, NULL::VARCHAR AS error, count(*) AS n, sum(int_value)::VARCHAR AS total, max(ts) AS last_ts,
+  sum(CASE WHEN kind IN ('INT_LIST', 'FLOAT_LIST') THEN len(coalesce(int_list::DOUBLE[], float_list::DOUBLE[])) END)::BIGINT AS n_items, {sql_rounded("max((float_value::DECIMAL(20,4))::FLOAT)::DOUBLE", 3)} AS most FROM l GROUP BY 1, 2""",
     "list_points_scan": f"SELECT point_id, metric, ts, len(coalesce(int_list::DOUBLE[], float_list::DOUBLE[])) AS n FROM points WHERE (value_type IN ('INT_LIST', 'FLOAT_LIST') OR int_list IS NOT NULL OR float_list IS NOT NULL) AND ts >= {START} AND ts < {STOP}",
     "list_to_double": f"SELECT point_id, pos, {sql_rounded('v')} AS v FROM (SELECT point_id, unnest(coalesce(int_list::DOUBLE[], float_list::DOUBLE[])) AS v, unnest(range(len(coalesce(int_list::DOUBLE[], float_list::DOUBLE[])))) AS pos FROM points WHERE int_list IS NOT NULL OR float_list IS NOT NULL)",
-    "pack_rows": f"WITH {sql_written()} SELECT metric, tags_key, ts - ts % 3600 AS base, count(*) AS n, min(ts) AS first_ts, arg_max(v, ts) AS last_value FROM w WHERE is_float GROUP BY ALL",
-    "unpack_rows": f"WITH {sql_written()} SELECT metric, tags_key, ts, v AS value FROM w WHERE is_float",
+    "pack_rows": f"""WITH {sql_written()}, p AS (SELECT *, ts - ts % 3600 AS base, row_number() OVER (PARTITION BY metric, tags_key, is_float, ts - ts % 3600 ORDER BY ts) AS i FROM w)
+SELECT metric, tags_key, is_float, base, count(*) AS n, sum(ts)::BIGINT AS ts_sum, {sql_rounded("sum(v * i ORDER BY i) / count(*)", 2)} AS weighted, arg_max(v, ts) AS last_value FROM p GROUP BY metric, tags_key, is_float, base""",
+    "unpack_rows": f"WITH {sql_written()} SELECT metric, tags_key, is_float, ts, v AS value FROM w",
     "shard_name": f"SELECT {_SHARD} AS shard, count(*) AS n FROM points GROUP BY 1",
     "charset_check": "SELECT doc_id, regexp_full_match(reviewer_id, '[A-Za-z0-9._/@-]*') AS reviewer_ok, regexp_full_match(title, '[A-Za-z0-9._/@-]*') AS title_ok FROM documents",
     "token_split": "SELECT doc_id, len(list_filter(string_split(title, ' '), lambda x: x <> '')) AS n_words, len(string_split(title, ' ')) AS n_parts FROM documents",
