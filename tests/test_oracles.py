@@ -1,10 +1,10 @@
 import pytest
 
 from tests.compare import compare, duck
-from tidemark.queries import problems, timeseries
+from tidemark.queries import problems, storage, timeseries
 
-ALL = {**timeseries.QUERIES, **problems.QUERIES}
-SQL = {**timeseries.SQL, **problems.SQL}
+ALL = {**timeseries.QUERIES, **storage.QUERIES, **problems.QUERIES}
+SQL = {**timeseries.SQL, **storage.SQL, **problems.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -2,13 +2,21 @@
 
 ``put <metric> <ts> <value> <name>=<value>...``; a value with ``.``, ``e`` or ``E`` is
 a float (32 bits), others are 64-bit integers, ``[a,b,...]`` is a list that is a float
-list if any entry is a float.  Nothing here runs Python per row.
+list if any entry is a float.  Nothing here runs Python per row: lines are parsed by
+Arrow's string kernels, JSON by Spark's expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 #: Characters of metric names, tag names and tag values (fixed value).
 NAME_PATTERN = "^[A-Za-z0-9._/@-]*$"
@@ -49,83 +57,140 @@ def list_items(c: Column) -> Column:
     return F.when(c.rlike(r"^\[[^\[\]]*\]$"), F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, ",", -1)))
 
 
-def tag_pairs(words: Column) -> Column:
-    """Entries of ``name=value`` words; malformed ones have a null name."""
-
-    def pair(parts):
-        good = (F.size(parts) == 2) & (parts[0] != "") & (parts[1] != "")
-        return F.struct(F.when(good, parts[0]).alias("key"), F.when(good, parts[1]).alias("value"))
-
-    return F.transform(F.transform(words, lambda w: F.split(w, "=", -1)), pair)
-
-
-def _computed(df: DataFrame, name: str, **columns: Column) -> DataFrame:
-    """``df`` with a struct of columns that later expressions refer to, computed once.
-
-    A generator of one row keeps the optimiser from copying them into every use.
-    """
-    return df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(name))
+def _longs(words: pa.Array) -> pa.Array:
+    """64-bit integers; null for anything else, overflow included."""
+    there = pc.fill_null(pc.match_substring_regex(words, "^[+-]?[0-9]{1,19}$"), False)
+    bare = pc.replace_substring_regex(pc.if_else(there, words, pa.scalar(None, pa.string())), r"^\+", "")
+    try:
+        return pc.cast(bare, pa.int64())
+    except pa.ArrowInvalid:  # one at least is beyond 64 bits
+        return pa.array([int(x) if x is not None and -(2**63) <= int(x) < 2**63 else None for x in bare.to_pylist()], pa.int64())
+
+
+def _floats(words: pa.Array) -> pa.Array:
+    """Finite 32-bit floats; null for anything else."""
+    there = pc.fill_null(pc.match_substring_regex(words, r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"), False)
+    x = pc.cast(pc.replace_substring_regex(pc.if_else(there, words, pa.scalar(None, pa.string())), r"^\+", ""), pa.float32())
+    return pc.if_else(pc.fill_null(pc.is_finite(x), False), x, pa.scalar(None, pa.float32()))
+
+
+def _any(hit: pa.Array, parent: np.ndarray, rows: int) -> np.ndarray:
+    """Rows one of whose items is hit."""
+    return np.bincount(parent[pc.fill_null(hit, False).to_numpy(zero_copy_only=False)], minlength=rows) > 0
+
+
+def _offsets(count: np.ndarray, there: np.ndarray) -> pa.Array:
+    """Offsets of lists of the rows that have one."""
+    return pa.array(np.append(0, np.cumsum(np.where(there, count, 0))), pa.int32(), mask=np.append(~there, False))
+
+
+def parse_batch(line: pa.Array, shard_tags: tuple[str, ...]) -> list[pa.Array]:
+    """The columns of PARSED of a batch of lines, each computed for all lines at once."""
+    rows = len(line)
+    known = pc.is_valid(line).to_numpy(zero_copy_only=False)
+    split = pc.split_pattern(pc.replace_substring_regex(line, "[\t\r\n]", " "), " ")
+    words, parent = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    filled = pc.not_equal(words, "")
+    words, parent = words.filter(filled), parent[filled.to_numpy(zero_copy_only=False)]
+    n = np.bincount(parent, minlength=rows)
+    start = np.cumsum(n) - n
+    word = lambda k: words.take(pa.array(start + k, mask=n <= k))
+    command, metric, value = word(0), word(1), word(3)
+    first = _longs(metric)
+    ts = _longs(word(2))
+    flag = lambda a: pc.fill_null(a, False).to_numpy(zero_copy_only=False)
+    # tags
+    late = np.arange(len(words)) - start[parent] >= 4
+    tags, owner = words.filter(pa.array(late)), parent[late]
+    good = pc.and_(pc.equal(pc.count_substring(tags, "="), 1), pc.invert(pc.or_(pc.starts_with(tags, "="), pc.ends_with(tags, "="))))
+    bad_tag = _any(pc.invert(good), owner, rows)
+    parts = pc.list_flatten(pc.split_pattern(tags.filter(good), "="))
+    keys, values = parts.take(pa.array(np.arange(0, len(parts), 2))), parts.take(pa.array(np.arange(1, len(parts), 2)))
+    owner_good = owner[flag(good)]
+    code = pc.dictionary_encode(keys)
+    pair = np.sort(owner_good * max(len(code.dictionary), 1) + code.indices.to_numpy(zero_copy_only=False))
+    twice = np.bincount(pair[1:][pair[1:] == pair[:-1]] // max(len(code.dictionary), 1), minlength=rows) > 0
+    of_shard = np.bincount(owner_good[flag(pc.is_in(keys, pa.array(shard_tags, pa.string())))], minlength=rows)
+    strange = "[^=A-Za-z0-9._/@-]"
+    illegal = flag(pc.match_substring_regex(metric, strange)) | _any(pc.match_substring_regex(tags, strange), owner, rows)
+    # value
+    is_list = flag(pc.starts_with(value, "["))
+    integral = flag(pc.invert(pc.match_substring_regex(value, "[.eE]")))
+    nothing = pa.scalar(None, pa.string())
+    one_of = lambda there: pc.if_else(pa.array(there), value, nothing)
+    ints, floats = _longs(one_of(~is_list & integral)), _floats(one_of(~is_list & ~integral))
+    closed = flag(pc.match_substring_regex(value, r"^\[[^\[\]]*\]$"))
+    inner = pc.utf8_slice_codeunits(one_of(closed), 1, -1)
+    items_of = pc.split_pattern(pc.if_else(pc.equal(inner, ""), nothing, inner), ",")
+    items, holder = pc.list_flatten(items_of), pc.list_parent_indices(items_of).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.bincount(holder, minlength=rows)
+    float_list = _any(pc.match_substring_regex(items, "[.eE]"), holder, rows)
+    of_floats = float_list[holder]
+    int_items, float_items = _longs(items.filter(pa.array(~of_floats))), _floats(items.filter(pa.array(of_floats)))
+    bad_item = _any(pc.is_null(int_items), holder[~of_floats], rows) | _any(pc.is_null(float_items), holder[of_floats], rows)
+    # the first failing check names the error
+    put = flag(pc.equal(command, "put"))
+    scalar = flag(pc.is_valid(ints)) | flag(pc.is_valid(floats))
+    checks = [
+        (flag(pc.greater(pc.utf8_length(pc.utf8_rtrim(line, " ")), MOST_LINE)), "line too long"),
+        (n == 0, "empty"),
+        (~flag(pc.is_in(command, pa.array(COMMANDS))), "unknown command"),
+        (put & (n < 5), "not enough arguments"),
+        (put & ~flag(pc.greater(ts, 0)), "bad timestamp"),
+        (put & flag(pc.greater_equal(ts, 2**31)), "timestamp out of range"),
+        (put & is_list & ~closed, "closing bracket"),
+        (put & is_list & bad_item, "bad list value"),
+        (put & ~is_list & ~scalar, "bad value"),
+        (put & bad_tag, "bad tag"),
+        (put & twice, "duplicate tag"),
+        (put & illegal, "illegal character"),
+        (put & (of_shard != 1), "shard tag"),
+    ]
+    which = np.full(rows, len(checks))
+    for k in reversed(range(len(checks))):
+        which[checks[k][0]] = k
+    which[~known] = len(checks)
+    error = pa.array([name for _, name in checks]).take(pa.array(which, mask=which == len(checks)))
+    ok = put & (which == len(checks))
+    keep = lambda a: pc.if_else(pa.array(ok), a, pa.scalar(None, a.type))
+    kinds = np.where(scalar & integral, 0, np.where(scalar, 1, np.where(float_list, 3, 2)))
+    tag_count = np.bincount(owner_good, minlength=rows)
+    mine = pa.array(ok[owner_good])
+    ints_there, floats_there = ok & is_list & ~float_list, ok & is_list & float_list
+    return [
+        command, pc.if_else(pc.is_in(command, pa.array(("commit", "deflate", "snappy"))), first, pa.scalar(None, pa.int64())), keep(metric),
+        pc.cast(keep(ts), pa.int32()), pa.MapArray.from_arrays(_offsets(tag_count, ok), keys.filter(mine), values.filter(mine)),
+        pa.array(("INT", "FLOAT", "INT_LIST", "FLOAT_LIST")).take(pa.array(kinds, mask=~ok)), keep(ints), keep(floats),
+        pa.ListArray.from_arrays(_offsets(size, ints_there), int_items.filter(pa.array(ints_there[holder[~of_floats]]))),
+        pa.ListArray.from_arrays(_offsets(size, floats_there), float_items.filter(pa.array(floats_there[holder[of_floats]]))),
+        error,
+    ]
+
+
+PARSED = (
+    StructType().add("command", T.StringType()).add("argument", T.LongType()).add("metric", T.StringType()).add("ts", T.IntegerType()).add("tags", T.MapType(T.StringType(), T.StringType()))
+    .add("value_type", T.StringType()).add("int_value", T.LongType()).add("float_value", T.FloatType()).add("int_list", T.ArrayType(T.LongType())).add("float_list", T.ArrayType(T.FloatType())).add("error", T.StringType())
+)
 
 
 def parse_lines(lines: DataFrame, *, column: str = "line", shard_tags: tuple[str, ...] = ("cluster",)) -> DataFrame:
     """Every line with ``command``, the fields of its point, and ``error`` (null for a valid point).
 
     The first failing check names the error.  Blank lines have no command and the
-    error ``empty``; lines of other commands have no point and the error null.
-    ``commit`` carries its number in ``argument``.  Extra columns are kept.
+    error ``empty``; lines of other commands have no point and the error null, as has
+    a null line.  ``commit`` carries its number in ``argument``.  Extra columns are kept.
+    Runs on Arrow batches with vectorised string kernels, no Python per line.
     """
-    words = tokens(F.translate(F.col(column), "\t\r\n", "   "))
-    x = _computed(lines, "_a", w=words)
-    w = F.col("_a.w")
-    value = F.get(w, F.lit(3))
-    x = _computed(
-        x, "_b", command=F.get(w, F.lit(0)), metric=F.get(w, F.lit(1)), n=F.size(w), v=value, ts=parse_long(F.get(w, F.lit(2))),
-        argument=parse_long(F.get(w, F.lit(1))), named=F.concat(F.get(w, F.lit(1)), F.array_join(F.slice(w, 5, F.greatest(F.size(w) - 4, F.lit(0))), "")), p=tag_pairs(F.slice(w, 5, F.greatest(F.size(w) - 4, F.lit(0)))), items=list_items(value),
-    )
-    b = lambda name: F.col(f"_b.{name}")
-    is_list = b("v").startswith("[")
-    x = _computed(
-        x, "_c", is_list=is_list, integral=looks_like_integer(b("v")), names=F.transform(b("p"), lambda p: p["key"]),
-        float_list=F.exists(b("items"), lambda i: ~looks_like_integer(i)),
-    )
-    c = lambda name: F.col(f"_c.{name}")
-    x = _computed(
-        x, "_d",
-        int_value=F.when(~c("is_list") & c("integral"), parse_long(b("v"))),
-        float_value=F.when(~c("is_list") & ~c("integral"), parse_float(b("v"))),
-        int_list=F.when(c("is_list") & ~c("float_list"), F.transform(b("items"), parse_long)),
-        float_list=F.when(c("is_list") & c("float_list"), F.transform(b("items"), parse_float)),
-    )
-    d = lambda name: F.col(f"_d.{name}")
-    is_put = b("command") == "put"
-    bad_list = F.coalesce(F.exists(d("int_list"), lambda i: i.isNull()), F.exists(d("float_list"), lambda i: i.isNull()), F.lit(False))
-    bad_name = ~b("named").rlike(NAME_PATTERN.replace("[", "[="))  # metric and tags in one go; misplaced = are bad tags
-    checks = [
-        (F.length(F.rtrim(F.col(column))) > MOST_LINE, "line too long"),
-        (b("n") == 0, "empty"),
-        (~b("command").isin(*COMMANDS), "unknown command"),
-        (is_put & (b("n") < 5), "not enough arguments"),
-        (is_put & F.coalesce(b("ts") <= 0, F.lit(True)), "bad timestamp"),
-        (is_put & (b("ts") >= 2**31), "timestamp out of range"),
-        (is_put & c("is_list") & b("items").isNull(), "closing bracket"),
-        (is_put & c("is_list") & bad_list, "bad list value"),
-        (is_put & ~c("is_list") & d("int_value").isNull() & d("float_value").isNull(), "bad value"),
-        (is_put & F.exists(c("names"), lambda n: n.isNull()), "bad tag"),
-        (is_put & (F.size(F.array_distinct(c("names"))) < F.size(c("names"))), "duplicate tag"),
-        (is_put & F.coalesce(bad_name, F.lit(False)), "illegal character"),
-        (is_put & (F.size(F.filter(c("names"), lambda n: n.isin(*shard_tags))) != 1), "shard tag"),
-    ]
-    error = F.lit(None).cast("string")
-    for check, name in reversed(checks):
-        error = F.when(check, name).otherwise(error)
-    x = _computed(x, "_e", error=error)
-    ok = (b("command") == "put") & F.col("_e.error").isNull()
-    kind = F.when(d("int_value").isNotNull(), "INT").when(d("float_value").isNotNull(), "FLOAT").when(d("int_list").isNotNull(), "INT_LIST").otherwise("FLOAT_LIST")
-    return x.select(
-        *lines.columns, b("command").alias("command"), F.when(b("command").isin("commit", "deflate", "snappy"), b("argument")).alias("argument"),
-        F.when(ok, b("metric")).alias("metric"), F.when(ok, b("ts").cast("int")).alias("ts"), F.when(ok, F.map_from_entries(b("p"))).alias("tags"), F.when(ok, kind).alias("value_type"),
-        *(F.when(ok, d(n)).alias(n) for n in ("int_value", "float_value", "int_list", "float_list")), F.col("_e.error").alias("error"),
-    )
+    schema = StructType([*lines.schema.fields, *PARSED.fields])
+    at = lines.columns.index(column)
+    is_text = lines.schema[column].dataType.simpleString() == "string"
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line = batch.column(at) if is_text else pc.cast(batch.column(at), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *parse_batch(line, shard_tags)], names=[*batch.schema.names, *PARSED.names])
+
+    return lines.mapInArrow(kernel, schema)
 
 
 def valid_points(parsed: DataFrame, *more: str) -> DataFrame:
