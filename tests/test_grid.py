@@ -9,14 +9,14 @@ CATALOG = [{"metric": "m.x", "step_s": 60}, {"metric": "m.none", "step_s": None}
 
 
 def cells(spark, rows, **how):
-    pairs = grid.consecutive_pairs(grid.source_readings(frame(spark, rows), catalog(spark, CATALOG)), **how)
-    return sorted((r.series_key, r.ts) for r in grid.uncovered_cells(pairs).collect())
+    return sorted((r.series_key, r.ts) for r in grid.regular_grid(frame(spark, rows), catalog(spark, CATALOG), **how).where("filled").collect())
 
 
+@pytest.mark.parametrize("sign", [1, -1])  # a counter and a gauge
 @pytest.mark.parametrize("chunk_steps", [4096, 7])
-def test_uncovered_periods(spark, chunk_steps):
+def test_uncovered_periods(spark, chunk_steps, sign):
     times = [3, 62, 300, 301, 1300, 1299, 1300, 5000]
-    rows = [{"metric": "m.x", "tags": {"b": "2", "a": "1"}, "ts": t, "int_value": t, "write_ms": None} for t in times]
+    rows = [{"metric": "m.x", "tags": {"b": "2", "a": "1"}, "ts": t, "int_value": sign * t, "write_ms": None} for t in times]
     rows += [{"metric": "m.x", "tags": {"a": "9"}, "ts": 100, "int_value": 1}, {"metric": "m.none", "tags": {"a": "9"}, "ts": 10, "int_value": 1}, {"metric": "m.x", "tags": {"a": "1", "b": "2"}, "ts": 700, "int_value": None}]
     have = {t // 60 for t in times}
     want = [("m.x{a=1,b=2}", k * 60) for k in range(0, 5000 // 60) if k not in have]
@@ -29,9 +29,17 @@ def test_no_rows(spark):
 
 
 def test_grid_fills_and_marks(spark):
-    rows = gauge([1.0, 2.0], step=240, start=6000) + gauge([9.0], start=6000, write_ms=0)
-    got = sorted((r.ts, r.n_readings, r.value, r.filled) for r in grid.regular_grid(frame(spark, rows), catalog(spark, CATALOG)).collect())
-    assert got == [(6000, 1, 1.0, False), (6060, 0, 1.25, True), (6120, 0, 1.5, True), (6180, 0, 1.75, True), (6240, 1, 2.0, False)]
+    rows = gauge([2.0, 1.0], step=240, start=6000) + gauge([9.0], start=6000, write_ms=0)
+    got = sorted((r.ts, r.n_readings, r.value, r.filled, r.counter) for r in grid.regular_grid(frame(spark, rows), catalog(spark, CATALOG)).collect())
+    assert got == [(6000, 1, 2.0, False, False), (6060, 0, 1.75, True, False), (6120, 0, 1.5, True, False), (6180, 0, 1.25, True, False), (6240, 1, 1.0, False, False)]
+
+
+def test_counters_are_told_by_their_readings_and_not_interpolated_over_resets(spark):
+    values = [k * 10 for k in range(40)]
+    rows = [{"metric": "m.x", "tags": {"a": "1"}, "ts": 60 * k, "int_value": v} for k, v in enumerate(values)] + [{"metric": "m.x", "tags": {"a": "1"}, "ts": 60 * 43, "int_value": 8}, {"metric": "m.x", "tags": {"a": "lone"}, "ts": 61, "int_value": 5}]
+    got = {(r.series_key, r.ts): (r.n_readings, r.value, r.filled) for r in grid.regular_grid(frame(spark, rows), catalog(spark, CATALOG)).where("counter").collect()}
+    assert got["m.x{a=1}", 60 * 5] == (1, 10.0, False) and got["m.x{a=1}", 60 * 41] == (0, 2.0, True) and got["m.x{a=1}", 60 * 43] == (1, 0.0, False)
+    assert got["m.x{a=lone}", 60] == (1, None, False) and len(got) == 45
 
 
 @pytest.mark.parametrize("chunk_steps", [4096, 3])

@@ -101,23 +101,23 @@ def p4_items(spark: SparkSession, d: str) -> DataFrame:
     return ledger.fold_log(table(spark, d, "kafka_inputs"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return grid.consecutive_pairs(grid.source_readings(table(spark, d, "points"), table(spark, d, "metric_catalog")))
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    return grid.regular_grid(table(spark, d, "points"), table(spark, d, "metric_catalog"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return grid.uncovered_cells(_pairs(spark, d)).select("series_key", "ts")
+    return _grid(spark, d).where("filled").select("series_key", "ts")
 
 
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
-    g = grid.regular_grid(table(spark, d, "points"), table(spark, d, "metric_catalog"))
-    return g.withColumn("value", rounded(F.col("value"), 3))
+    return _grid(spark, d).withColumn("value", rounded(F.col("value"), 3))
 
 
 def p6_counters(spark: SparkSession, d: str) -> DataFrame:
-    rows = grid.source_readings(table(spark, d, "points"), table(spark, d, "metric_catalog"))
-    x = grid.increments(grid.consecutive_pairs(rows.where(F.col("metric").endswith("_total"))))
-    return x.select("series_key", "ts", rounded(F.col("increment"), 3).alias("increment"), "resets")
+    pairs = grid.consecutive_pairs(grid.source_readings(table(spark, d, "points"), table(spark, d, "metric_catalog")))
+    counters = grid.counter_metrics(pairs)
+    x = grid.increments(pairs.join(counters, F.substring_index("series_key", "{", 1) == F.col("metric"), "left_semi"))
+    return x.select("series_key", "ts", rounded(F.col("increment"), 3).alias("increment"), "resets", (F.col("n_readings") > 0).alias("covered"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -142,6 +142,15 @@ r AS (SELECT metric, series_key, step_s, ts, v FROM r0
 pairs AS (SELECT metric, series_key, step_s, lag(ts) OVER w AS t0, lag(v) OVER w AS v0, ts AS t1, v AS v1 FROM r
           WINDOW w AS (PARTITION BY series_key ORDER BY ts))"""
 
+#: Counters, and their increments in the cells from the first to the last reading.
+_COUNTERS = f"""
+counters AS (SELECT metric FROM pairs WHERE t0 IS NOT NULL GROUP BY 1
+  HAVING count(*) FILTER (v1 < v0) <= 0.05 * count(*) AND count(*) FILTER (v1 > v0) >= 0.5 * count(*)),
+spread AS (SELECT series_key, step_s, unnest(range(coalesce(t0, t1) // step_s, t1 // step_s + 1)) AS k, t0, t1, CASE WHEN v1 >= v0 THEN v1 - v0 ELSE v1 END AS grown, v1 < v0 AS reset
+  FROM pairs WHERE metric IN (SELECT metric FROM counters)),
+cells AS (SELECT series_key, (k * step_s)::INT AS ts, {sql_rounded("sum(CASE WHEN t0 IS NOT NULL THEN grown * (least(t1, (k + 1) * step_s) - greatest(t0, k * step_s)) / (t1 - t0) END)", 3)} AS increment,
+  count(*) FILTER (reset AND k = (t1 - 1) // step_s) AS resets, count(*) FILTER (k = t1 // step_s) AS n_readings FROM spread GROUP BY series_key, step_s, k)"""
+
 SQL = {
     "p2_found": """
 WITH m AS (SELECT metric AS k, count(*) AS n FROM points GROUP BY 1),
@@ -172,16 +181,11 @@ QUALIFY row_number() OVER (PARTITION BY run_id, topic, partition_id ORDER BY log
 WITH {_READINGS}
 SELECT series_key, (unnest(range(t0 // step_s + 1, t1 // step_s)) * step_s)::INT AS ts FROM pairs WHERE t0 IS NOT NULL AND t1 // step_s - t0 // step_s > 1""",
     "p6_grid": f"""
-WITH {_READINGS},
-h AS (SELECT series_key, (unnest(range(t0 // step_s + 1, t1 // step_s)) * step_s)::INT AS ts, t0, v0, t1, v1 FROM pairs WHERE t0 IS NOT NULL AND t1 // step_s - t0 // step_s > 1)
-SELECT series_key, ((t1 // step_s) * step_s)::INT AS ts, count(*) AS n_readings, {sql_rounded("avg(v1)", 3)} AS value, FALSE AS filled FROM pairs GROUP BY series_key, (t1 // step_s) * step_s
-UNION ALL SELECT series_key, ts, 0, {sql_rounded("v0 + (v1 - v0) * (ts - t0) / (t1 - t0)", 3)}, TRUE FROM h""",
-    "p6_counters": f"""
-WITH {_READINGS},
-c AS (SELECT series_key, step_s, unnest(range(t0 // step_s, (t1 - 1) // step_s + 1)) AS k, t0, t1, CASE WHEN v1 >= v0 THEN v1 - v0 ELSE v1 END AS grown, v1 < v0 AS reset
-      FROM pairs WHERE t0 IS NOT NULL AND metric LIKE '%\\_total' ESCAPE '\\')
-SELECT series_key, (k * step_s)::INT AS ts,
-  {sql_rounded("sum(grown * (least(t1, (k + 1) * step_s) - greatest(t0, k * step_s)) / (t1 - t0))", 3)} AS increment,
-  sum(CASE WHEN reset AND k = (t1 - 1) // step_s THEN 1 ELSE 0 END)::BIGINT AS resets
-FROM c GROUP BY series_key, step_s, k""",
+WITH {_READINGS}, {_COUNTERS},
+q AS (SELECT * FROM pairs WHERE metric NOT IN (SELECT metric FROM counters)),
+h AS (SELECT series_key, (unnest(range(t0 // step_s + 1, t1 // step_s)) * step_s)::INT AS ts, t0, v0, t1, v1 FROM q WHERE t0 IS NOT NULL AND t1 // step_s - t0 // step_s > 1)
+SELECT series_key, ((t1 // step_s) * step_s)::INT AS ts, count(*) AS n_readings, {sql_rounded("avg(v1)", 3)} AS value, FALSE AS filled, FALSE AS counter FROM q GROUP BY series_key, (t1 // step_s) * step_s
+UNION ALL SELECT series_key, ts, 0, {sql_rounded("v0 + (v1 - v0) * (ts - t0) / (t1 - t0)", 3)}, TRUE, FALSE FROM h
+UNION ALL SELECT series_key, ts, n_readings, increment, n_readings = 0, TRUE FROM cells""",
+    "p6_counters": f"WITH {_READINGS}, {_COUNTERS} SELECT series_key, ts, increment, resets, n_readings > 0 AS covered FROM cells",
 }
