@@ -72,11 +72,15 @@ def random_groups(seed, groups=5, n=8):
     return out
 
 
-@pytest.mark.parametrize("aggregate", ["max", "avg", "sum"])
-@pytest.mark.parametrize("chunk_s", [86400, 90])
-def test_union_grid_against_the_definition(spark, aggregate, chunk_s):
+@pytest.mark.parametrize("aggregate", ["max", "min", "avg", "sum", "sum_by_join"])
+@pytest.mark.parametrize("chunk_s, parts", [(86400, 1), (90, 1), (90, 3)])
+def test_union_grid_against_the_definition(spark, monkeypatch, aggregate, chunk_s, parts):
+    monkeypatch.setattr(series.union, "BUFFER_ROWS", 40)
+    monkeypatch.setattr(series.union, "PAIRS", 7)
+    series.register_aggregate("sum_by_join", series.F.sum)
     groups = random_groups(1)
-    got = collected(series.aggregate_union_grid(frame(spark, groups), ["s"], ["g"], aggregate, span_s=70, chunk_s=chunk_s))
+    got = collected(series.aggregate_union_grid(frame(spark, groups), ["s"], ["g"], aggregate, span_s=70, chunk_s=chunk_s, parts=parts))
+    aggregate = aggregate[:3]
     for g, rows in groups.items():
         want = slow_union(rows, F[aggregate])
         assert [x for x, _ in got.get(g, [])] == [x for x, _ in want]
@@ -84,10 +88,10 @@ def test_union_grid_against_the_definition(spark, aggregate, chunk_s):
 
 
 @pytest.mark.parametrize("interval", [10, 37, 209])
-@pytest.mark.parametrize("chunk_s", [86400, 90])
-def test_fixed_grid_against_the_definition(spark, interval, chunk_s):
+@pytest.mark.parametrize("chunk_s, chunk", [(86400, 4096), (90, 4096), (90, 3), (90, 1)])
+def test_fixed_grid_against_the_definition(spark, interval, chunk_s, chunk):
     groups = random_groups(2)
-    got = collected(series.aggregate_fixed_grid(frame(spark, groups), ["s"], ["g"], "max", interval, chunk_s=chunk_s))
+    got = collected(series.aggregate_fixed_grid(frame(spark, groups), ["s"], ["g"], "max", interval, chunk_s=chunk_s, chunk=chunk))
     for g, rows in groups.items():
         want = slow_grid(rows, max, interval)
         assert [x for x, _ in got.get(g, [])] == [x for x, _ in want]
@@ -105,7 +109,10 @@ def test_fixed_grid_against_the_definition(spark, interval, chunk_s):
     ],
 )
 def test_fixed_grid_cases(spark, rows, interval, want):
-    assert collected(series.aggregate_fixed_grid(frame(spark, {"a": rows}), ["s"], ["g"], "max", interval)).get("a", []) == want
+    for chunk in (4096, 2):
+        assert collected(series.aggregate_fixed_grid(frame(spark, {"a": rows}), ["s"], ["g"], "max", interval, chunk=chunk)).get("a", []) == want
+        one = series.aggregate_fixed_grid(frame(spark, {"a": rows}).drop("g"), ["s"], [], "max", interval, chunk=chunk)
+        assert sorted(tuple(r) for r in one.collect()) == want
 
 
 def test_union_grid_cases(spark):

@@ -12,11 +12,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.times import bucket_centre
+from tidemark.operators import union
 
 AGGREGATES: dict[str, Callable[[Column | str], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
 CHUNK_S = 86400
+GRID_CHUNK = 4096
 
 
 def register_aggregate(name: str, aggregate: Callable[[Column | str], Column]) -> None:
@@ -71,14 +74,40 @@ def line_at(x: Column) -> Column:
     return F.when(x == x1, y1).when(x == x2, y2).otherwise(y1 + ((y2 - y1) * (x - x1)) / (x2 - x1))
 
 
-def aggregate_union_grid(rows: DataFrame, keys: list[str], group: list[str], aggregate: str, *, span_s: int = 300, **how) -> DataFrame:
+def aggregate_union_grid(rows: DataFrame, keys: list[str], group: list[str], aggregate: str, *, span_s: int = 300, parts: int = 1, **how) -> DataFrame:
     """Across the series of a group, at every time at which one of them has a reading: ``<group>, ts, value``.
 
     Each series counts between its first and last reading, interpolated linearly;
-    series of one reading count for nothing.  Times and segments meet in an equi-join
-    on (group, span of ``span_s`` seconds), so that one large group is spread over time.
+    series of one reading count for nothing.  Segments are brought together by (group,
+    span of ``span_s`` seconds), so that one large group is spread over time; there sums
+    and averages come from running sums of the segments' heights and slopes, in work
+    linear in the segments, and extremes segment by segment.  A group with too many
+    series for one task per span is also spread over ``parts`` of its series.
     """
-    s = neighbours(rows, list(dict.fromkeys([*group, *keys])), **how).withColumn("_x1", F.col("x1"))
+    series_keys = list(dict.fromkeys([*group, *keys]))
+    s = neighbours(rows, series_keys, **how)
+    if aggregate not in union.BASIC:
+        return _union_by_join(s, group, aggregate, span_s)
+    begin = F.col("x1") + F.when(F.col("first"), 0).otherwise(1)
+    spans = F.sequence(F.floor(begin / span_s), F.floor(F.greatest(F.col("x2"), begin) / span_s))
+    part = F.pmod(F.xxhash64(*series_keys), F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
+    lines = s.select(*group, part.alias("_part"), F.explode(spans).alias("_span"), "x1", F.col("y1").cast("double").alias("y1"), "x2", F.col("y2").cast("double").alias("y2"), "first", F.lit(False).alias("_time"))
+    if parts > 1:  # the times of all parts of a group's series are asked of each
+        x = s.select(*group, "x2").distinct()
+        none = F.lit(None).cast("double")
+        times = x.select(*group, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), F.floor(F.col("x2") / span_s).alias("_span"), F.col("x2").alias("x1"), none.alias("y1"), "x2", none.alias("y2"), F.lit(True).alias("first"), F.lit(True).alias("_time"))
+        lines = lines.unionByName(times)
+    by = [*group, "_span", "_part"]
+    schema = StructType([*(lines.schema[g] for g in group), *union.PARTIALS.fields])
+    found = lines.repartition(*by).sortWithinPartitions(*by).mapInArrow(union.kernel(len(group), span_s, aggregate, parts > 1), schema)
+    if parts > 1:
+        found = found.groupBy(*group, "ts").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return found.select(*group, "ts", F.expr(union.BASIC[aggregate]).alias("value"))
+
+
+def _union_by_join(s: DataFrame, group: list[str], aggregate: str, span_s: int) -> DataFrame:
+    """The same for aggregates registered by name: times and segments meet in an equi-join on (group, span)."""
+    s = s.withColumn("_x1", F.col("x1"))
     xs = s.select(*group, F.col("x2").alias("x")).distinct().withColumn("_span", F.floor(F.col("x") / span_s))
     lines = s.withColumn("_span", F.explode(F.sequence(F.floor((F.col("x1") + F.when(F.col("first"), 0).otherwise(1)) / span_s), F.floor(F.greatest(F.col("x2"), F.col("x1") + F.when(F.col("first"), 0).otherwise(1)) / span_s))))
     join = [*group, "_span"]
@@ -91,39 +120,54 @@ def aggregate_union_grid(rows: DataFrame, keys: list[str], group: list[str], agg
     return xs.join(meet, on & covers).groupBy(*group, F.col("x").alias("ts")).agg(AGGREGATES[aggregate](line_at(F.col("x"))).alias("value"))
 
 
-def fixed_grid_values(rows: DataFrame, keys: list[str], group: list[str], interval: int, **how) -> DataFrame:
-    """Each series at the bucket centres it covers: ``<group>, <keys>, x, y, start`` with the group's first centre."""
-    s = neighbours(rows, list(dict.fromkeys([*group, *keys])), **how)
+def fixed_grid_values(s: DataFrame, interval: int) -> DataFrame:
+    """Segments with the bucket centres they cover: their columns, ``x`` and ``y``."""
     half = interval // 2
     up = lambda x: x + F.pmod(F.lit(half) - x, F.lit(interval))  # noqa: E731  first centre from x on
     low = up(F.when(F.col("first"), F.col("x1")).otherwise(F.col("x1") + 1))
     xs = F.when(low <= F.col("x2"), F.sequence(low, F.col("x2"), F.lit(interval)))
-    return s.withColumn("_begin", F.col("x1") - F.col("x1") % interval + half).withColumn("x", F.explode_outer(xs)).withColumn("y", line_at(F.col("x")))
+    return s.withColumn("x", F.explode(xs)).withColumn("y", line_at(F.col("x")))
 
 
-def aggregate_fixed_grid(rows: DataFrame, keys: list[str], group: list[str], aggregate: str, interval: int, *, stop_at_gap: bool = True, **how) -> DataFrame:
+def aggregate_fixed_grid(rows: DataFrame, keys: list[str], group: list[str], aggregate: str, interval: int, *, stop_at_gap: bool = True, chunk: int = GRID_CHUNK, **how) -> DataFrame:
     """Across the series of a group at bucket centres, from the bucket of the group's first reading on.
 
     The result ends before the first centre that no series covers (``stop_at_gap``);
     if the first centre lies before every reading it is empty.  No range join: a
-    segment lists the centres in it.
+    segment lists the centres in it.  Gaps are found within chunks of ``chunk`` centres
+    of a group; only one row per chunk is put in order over the whole group.
     """
-    at = fixed_grid_values(rows, keys, group, interval, **how)
-    found = at.where("x is not null").groupBy(*group, F.col("x").alias("ts")).agg(AGGREGATES[aggregate]("y").alias("value"))
+    s = neighbours(rows, list(dict.fromkeys([*group, *keys])), **how)
+    found = fixed_grid_values(s, interval).groupBy(*group, F.col("x").alias("ts")).agg(AGGREGATES[aggregate]("y").alias("value"))
     if not stop_at_gap:
         return found
-    begin = at.groupBy(*group).agg(F.min("_begin").alias("_begin")).select(*[F.col(c).alias(f"_g_{c}") for c in group], "_begin")
-    on = F.lit(True)
-    for c in group:
-        on &= F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    # centres of one group: at most the time range divided by the interval
-    w = Window.partitionBy(*group).orderBy("ts")
-    return (
-        found.join(begin, on).drop(*[f"_g_{c}" for c in group])
-        .withColumn("_n", F.row_number().over(w))
-        .where(F.col("ts") == F.col("_begin") + (F.col("_n") - 1) * interval)
-        .select(*group, "ts", "value")
+    centre = lambda x: F.floor(x / interval).cast("long")
+    numbered = found.withColumn("_c", centre(F.col("ts"))).withColumn("_chunk", F.floor(F.col("_c") / chunk))
+    inner = Window.partitionBy(*group, "_chunk").orderBy("_c")
+    # the run that the chunk begins with ends where the difference of number and place first grows
+    ends = numbered.select(*group, "_chunk", "_c", (F.col("_c") - F.row_number().over(inner)).alias("_run"), (F.min("_c").over(Window.partitionBy(*group, "_chunk")) - 1).alias("_first"))
+    whole = ends.groupBy(*group, "_chunk").agg(F.min("_c").alias("_lo"), F.max(F.when(F.col("_run") == F.col("_first"), F.col("_c"))).alias("_hi"), F.lit(None).cast("long").alias("_begin"))
+    begin = centre(F.col("x1"))
+    starts = s.groupBy(*group, F.floor(begin / chunk).alias("_chunk")).agg(F.lit(None).cast("long").alias("_lo"), F.lit(None).cast("long").alias("_hi"), F.min(begin).alias("_begin"))
+    per = whole.unionByName(starts).groupBy(*group, "_chunk").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("_begin").alias("_begin"))
+    all_of = Window.partitionBy(*group)
+    order = all_of.orderBy("_chunk")  # one row per chunk of a group
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = (
+        per.withColumn("_b", F.min("_begin").over(all_of))
+        .withColumn("_from", F.greatest(F.col("_b"), F.col("_chunk") * chunk))
+        .withColumn("_at_start", F.coalesce(F.col("_lo") == F.col("_from"), F.lit(False)) & (F.col("_chunk") == F.floor(F.col("_b") / chunk) + F.row_number().over(order) - 1))
+        .withColumn("_full", F.col("_at_start") & (F.col("_hi") == (F.col("_chunk") + 1) * chunk - 1))
+        .withColumn("_ok", F.col("_at_start") & F.coalesce(F.lag("_full").over(order), F.lit(True)))
+        .withColumn("_ok", F.min(F.col("_ok").cast("int")).over(upto) == 1)
+        .where("_ok")
+        .select(*(F.col(c).alias(f"_g_{c}") for c in (*group, "_chunk")), F.col("_hi").alias("_limit"))
     )
+    on = None
+    for c in (*group, "_chunk"):
+        one = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        on = one if on is None else on & one
+    return numbered.join(kept, on).where(F.col("_c") <= F.col("_limit")).select(*group, "ts", "value")
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
