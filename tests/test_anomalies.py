@@ -66,7 +66,6 @@ def test_kernel_goes_on_within_a_huge_chunk(monkeypatch):
     from tidemark.operators import anomalies
 
     monkeypatch.setattr(anomalies, "BUFFER_ROWS", 500)
-    monkeypatch.setattr(anomalies, "GROUP_ROWS", 1000)
     n = 5000
     v = 50 + np.random.default_rng(0).normal(0, 1, n)
     spikes = [700, 1500, 3333, 4999]
@@ -75,8 +74,9 @@ def test_kernel_goes_on_within_a_huge_chunk(monkeypatch):
     batch = pa.RecordBatch.from_arrays(
         [pa.array(x) for x in (one, one, one, np.arange(n), v, np.zeros(n, bool), np.ones(n, bool), np.arange(n))], names=["a", "b", "chunk", "ts", "value", "bad", "core", "point_id"]
     )
-    out = list(chunk_kernel(5.5, 200, {})(iter([batch.slice(k, 250) for k in range(0, n, 250)])))
-    assert sorted(i for b in out for i in b.column(0).to_pylist()) == spikes
+    for group_rows in (1000, 10**6):  # in parts and as a whole
+        out = list(chunk_kernel(5.5, 200, group_rows, {})(iter([batch.slice(k, 250) for k in range(0, n, 250)])))
+        assert sorted(i for b in out for i in b.column(0).to_pylist()) == spikes
 
 
 def test_judge_without_possible_rows():

@@ -239,6 +239,19 @@ def test_names_and_health(spark):
     assert health.distinct_values(df, "cpu", "host", 80, 90).first()[0] == 11
 
 
+def test_dictionary_of_names(spark, tmp_path):
+    rows = spark.createDataFrame([("value", k % 2, f"n{k:04d}") for k in range(3000)] + [("metric", 0, "m"), ("metric", 0, "m")], "kind STRING, gen INT, name STRING")
+    got = {(r.kind, r.gen, r.name): r.id for r in names.number_names(rows.repartition(7)).collect()}
+    assert len(got) == 3001 and got["metric", 0, "m"] == 1
+    assert all(got["value", k % 2, f"n{k:04d}"] == k // 2 + 1 for k in range(3000))
+    path = str(tmp_path / "names")
+    names.store_names(rows.where("name < 'n2000'"), path)
+    names.store_names(rows, path)
+    names.store_names(rows, path)
+    assert spark.read.parquet(path).count() == 3001
+    assert [r.name for r in names.suggest(spark.read.parquet(path), "tagv", "n00", 2, [1]).collect()] == ["n0001", "n0003"]
+
+
 def test_queue_lag(spark):
     df = spark.createDataFrame([(1, "t", 0, 10, 5), (2, "t", 0, 12, 6), (2, "t", 0, 12, 6), (1, "t", 1, 7, None)], "sample_ms BIGINT, topic STRING, partition_id INT, latest BIGINT, consumed BIGINT")
     lag = health.queue_lag(df)

@@ -26,7 +26,6 @@ from tidemark.operators import charts
 
 FLAGS_DDL = "point_id BIGINT, impossible BOOLEAN, spike BOOLEAN, frozen BOOLEAN"
 BUFFER_ROWS = 150_000
-GROUP_ROWS = 400_000
 CELLS = 1_500_000
 #: Beside a spike, a reading belongs to it from this share of the usual distance on.
 BESIDE_AT = 0.75
@@ -81,7 +80,7 @@ def judge(part: dict[str, np.ndarray], spike_at: float, chart: dict) -> np.ndarr
     return flags
 
 
-def chunk_kernel(spike_at: float, halo_rows: int, chart: dict):
+def chunk_kernel(spike_at: float, halo_rows: int, group_rows: int, chart: dict):
     names = ("a", "b", "chunk", "ts", "value", "bad", "core", "point_id")
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -122,7 +121,7 @@ def chunk_kernel(spike_at: float, halo_rows: int, chart: dict):
                 if (out := emit({k: x[:cut] for k, x in held.items()})) is not None:
                     yield out
                 keep = {k: x[cut:] for k, x in held.items()}
-            elif rows >= GROUP_ROWS:  # one huge chunk: go on by rows, with context on both sides
+            elif rows >= group_rows:  # one huge chunk: go on by rows, with context on both sides
                 now = held | {"core": held["core"] & (np.arange(rows) < rows - halo_rows)}
                 if (out := emit(now)) is not None:
                     yield out
@@ -144,6 +143,7 @@ def flag_readings(
     chunk_steps: int = 4096,
     halo_steps: int = 512,
     spike_at: float = 5.5,
+    group_rows: int = 2_000_000,
     **chart: float,
 ) -> DataFrame:
     """Flagged readings: ``point_id, impossible, spike, frozen`` (each stored row once).
@@ -153,8 +153,10 @@ def flag_readings(
     (rows with a value, a source and a time) of metrics with a positive ``step_s``.
     A null ``lowest`` or ``highest`` is no limit, NaN and infinities are impossible.
     Deliveries of one (source, ts) stand at one place of the series, in order of
-    write_ms (null first) and point_id; repeats never lengthen a run.  Empty input
-    gives an empty result.
+    write_ms (null first) and point_id; repeats never lengthen a run.  A chunk of more
+    than ``group_rows`` rows (hundreds in every intended interval) is judged in parts
+    of that many, each with ``halo_steps`` rows of context on both sides, as a task
+    holds one part at a time.  Empty input gives an empty result.
     """
     limits = catalog.where(F.col("step_s") > 0).groupBy("metric").agg(
         F.max("step_s").alias("step_s"), F.max("lowest").alias("lowest"), F.max("highest").alias("highest")
@@ -191,4 +193,4 @@ def flag_readings(
         .sortWithinPartitions("a", "b", "chunk", "ts", F.col("write_ms").asc_nulls_first(), "point_id")
         .select("a", "b", "chunk", "ts", "value", "bad", (F.col("own") == F.col("chunk")).alias("core"), "point_id")
     )
-    return x.mapInArrow(chunk_kernel(spike_at, halo_steps, chart), FLAGS_DDL)
+    return x.mapInArrow(chunk_kernel(spike_at, halo_steps, group_rows, chart), FLAGS_DDL)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 KINDS = {"metrics": "metric", "tagk": "name", "tagv": "value"}
 
 
@@ -36,8 +38,30 @@ def suggest(names: DataFrame, what: str, prefix: str, most: int = 25, generation
 
 
 def number_names(names: DataFrame) -> DataFrame:
-    """Dense ids per kind and generation, in order of names."""
-    return names.withColumn("id", F.dense_rank().over(Window.partitionBy("kind", "gen").orderBy("name")))
+    """Dense ids per kind and generation, in order of names.
+
+    Names are sorted over ranges of tasks; ids are places within a range plus the counts
+    of the ranges before it (a row for each range, kind and generation), so that no task
+    orders all names of a kind.
+    """
+    keys = ["kind", "gen"]
+    ranged = cut(names.select(*keys, "name").distinct().repartitionByRange(*keys, "name").withColumn("_range", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("_range", *keys).orderBy("name"))
+    counts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_range", *keys, before.alias("_before"))
+    return ranged.withColumn("_place", place).join(offsets, ["_range", *keys]).select(*keys, "name", (F.col("_before") + F.col("_place")).cast("int").alias("id"))
+
+
+def store_names(names: DataFrame, path: str) -> None:
+    """Add names to a stored dictionary: those it has not got yet, in order of names, by kind and generation."""
+    spark = names.sparkSession
+    fresh = names.select("kind", "gen", "name").distinct()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        known = spark.read.parquet(path).withColumn("gen", F.col("gen").cast(fresh.schema["gen"].dataType))
+        fresh = fresh.join(known, ["kind", "gen", "name"], "left_anti")
+    fresh.repartitionByRange("kind", "gen", "name").sortWithinPartitions("kind", "gen", "name").write.mode("append").partitionBy("kind", "gen").parquet(path)
 
 
 def resolve(rows: DataFrame, numbered: DataFrame, kind: str, column: str) -> DataFrame:

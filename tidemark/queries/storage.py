@@ -142,6 +142,14 @@ def suggest_generations(spark, d):
     return names.suggest(known, "metrics", "d", 10, times.recent_generations(CONFIG, NOW, 2), per_generation=False)
 
 
+def suggest_stored(spark, d):
+    """Tag values by prefix from a stored dictionary, filled in two steps that overlap."""
+    path, points = _folder(spark), table(spark, d, "points")
+    for part in (points.where(F.col("ts") < DAY), points):
+        names.store_names(names.name_table(part), path)
+    return names.suggest(spark.read.parquet(path), "tagv", "nd-0", 25)
+
+
 def generated_sine(spark, d):
     """Generated series."""
     x = readers.sine_points(spark, start=0, stop=7200, step=60, periods=[600, 3600], amps=[10, 20], shifts=[0, 300])
@@ -154,7 +162,7 @@ def metrics_without_integers(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    store_scan, replayed_batches, compact_read, stream_ingest, unpack_packs, json_errors, request_json, request_url, json_result, text_result, suggest_generations, generated_sine, metrics_without_integers,
+    store_scan, replayed_batches, compact_read, stream_ingest, unpack_packs, json_errors, request_json, request_url, json_result, text_result, suggest_generations, suggest_stored, generated_sine, metrics_without_integers,
 )}
 
 _KIND = "CASE WHEN int_value IS NOT NULL THEN 'int_value' WHEN float_value IS NOT NULL THEN 'float_value' WHEN int_list IS NOT NULL THEN 'int_list' WHEN float_list IS NOT NULL THEN 'float_list' END"
@@ -183,6 +191,7 @@ SELECT error, CASE WHEN error IS NULL THEN CASE WHEN int_value IS NOT NULL THEN
     "text_result": f"""WITH r AS ({sql_query(TEXT)}), g AS (SELECT 'cluster=' || group_tags['cluster'] AS "group", ts, value FROM r)
 SELECT "group", ts AS ord, ts::VARCHAR AS head, value FROM g UNION ALL SELECT DISTINCT "group", -1, "group", NULL FROM g""",
     "suggest_generations": f"SELECT DISTINCT metric AS name FROM points WHERE metric LIKE 'd%' AND ({_GEN}) IN ({', '.join(map(str, times.recent_generations(CONFIG, NOW, 2)))}) ORDER BY 1 LIMIT 10",
+    "suggest_stored": "SELECT DISTINCT name FROM (SELECT unnest(map_values(tags)) AS name FROM points) WHERE name LIKE 'nd-0%' ORDER BY 1 LIMIT 25",
     "generated_sine": f"""SELECT p::VARCHAR AS period, a::VARCHAR AS amp, s::VARCHAR AS shift, t::INT AS ts, {sql_rounded("(sin(((t + s) % p) / p * 6.283185307179586)::FLOAT * a)::FLOAT::DOUBLE", 3)} AS value
 FROM range(0, 7200, 60) r(t), (VALUES (600), (3600)) x(p), (VALUES (10), (20)) y(a), (VALUES (0), (300)) z(s)""",
     "metrics_without_integers": "SELECT metric FROM metric_catalog EXCEPT SELECT metric FROM points WHERE int_value IS NOT NULL",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tidemark.operators.scan import AnyOf, One, Present
 from tidemark.plans import planner
 from tidemark.plans import query as requests
 from tidemark.queries.problems import SQL_VALUE, rounded, sql_rounded
-from tidemark.session import table
+from tidemark.session import shared_folder, table
 
 START, STOP = 1709251200, 1710374400  # the days of the table
 MID = START + 6 * 86400
@@ -200,7 +202,9 @@ def resolution_pick(spark, d):
 def rollup_stitch(spark, d):
     """Hourly maxima: hour roll-ups of the first six days, five-minute ones of one more, then readings."""
     w = _written(spark, d)
-    stored = {"hour": rollup.roll_up(w.where(F.col("ts") < MID), "hour"), "5m": rollup.roll_up(w.where(F.col("ts") < MID + 86400), "5m")}
+    path = f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+    rollup.roll_up(w.where(F.col("ts") < MID), "hour").unionByName(rollup.roll_up(w.where(F.col("ts") < MID + 86400), "5m")).write.partitionBy("resolution").parquet(path)
+    stored = {r: spark.read.parquet(path).where(F.col("resolution") == r) for r in ("hour", "5m")}
 
     def fetch(resolution, start, stop):
         rows = w.select(*KEYS, "ts", "value") if resolution is None else stored.get(resolution)
