@@ -148,7 +148,9 @@ def test_weights_are_kept(spark, tmp_path):
 
 
 def test_unseen_sources(spark, small):
+    """What a model of ten times the texts finds, against models of a thousand that never saw the source."""
     docs = spark.read.parquet(small.replace("sf0.001", "sf0.01") + "/documents.parquet")
-    known = spark.createDataFrame(M.judge_texts(docs).where("found").select("doc_id").toPandas())
+    better = M.fit_model(spark.read.parquet(small.replace("sf0.001", "sf0.1") + "/documents.parquet"))
+    known = spark.createDataFrame(M.judge_texts(docs, model=better).where("found").select("doc_id").toPandas())
     report = M.held_out(docs, "source", reference=known)
-    assert sum(r[3] for r in report) >= 0.85 * sum(r[1] for r in report) and sum(r[2] - r[3] for r in report) <= 3, report
+    assert sum(r[3] for r in report) >= 0.85 * sum(r[1] for r in report) and sum(r[2] - r[3] for r in report) <= 8, report

@@ -262,24 +262,26 @@ class Judge:
 
     def __init__(self, model: Model, residue_at: float = 0.5, slot_at: float = 0.5):
         self.model, self.at, self.slot_at = model, residue_at, slot_at
-        self.known: dict[str, float] = {}
-        self.known_slots: dict[str, float] = {}
+        self.known: dict[str, float | None] = {}  # None for neutral segments
+        self.known_slots: dict[str, float | None] = {}
 
-    def _scores(self, w: np.ndarray, known: dict[str, float], items: set[str]) -> None:
+    def _scores(self, w: np.ndarray, known: dict[str, float | None], items: set[str], neutral: frozenset[str] = frozenset()) -> None:
         fresh = [s for s in items if s not in known]
         known.update(zip(fresh, score(w, fresh).tolist()))
+        if neutral:
+            known.update(dict.fromkeys(s for s in fresh if len(s) <= SHORT and rules.normal(s) in neutral))
 
     def verdicts(self, texts: list[str | None]) -> list[tuple[float, bool]]:
         """(score, found) of each text."""
         split = [rules.split(t) for t in texts]
         holes = [[x for s in parts if HOLE in s for x in slots(s)] for parts in split]
         cut = [[p for s in parts for p in rules.pieces(s, CUT_CHARS)] for parts in split]
-        self._scores(self.model.segment, self.known, {p for parts in cut for p in parts})
+        self._scores(self.model.segment, self.known, {p for parts in cut for p in parts}, self.model.neutral)
         self._scores(self.model.slot, self.known_slots, {x for some in holes for x in some})
         out = []
         for parts, some in zip(cut, holes):
             slot = max((self.known_slots[x] for x in some), default=0.0)
-            rated = [(self.known[p], len(p)) for p in parts if len(p) > SHORT or rules.normal(p) not in self.model.neutral]
+            rated = [(q, len(p)) for p in parts if (q := self.known[p]) is not None]
             size = sum(n for _, n in rated)
             mean = sum(q * n for q, n in rated) / size if size else 0.0
             stray = sum(n for q, n in rated if q < self.at) / size if size else 1.0

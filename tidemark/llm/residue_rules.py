@@ -159,7 +159,7 @@ def split(text: str | None) -> list[str]:
     lone = False
     for s in _SENTENCE.split(prepared(text)):
         s = s.strip()
-        if not any(c.isalnum() or c == HOLE for c in s):
+        if not s or not (s[0].isalnum() or s[-1].isalnum() or any(c.isalnum() or c == HOLE for c in s)):
             continue
         short = s.count(" ") < 2 and s[-1] not in ".!?…。！？"
         if lone and short and HOLE not in s and HOLE not in out[-1] and TITLE not in s + out[-1]:
@@ -172,6 +172,8 @@ def split(text: str | None) -> list[str]:
 
 def pieces(segment: str, size: int) -> list[str]:
     """Parts of at most ``size`` characters, cut at blanks where there are some; a placeholder is one character and never cut."""
+    if len(segment) <= size:
+        return [segment]
     out, lo = [], 0
     while len(segment) - lo > size:
         blank = segment.rfind(" ", lo + size // 2, lo + size)
