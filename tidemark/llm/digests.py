@@ -290,7 +290,10 @@ def _spread_of(points: DataFrame, salts: str) -> Column:
 
 
 def _count_kernel(names: list[str], parts: list[str]):
-    """Rows arrive by (bucket metric, bucket day, salt), the estimates of a part before its readings."""
+    """Rows arrive by part (of a metric, day and salt), the estimates of a part before its readings.
+
+    A part is known by its hash; should two share one, each still finds its own estimates.
+    """
 
     def emit(index: dict[tuple, int], total: np.ndarray) -> Iterator[pa.RecordBatch]:
         used = np.flatnonzero(total.any(axis=1))
@@ -318,11 +321,9 @@ def _count_kernel(names: list[str], parts: list[str]):
             rows = table.filter(pc.invert(is_limit))
             if rows.num_rows:
                 yield from emit(index, _compare(rows, index, values))
-            last = tuple(table.column(c)[-1] for c in ("metric", "day", "salt"))
+            last = table.column("part")[-1]
             if last != part:  # it began in this buffer
-                mine = is_limit
-                for c, x in zip(("metric", "day", "salt"), last):
-                    mine = pc.and_(mine, pc.equal(table.column(c), x))
+                mine = pc.and_(is_limit, pc.equal(table.column("part"), last))
                 index, values = known(table.filter(mine), {}, values[:0])
                 part = last
 
@@ -364,7 +365,12 @@ def rank_counts(points: DataFrame, found: DataFrame, qs=QUANTILES, *, rows_per_p
             "field", "dim", "dim_value", "group_day", "limits",
         )
     )
-    together = readings.unionByName(limits).repartition("metric", "day", "salt").sortWithinPartitions("metric", "day", "salt", F.col("is_limit").desc())
+    # part and place in it as one number, which sorts fast
+    together = (
+        readings.unionByName(limits).withColumn("part", F.xxhash64("metric", "day", "salt").bitwiseAND(F.lit(-2)))
+        .repartition("part").sortWithinPartitions(F.col("part") + F.when(F.col("is_limit"), 0).otherwise(1))
+        .drop("salt")
+    )
     counted = together.mapInArrow(_count_kernel(names, parts), f"{KEYS_DDL}, " + ", ".join(f"{c} BIGINT" for c in parts))
     return counted.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in parts))
 
