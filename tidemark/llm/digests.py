@@ -19,6 +19,7 @@ the list of those days.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -302,29 +303,27 @@ def _count_kernel(names: list[str], parts: list[str]):
             some = used[lo : lo + 20_000]
             yield pa.RecordBatch.from_arrays([*_key_arrays([keys[k] for k in some]), *(pa.array(np.ascontiguousarray(total[some, j])) for j in range(total.shape[1]))], names=[*KEYS, *parts])
 
-    def known(limits: pa.Table, index: dict, values: np.ndarray) -> tuple[dict, np.ndarray]:
-        if not limits.num_rows:
-            return index, values
+    def known(estimates: pa.ChunkedArray, index: dict, values: np.ndarray) -> tuple[dict, np.ndarray]:
         index, fresh = dict(index), []
-        for j, k in enumerate(zip(*(limits.column(c).to_pylist() for c in ("field", "metric", "dim", "dim_value", "group_day")))):
-            if k not in index:  # groups over all days come with every day
-                index[k] = len(index)
-                fresh.append(j)
-        flat = pc.list_flatten(limits.column("limits").combine_chunks()).to_numpy(zero_copy_only=False)
-        return index, np.concatenate([values, flat.reshape(-1, len(names))[fresh]])
+        for text in estimates.to_pylist():
+            *key, limits = json.loads(text)
+            if (key := tuple(key)) not in index:  # groups over all days come with every day
+                index[key] = len(index)
+                fresh.append(limits)
+        return index, np.concatenate([values, np.array(fresh).reshape(-1, len(names))])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, values, part = {}, np.zeros((0, len(names))), None  # estimates of the part that the last buffer ended in
         for table in _buffers(batches):
-            is_limit = table.column("is_limit")
-            index, values = known(table.filter(is_limit), index, values)
-            rows = table.filter(pc.invert(is_limit))
+            is_estimate = pc.is_valid(table.column("estimate"))
+            index, values = known(table.column("estimate").filter(is_estimate), index, values)
+            rows = table.filter(pc.invert(is_estimate))
             if rows.num_rows:
                 yield from emit(index, _compare(rows, index, values))
             last = table.column("part")[-1]
             if last != part:  # it began in this buffer
-                mine = pc.and_(is_limit, pc.equal(table.column("part"), last))
-                index, values = known(table.filter(mine), {}, values[:0])
+                mine = pc.and_(is_estimate, pc.equal(table.column("part"), last))
+                index, values = known(table.column("estimate").filter(mine), {}, values[:0])
                 part = last
 
     return kernel
@@ -350,25 +349,22 @@ def rank_counts(points: DataFrame, found: DataFrame, qs=QUANTILES, *, rows_per_p
         .join(F.broadcast(hot), ["metric", "day"], "left")
     )
     rows = _expanded(rows, _spread_of(points, "salts").alias("salt"))
-    readings = rows.where("f is not null or i is not null").select(
-        "metric", "day", "salt", F.lit(False).alias("is_limit"), *DIMENSIONS, "f", "i",
-        *(F.lit(None).cast(t).alias(c) for c, t in (("field", "string"), ("dim", "string"), ("dim_value", "string"), ("group_day", "int"), ("limits", "array<double>"))),
-    )
-    groups = found.select("metric", "field", "dim", "dim_value", F.col("day").alias("group_day"), F.array(*names).alias("limits"))
+    readings = rows.where("f is not null or i is not null").select("metric", "day", "salt", *DIMENSIONS, "f", "i", F.lit(None).cast("string").alias("estimate"))
+    # one text for an estimate: columns that are null in all readings would cost as much as those that are not
+    key = [F.coalesce(F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2), F.lit("null")) for c in ("field", "metric", "dim", "dim_value", "day")]
+    packed = F.concat(F.lit("["), F.concat_ws(",", *key, F.to_json(F.array(*names))), F.lit("]"))
+    groups = found.select("metric", F.col("day").alias("group_day"), packed.alias("estimate"))
     of_day = groups.where("group_day is not null").withColumn("day", F.col("group_day"))
     of_all = groups.where("group_day is null").join(days.select("metric", "day"), "metric")
-    limits = (
+    estimates_ = (
         of_day.unionByName(of_all).join(F.broadcast(hot), ["metric", "day"], "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
-        .select(
-            "metric", "day", "salt", F.lit(True).alias("is_limit"), *(F.lit(None).cast("string").alias(c) for c in DIMENSIONS), *(F.lit(None).cast("double").alias(c) for c in ("f", "i")),
-            "field", "dim", "dim_value", "group_day", "limits",
-        )
+        .select("metric", "day", "salt", *(F.lit(None).cast("string").alias(c) for c in DIMENSIONS), *(F.lit(None).cast("double").alias(c) for c in ("f", "i")), "estimate")
     )
     # part and place in it as one number, which sorts fast
     together = (
-        readings.unionByName(limits).withColumn("part", F.xxhash64("metric", "day", "salt").bitwiseAND(F.lit(-2)))
-        .repartition("part").sortWithinPartitions(F.col("part") + F.when(F.col("is_limit"), 0).otherwise(1))
+        readings.unionByName(estimates_).withColumn("part", F.xxhash64("metric", "day", "salt").bitwiseAND(F.lit(-2)))
+        .repartition("part").sortWithinPartitions(F.col("part") + F.when(F.col("estimate").isNotNull(), 0).otherwise(1))
         .drop("salt")
     )
     counted = together.mapInArrow(_count_kernel(names, parts), f"{KEYS_DDL}, " + ", ".join(f"{c} BIGINT" for c in parts))
