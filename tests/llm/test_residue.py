@@ -153,4 +153,4 @@ def test_unseen_sources(spark, small):
     better = M.fit_model(spark.read.parquet(small.replace("sf0.001", "sf0.1") + "/documents.parquet"))
     known = spark.createDataFrame(M.judge_texts(docs, model=better).where("found").select("doc_id").toPandas())
     report = M.held_out(docs, "source", reference=known)
-    assert sum(r[3] for r in report) >= 0.85 * sum(r[1] for r in report) and sum(r[2] - r[3] for r in report) <= 8, report
+    assert sum(r[3] for r in report) >= 0.8 * sum(r[1] for r in report) and sum(r[2] - r[3] for r in report) <= 8, report

@@ -18,6 +18,8 @@ _INVISIBLE = re.compile("[\u200b\u200c\u2060\ufeff\u00ad]")
 
 def clean(text: str) -> str:
     """Undo what does not change the wording: wrong decoding, entities, invisible characters, odd spaces."""
+    if text.isascii() and "&" not in text:
+        return text
     if _BROKEN.search(text):
         for codec in ("latin-1", "cp1252"):
             try:
@@ -142,7 +144,7 @@ def prepared(text: str) -> str:
         text = text.replace('"', "")
     else:
         text = _OBJECT.sub(lambda m: m.group().replace('"', ""), text) if "{" in text else text
-        text = QUOTED.sub(' "" ', text)
+        text = QUOTED.sub(' "" ', text) if '"' in text or not text.isascii() else text
     return _SPACES.sub(" ", holes(text))
 
 
