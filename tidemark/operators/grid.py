@@ -9,7 +9,9 @@ result.  Which metrics are counters the readings themselves tell.
 
 Scale.  Pairs are found inside chunks of a source (a window over (source, chunk)),
 and between chunks from the few first and last readings of the chunks only, so a
-source with a third of all rows is spread over as many tasks as it has chunks.
+source with a third of all rows is spread over as many tasks as it has chunks.  The
+pairs are written once to the shared folder; telling counters and filling the grid
+read the columns they need.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.model import readings, series_key
+from tidemark.session import written
 
 
 def source_readings(points: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -127,7 +130,7 @@ def regular_grid(points: DataFrame, catalog: DataFrame, *, chunk_steps: int = 40
     period, resets taken into account, never interpolated over a reset.  Periods
     without a reading are marked by ``filled``.  Empty input gives an empty result.
     """
-    pairs = consecutive_pairs(source_readings(points, catalog), chunk_steps=chunk_steps)
+    pairs = written(consecutive_pairs(source_readings(points, catalog), chunk_steps=chunk_steps))
     marked = pairs.join(counter_metrics(pairs).select("metric", F.lit(True).alias("counter")), _metric() == F.col("metric"), "left").drop("metric")
     of_counters = increments(marked.where("counter")).select("series_key", "ts", "n_readings", F.col("increment").alias("value"), (F.col("n_readings") == 0).alias("filled"), F.lit(True).alias("counter"))
     gauges = marked.where("counter is null")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import scalar_value, series_key
 from tidemark.operators import anomalies, grid, hotkeys, ledger
-from tidemark.session import shared_folder, table
+from tidemark.session import shared_folder, table, written
 
 #: ``metric{name=value,...}`` of a row of points, in DuckDB's SQL
 SQL_KEY = (
@@ -114,7 +114,7 @@ def p6_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_counters(spark: SparkSession, d: str) -> DataFrame:
-    pairs = grid.consecutive_pairs(grid.source_readings(table(spark, d, "points"), table(spark, d, "metric_catalog")))
+    pairs = written(grid.consecutive_pairs(grid.source_readings(table(spark, d, "points"), table(spark, d, "metric_catalog"))))
     counters = grid.counter_metrics(pairs)
     x = grid.increments(pairs.join(counters, F.substring_index("series_key", "{", 1) == F.col("metric"), "left_semi"))
     return x.select("series_key", "ts", rounded(F.col("increment"), 3).alias("increment"), "resets", (F.col("n_readings") > 0).alias("covered"))
