@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tidemark import cli
+from tidemark import cli, config
 from tidemark.streaming.monitor import Progress
 
 T = 1_709_251_200  # a multiple of a day
@@ -36,3 +36,36 @@ def test_arguments():
     for bad in (["rollup", "a", "b", "--start", "1", "--stop", "2", "--granularity", "week"], ["query"], []):
         with pytest.raises(SystemExit):
             cli.parser().parse_args(bad)
+
+
+def test_settings_are_merged_and_checked(tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"source": {"kind": "lines", "path": "x"}, "sinks": [], "checkpoint": "c", "dead": "d"}))
+    got = config.load(str(tmp_path / "a.json"), "source.path=y", "source.files_per_batch=2", {"dead": None}, "every=30s")
+    assert got == {"source": {"kind": "lines", "path": "y", "files_per_batch": 2}, "sinks": [], "checkpoint": "c", "every": "30s"}
+    assert config.Pipeline.of(got).every == "30s"
+    for bad in ({"source": {}, "sinks": []}, got | {"colour": 1}):
+        with pytest.raises(ValueError):
+            config.Pipeline.of(bad)
+
+
+def test_pipeline_with_several_sinks_and_replies(spark, tmp_path):
+    src = tmp_path / "lines"
+    src.mkdir()
+    (src / "a.txt").write_text(f"put a {T} 1 cluster=c\ncommit 7\nput a {T + 1} 2 cluster=c\ncommit 9\nbroken\n")
+    at = lambda n: str(tmp_path / n)
+    settings = {
+        "source": {"kind": "lines", "path": str(src)}, "checkpoint": at("ck"), "generations": "01/03/24:1", "dead": at("dead"), "replies": at("replies"),
+        "sinks": [{"kind": "points", "path": at("points")}, {"kind": "failover", "main": {"kind": "fail"}, "drop": {"kind": "parquet", "path": at("copy")}}, {"kind": "blackhole"}],
+    }
+    (tmp_path / "p.json").write_text(json.dumps(settings))
+    cli.main(["pipeline", str(tmp_path / "p.json")], spark)
+    assert [spark.read.parquet(at(n)).count() for n in ("points", "copy", "dead")] == [2, 2, 1]
+    assert [r.line for r in spark.read.parquet(at("replies")).orderBy("seq").collect()] == ["OK 7 = 0", "OK 9 = 0"]
+    for bad in ({"sinks": [{"kind": "drain"}]}, {"source": {"kind": "queue"}}):
+        with pytest.raises(ValueError):
+            config.start_ingest(spark, settings | bad)
+
+
+def test_report_as_csv():
+    head, line = Progress().csv().splitlines()
+    assert head.startswith("started,failed") and len(head.split(",")) == len(line.split(",")) and Progress().csv(header=False).count("\n") == 1

@@ -1,4 +1,4 @@
-"""Command line: ``python -m tidemark.cli ingest|query|rollup|suggest|health ...`` (run with spark-submit on a cluster)."""
+"""Command line: ``python -m tidemark.cli ingest|pipeline|query|rollup|suggest|health ...`` (run with spark-submit on a cluster)."""
 
 from __future__ import annotations
 
@@ -8,12 +8,11 @@ import time
 
 from pyspark.sql import SparkSession
 
-from tidemark.functions.times import parse_duration, periods
+from tidemark import config
+from tidemark.functions.times import parse_duration
 from tidemark.operators import health, names, rollup, scan
 from tidemark.plans import query as requests
-from tidemark.sinks import store
 from tidemark.sources import readers
-from tidemark.streaming import ingest
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +28,9 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--generations", default="01/01/24:1", help="day:spans[,day:spans]")
     one.add_argument("--shard-tags", default="cluster")
 
+    one = sub.add_parser("pipeline", help="ingest as settings describe it")
+    one.add_argument("settings", nargs="+", help="JSON files and key.key=value, later ones over earlier ones")
+
     one = sub.add_parser("query", help="answer a JSON request")
     one.add_argument("points")
     one.add_argument("request", help="JSON, or @file")
@@ -57,20 +59,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def generations(text: str):
-    return periods([(d, int(n)) for d, _, n in (part.rpartition(":") for part in text.split(","))])
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     out: list[str] = []
     if a.command == "ingest":
-        tags = tuple(a.shard_tags.split(","))
-        sink = store.points_sink(a.points, config=generations(a.generations), now=lambda: int(time.time()), shard_tags=tags)
-        dead = store.parquet_sink(a.dead) if a.dead else None
-        trigger = {"processingTime": f"{parse_duration(a.every)} seconds"} if a.every else {"availableNow": True}
-        ingest.ingest_lines(readers.read_lines(spark, a.lines, streaming=True, shard_tags=tags), sink, dead, a.checkpoint, trigger=trigger).awaitTermination()
+        settings = {
+            "source": {"kind": "lines", "path": a.lines}, "sinks": [{"kind": "points", "path": a.points}], "checkpoint": a.checkpoint, "dead": a.dead, "every": a.every,
+            "generations": a.generations, "shard_tags": a.shard_tags.split(","),
+        }
+        config.start_ingest(spark, settings).awaitTermination()
+    elif a.command == "pipeline":
+        config.start_ingest(spark, config.load(*a.settings)).awaitTermination()
     elif a.command == "query":
         body = open(a.request[1:]).read() if a.request.startswith("@") else a.request
         stored = spark.read.parquet(a.rollups) if a.rollups else None

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.functions import lines as parsing
 from tidemark.functions import times
 from tidemark.operators import names, rollup, scan
@@ -150,6 +151,90 @@ def suggest_stored(spark, d):
     return names.suggest(spark.read.parquet(path), "tagv", "nd-0", 25)
 
 
+def stream_commits(spark, d):
+    """Commit lines among those of points: each is answered with its number and the micro-batch."""
+    path = _folder(spark)
+    points = table(spark, d, "points").where("metric is not null and tags is not null")
+    commits = points.where(F.col("point_id") % 100 == 0).select(F.format_string("commit %d", "point_id").alias("line"))
+    commits.unionByName(as_lines(points).select("line")).coalesce(4).write.text(f"{path}/lines")
+    settings = {"source": {"kind": "lines", "path": f"{path}/lines"}, "checkpoint": f"{path}/checkpoint", "sinks": [{"kind": "blackhole"}], "replies": f"{path}/replies"}
+    config.start_ingest(spark, settings).awaitTermination()
+    return spark.read.parquet(f"{path}/replies").select("line")
+
+
+def sinks_fan_out(spark, d):
+    """One batch to several sinks: rows that are dropped, a sink that fails, one that keeps all."""
+    path, metrics = _folder(spark), table(spark, d, "points").select("point_id", "metric")
+    dropped = F.col("metric").isNull()
+    split = store.failover(store.parquet_sink(f"{path}/kept"), store.parquet_sink(f"{path}/dropped"), drop_where=dropped)
+    safe = store.failover(store.failing, store.parquet_sink(f"{path}/saved"))
+    store.fan_out(split, safe, store.parquet_sink(f"{path}/all"), store.blackhole)(metrics, 0)
+    out = None
+    for name in ("kept", "dropped", "saved", "all"):
+        one = spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids")).select(F.lit(name).alias("sink"), "n", "ids")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rollup_job(spark, d):
+    """Roll-up jobs over stored points: the hour strategy run twice, then days from hours, replaced in place."""
+    path = _folder(spark)
+    w = scan.last_write(table(spark, d, "points"))
+    for _ in range(2):
+        rollup.roll_up_job(w, START, MID, "hour", f"{path}/hours")
+    rollup.roll_up_job(spark.read.parquet(f"{path}/hours"), START, MID, "day", f"{path}/days")
+    both = spark.read.parquet(f"{path}/hours").unionByName(spark.read.parquet(f"{path}/days"))
+    return both.where("agg in ('max', 'min')").groupBy("metric", "resolution", "agg").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.min("value").alias("least"))
+
+
+def rolling_rollups(spark, d):
+    """Five-minute roll-ups of days as a stream touches them; later points come in a second run."""
+    path, p = _folder(spark), table(spark, d, "points").where(F.col("metric") == CPU).withColumnRenamed("point_id", "write_seq")
+    for part in (p.where(F.col("ts") < MID), p.where(F.col("ts") >= MID)):
+        part.write.mode("append").parquet(f"{path}/points")
+        stream = spark.readStream.schema(p.schema).parquet(f"{path}/points")
+        ingest.rolling(stream, f"{path}/rolled", f"{path}/checkpoint", store=lambda: spark.read.parquet(f"{path}/points")).awaitTermination()
+    return spark.read.parquet(f"{path}/rolled").where("agg = 'max'").select("metric", "tags_key", "ts", "value")
+
+
+def generation_spans(spark, d):
+    """Parts of the time of the points by generation, with their rows."""
+    rows = times.generation_ranges(CONFIG, START, STOP)
+    spans = spark.createDataFrame(rows, "start INT, stop INT, gen INT")
+    points = table(spark, d, "points").where(scan.time_predicate(START, STOP))
+    counted = points.groupBy(times.generation("ts", CONFIG, NOW).cast("int").alias("gen")).agg(F.count("*").alias("n"))
+    return spans.join(counted, "gen", "left")
+
+
+FILTERS = ("north-1", "north-1|west-1", "*")
+DURATIONS = ("5s", "10m", "1h", "2d", "1w", "1y")
+
+
+def tag_filters(spark, d):
+    """Rows by tag filters as users write them: a filter for dc together with fixed tags."""
+    points, out = table(spark, d, "points"), None
+    for text in FILTERS:
+        filters = {"dc": scan.parse_filter(text)} | {k: One(v) for k, v in scan.parse_fixed_tags("cluster amber").items()}
+        one = points.where(scan.tag_predicate(filters)).groupBy("metric").agg(F.count("*").alias("n")).select(F.lit(text).alias("filter"), "metric", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def durations(spark, d):
+    """Seconds of durations, and the buckets of the points at them."""
+    last = table(spark, d, "points").agg(F.max("ts")).first()[0]
+    seconds = spark.createDataFrame([(t, times.parse_duration(t)) for t in DURATIONS], "text STRING, seconds INT")
+    return seconds.select("text", "seconds", (F.lit(last) - F.lit(last) % F.col("seconds")).alias("bucket"))
+
+
+def same_rows(spark, d):
+    """Two readings of one table hold the same rows; without one of them they do not."""
+    p = table(spark, d, "points").select("point_id", "metric", "ts")
+    early, late = p.where(F.col("ts") < MID), p.where(F.col("ts") >= MID)
+    rows = [("chunks", scan.same_rows(early.unionByName(late), p)), ("part", scan.same_rows(early, p)), ("twice", scan.same_rows(p.unionByName(p), p))]
+    return spark.createDataFrame(rows, "what STRING, same BOOLEAN")
+
+
 def generated_sine(spark, d):
     """Generated series."""
     x = readers.sine_points(spark, start=0, stop=7200, step=60, periods=[600, 3600], amps=[10, 20], shifts=[0, 300])
@@ -162,7 +247,7 @@ def metrics_without_integers(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    store_scan, replayed_batches, compact_read, stream_ingest, unpack_packs, json_errors, request_json, request_url, json_result, text_result, suggest_generations, suggest_stored, generated_sine, metrics_without_integers,
+    store_scan, replayed_batches, compact_read, stream_ingest, unpack_packs, json_errors, request_json, request_url, json_result, text_result, suggest_generations, suggest_stored, stream_commits, sinks_fan_out, rollup_job, rolling_rollups, generation_spans, tag_filters, durations, same_rows, generated_sine, metrics_without_integers,
 )}
 
 _KIND = "CASE WHEN int_value IS NOT NULL THEN 'int_value' WHEN float_value IS NOT NULL THEN 'float_value' WHEN int_list IS NOT NULL THEN 'int_list' WHEN float_list IS NOT NULL THEN 'float_list' END"
@@ -192,6 +277,20 @@ SELECT error, CASE WHEN error IS NULL THEN CASE WHEN int_value IS NOT NULL THEN
 SELECT "group", ts AS ord, ts::VARCHAR AS head, value FROM g UNION ALL SELECT DISTINCT "group", -1, "group", NULL FROM g""",
     "suggest_generations": f"SELECT DISTINCT metric AS name FROM points WHERE metric LIKE 'd%' AND ({_GEN}) IN ({', '.join(map(str, times.recent_generations(CONFIG, NOW, 2)))}) ORDER BY 1 LIMIT 10",
     "suggest_stored": "SELECT DISTINCT name FROM (SELECT unnest(map_values(tags)) AS name FROM points) WHERE name LIKE 'nd-0%' ORDER BY 1 LIMIT 25",
+    "stream_commits": "SELECT 'OK ' || point_id || ' = 0' AS line FROM points WHERE metric IS NOT NULL AND tags IS NOT NULL AND point_id % 100 = 0",
+    "sinks_fan_out": """SELECT 'kept' AS sink, count(*) AS n, sum(point_id)::BIGINT AS ids FROM points WHERE metric IS NOT NULL UNION ALL SELECT 'dropped', count(*), sum(point_id)::BIGINT FROM points WHERE metric IS NULL
+UNION ALL SELECT x.sink, count(*), sum(point_id)::BIGINT FROM points, (VALUES ('saved'), ('all')) x(sink) GROUP BY 1""",
+    "rollup_job": f"""WITH {sql_written(f'ts >= {START} AND ts < {MID}')}, r AS (SELECT metric, '5m' AS resolution, tags_key, ts // 300 AS b, max(v)::FLOAT AS hi, min(v)::FLOAT AS lo FROM w GROUP BY ALL
+  UNION ALL SELECT metric, 'hour', tags_key, ts // 3600, max(v)::FLOAT, min(v)::FLOAT FROM w GROUP BY ALL UNION ALL SELECT metric, 'day', tags_key, ts // 86400, max(v)::FLOAT, min(v)::FLOAT FROM w GROUP BY ALL),
+u AS (SELECT metric, resolution, 'max' AS agg, hi AS v FROM r UNION ALL SELECT metric, resolution, 'min', lo FROM r)
+SELECT metric, resolution, agg, count(*) AS n, max(v) AS most, min(v) AS least FROM u GROUP BY 1, 2, 3""",
+    "rolling_rollups": f"WITH {sql_written(f'metric = {CPU!r}')} SELECT metric, tags_key, ts - ts % 300 AS ts, max(v)::FLOAT AS value FROM w GROUP BY metric, tags_key, ts - ts % 300",
+    "generation_spans": f"""WITH g AS (SELECT k AS gen, greatest({START}, {CONFIG[0].start} + k * {times.SPAN_S}) AS start, least({STOP}, {CONFIG[0].start} + (k + 1) * {times.SPAN_S}) AS stop FROM range(100) r(k))
+SELECT gen::INT AS gen, start::INT AS start, stop::INT AS stop, (SELECT nullif(count(*), 0) FROM points p WHERE p.ts >= g.start AND p.ts < g.stop AND p.ts < {NOW + times.SPAN_S}) AS n FROM g WHERE start < stop""",
+    "tag_filters": """SELECT f.filter, metric, count(*) AS n FROM points, (VALUES ('north-1', ['north-1']), ('north-1|west-1', ['north-1', 'west-1']), ('*', NULL)) f(filter, dcs)
+WHERE tags['cluster'] = 'amber' AND tags['dc'] IS NOT NULL AND (dcs IS NULL OR list_contains(dcs, tags['dc'])) GROUP BY 1, 2""",
+    "durations": "SELECT text, seconds, (SELECT max(ts) FROM points) - (SELECT max(ts) FROM points) % seconds AS bucket FROM (VALUES ('5s', 5), ('10m', 600), ('1h', 3600), ('2d', 172800), ('1w', 604800), ('1y', 31536000)) t(text, seconds)",
+    "same_rows": "SELECT * FROM (VALUES ('chunks', TRUE), ('part', FALSE), ('twice', FALSE)) t(what, same)",
     "generated_sine": f"""SELECT p::VARCHAR AS period, a::VARCHAR AS amp, s::VARCHAR AS shift, t::INT AS ts, {sql_rounded("(sin(((t + s) % p) / p * 6.283185307179586)::FLOAT * a)::FLOAT::DOUBLE", 3)} AS value
 FROM range(0, 7200, 60) r(t), (VALUES (600), (3600)) x(p), (VALUES (10), (20)) y(a), (VALUES (0), (300)) z(s)""",
     "metrics_without_integers": "SELECT metric FROM metric_catalog EXCEPT SELECT metric FROM points WHERE int_value IS NOT NULL",

@@ -20,10 +20,11 @@ def start(df: DataFrame, sink: Sink, checkpoint: str, *, trigger: dict | None =
     return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def ingest_lines(parsed: DataFrame, points: Sink, dead: Sink | None, checkpoint: str, *, clock=None, trigger: dict | None = None) -> StreamingQuery:
+def ingest_lines(parsed: DataFrame, points: Sink, dead: Sink | None, checkpoint: str, *, replies: Sink | None = None, clock=None, trigger: dict | None = None) -> StreamingQuery:
     """Valid points with a write time to ``points``, rejected lines with their error to ``dead``.
 
     ``write_seq`` keeps the order of a micro-batch, so that of two lines for one point the later one wins.
+    ``replies`` gets ``OK N = batch`` for each ``commit N`` line, in their order (``seq``), after the points are written.
     """
 
     def both(df: DataFrame, number: int) -> None:
@@ -34,6 +35,9 @@ def ingest_lines(parsed: DataFrame, points: Sink, dead: Sink | None, checkpoint:
             points(parsing.valid_points(df, "write_seq").withColumn("write_ms", write), number)
             if dead is not None:
                 dead(parsing.dead_letters(df), number)
+            if replies is not None:
+                commits = df.where((F.col("command") == "commit") & F.col("argument").isNotNull())
+                replies(commits.select(F.col("write_seq").alias("seq"), F.format_string(f"OK %d = {number}", "argument").alias("line")), number)
         finally:
             df.unpersist()
 

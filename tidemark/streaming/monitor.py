@@ -46,3 +46,8 @@ class Progress(StreamingQueryListener):
 
     def text(self) -> str:
         return "".join(f"{k} {v:g}\n" for k, v in self.report().items())
+
+    def csv(self, *, header: bool = True) -> str:
+        """The report as a line of comma-separated values, for a file that is appended to."""
+        report = self.report()
+        return ",".join(report) * header + "\n" * header + ",".join(f"{v:g}" for v in report.values()) + "\n"
