@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions.times import bucket_centre
 from tidemark.operators import union
+from tidemark.session import cut
 
 AGGREGATES: dict[str, Callable[[Column | str], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
 CHUNK_S = 86400
@@ -121,12 +122,12 @@ def _union_by_join(s: DataFrame, group: list[str], aggregate: str, span_s: int)
 
 
 def fixed_grid_values(s: DataFrame, interval: int) -> DataFrame:
-    """Segments with the bucket centres they cover: their columns, ``x`` and ``y``."""
+    """Segments with the bucket centres they cover: their columns, ``x`` and ``y``; one that covers none has a null x."""
     half = interval // 2
     up = lambda x: x + F.pmod(F.lit(half) - x, F.lit(interval))  # noqa: E731  first centre from x on
     low = up(F.when(F.col("first"), F.col("x1")).otherwise(F.col("x1") + 1))
     xs = F.when(low <= F.col("x2"), F.sequence(low, F.col("x2"), F.lit(interval)))
-    return s.withColumn("x", F.explode(xs)).withColumn("y", line_at(F.col("x")))
+    return s.withColumn("x", F.explode_outer(xs)).withColumn("y", line_at(F.col("x")))
 
 
 def aggregate_fixed_grid(rows: DataFrame, keys: list[str], group: list[str], aggregate: str, interval: int, *, stop_at_gap: bool = True, chunk: int = GRID_CHUNK, **how) -> DataFrame:
@@ -138,23 +139,24 @@ def aggregate_fixed_grid(rows: DataFrame, keys: list[str], group: list[str], agg
     of a group; only one row per chunk is put in order over the whole group.
     """
     s = neighbours(rows, list(dict.fromkeys([*group, *keys])), **how)
-    found = fixed_grid_values(s, interval).groupBy(*group, F.col("x").alias("ts")).agg(AGGREGATES[aggregate]("y").alias("value"))
-    if not stop_at_gap:
-        return found
     centre = lambda x: F.floor(x / interval).cast("long")
-    numbered = found.withColumn("_c", centre(F.col("ts"))).withColumn("_chunk", F.floor(F.col("_c") / chunk))
+    at = fixed_grid_values(s, interval)
+    if not stop_at_gap:
+        return at.where("x is not null").groupBy(*group, F.col("x").alias("ts")).agg(AGGREGATES[aggregate]("y").alias("value"))
+    # one row per centre; written, as the gaps and the result both come from it
+    found = cut(at.groupBy(*group, F.col("x").alias("ts")).agg(AGGREGATES[aggregate]("y").alias("value"), F.min(centre(F.col("x1"))).alias("_begin")))
+    numbered = found.where("ts is not null").withColumn("_c", centre(F.col("ts"))).withColumn("_chunk", F.floor(F.col("_c") / chunk))
     inner = Window.partitionBy(*group, "_chunk").orderBy("_c")
     # the run that the chunk begins with ends where the difference of number and place first grows
-    ends = numbered.select(*group, "_chunk", "_c", (F.col("_c") - F.row_number().over(inner)).alias("_run"), (F.min("_c").over(Window.partitionBy(*group, "_chunk")) - 1).alias("_first"))
-    whole = ends.groupBy(*group, "_chunk").agg(F.min("_c").alias("_lo"), F.max(F.when(F.col("_run") == F.col("_first"), F.col("_c"))).alias("_hi"), F.lit(None).cast("long").alias("_begin"))
-    begin = centre(F.col("x1"))
-    starts = s.groupBy(*group, F.floor(begin / chunk).alias("_chunk")).agg(F.lit(None).cast("long").alias("_lo"), F.lit(None).cast("long").alias("_hi"), F.min(begin).alias("_begin"))
-    per = whole.unionByName(starts).groupBy(*group, "_chunk").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("_begin").alias("_begin"))
+    ends = numbered.select(*group, "_chunk", "_c", "_begin", (F.col("_c") - F.row_number().over(inner)).alias("_run"), (F.min("_c").over(Window.partitionBy(*group, "_chunk")) - 1).alias("_first"))
+    whole = ends.groupBy(*group, "_chunk").agg(F.min("_c").alias("_lo"), F.max(F.when(F.col("_run") == F.col("_first"), F.col("_c"))).alias("_hi"), F.min("_begin").alias("_begin"))
+    bare = found.where("ts is null").select(*group, F.lit(None).cast("long").alias("_chunk"), *(F.lit(None).cast("long").alias(c) for c in ("_lo", "_hi")), "_begin")
+    per = whole.unionByName(bare)
     all_of = Window.partitionBy(*group)
     order = all_of.orderBy("_chunk")  # one row per chunk of a group
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = (
-        per.withColumn("_b", F.min("_begin").over(all_of))
+        per.withColumn("_b", F.min("_begin").over(all_of)).where("_chunk is not null")
         .withColumn("_from", F.greatest(F.col("_b"), F.col("_chunk") * chunk))
         .withColumn("_at_start", F.coalesce(F.col("_lo") == F.col("_from"), F.lit(False)) & (F.col("_chunk") == F.floor(F.col("_b") / chunk) + F.row_number().over(order) - 1))
         .withColumn("_full", F.col("_at_start") & (F.col("_hi") == (F.col("_chunk") + 1) * chunk - 1))
