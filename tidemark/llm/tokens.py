@@ -33,7 +33,6 @@ _SPACE = r"\p{White_Space}"
 _NO_SPACE = r"\P{White_Space}"
 
 CACHE_ENTRIES = 400_000
-LONG_PIECE = 4096
 
 
 def byte_alphabet() -> list[str]:
