@@ -15,7 +15,7 @@ def test_query_matches_its_sql(spark, small, name):
 def test_percentiles_are_in_order_and_certified(spark, small):
     x = QUERIES["p1_percentiles"](spark, small)
     names = [digests.percent_name(q) for q in digests.QUANTILES]
-    assert x.where("dim = 'all' and day is null").count() > 50
+    assert x.where("dim = 'all' and day is null").count() > 5
     for a, b in zip(names, names[1:]):
         assert x.where(F.col(a) > F.col(b)).count() == 0
     assert x.where("rank_error is null or rank_error * n > 0.01 * n + 1").count() == 0
