@@ -86,7 +86,9 @@ ERROR = re.compile(
     r"|\w+(?:exception|error)\b\s*:|^\s*at [\w.$]+\(|traceback \(most recent|^\s*file .+, line \d+",
     re.I | re.M,
 )
-MARKED = re.compile(r"[{}<>\[\]@#|$%]|__|:\w|undefined|null|NaN|NULL|UNDEFINED|Undefined|NAN")
+#: Words that stand for failed values, and how placeholders begin: a text without either needs no closer look.
+_FAILED_WORDS = ("undefined", "UNDEFINED", "Undefined", "null", "NULL", "NaN", "NAN", "[object", "<no", "#REF", "#N/A", "#VALUE", "#NAME")
+MARKED = re.compile(r"[{\[<]|@@|##|#\{|\*\||\|[^\W\d]|\$(?:\{|[^\W\d])|%(?:[^\W\d]|\d\$|\()|:(?=[a-z])(?<![\w:]:)|__")
 STATUS_NUMBER = re.compile(rf"(?<![\d,.-]){_STATUS}(?![\d,.-])")
 WORD = re.compile(r"[^\W_]+")
 _OBJECT = re.compile(r'\{\s*"[^"{}]+"\s*:[^{}]*\}')
@@ -125,7 +127,7 @@ LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing eiusmod tempor
 #: Rows of keys and the alphabets: words along them are typed to fill a box (fixed values).
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "yxcvbnm", "abcdefghijklmnopqrstuvwxyz", "1234567890")
 _STEPS = frozenset(a + b for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:]))
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+| \| | / (?=\D)")
+_SLASH = re.compile(r" / (?=\D)")
 _SPACES = re.compile(r"[ \t\r\f\v]+")
 _NUMBERED = re.compile(r"\w*\d[\w.,:/-]*")
 _DIGITS = re.compile(r"(?<=\D)\d+$")
@@ -144,13 +146,26 @@ def prepared(text: str) -> str:
         text = text.replace('"', "")
     else:
         text = _OBJECT.sub(lambda m: m.group().replace('"', ""), text) if "{" in text else text
-        text = QUOTED.sub(' "" ', text) if '"' in text or not text.isascii() else text
-    return _SPACES.sub(" ", holes(text))
+        text = QUOTED.sub(' "" ', text) if any(map(text.__contains__, '"“„«「『')) else text
+    return holes(_SPACES.sub(" ", text) if any(map(text.__contains__, ("  ", "\t", "\r", "\f", "\v"))) else text)
 
 
 def holes(text: str) -> str:
     """Placeholders and failed values replaced by one character each: the exact check of their delimiters."""
-    return FAILED.sub(HOLE, PLACEHOLDER.sub(HOLE, text)) if MARKED.search(text) else text
+    if MARKED.search(text):
+        text = PLACEHOLDER.sub(HOLE, text)
+    return FAILED.sub(HOLE, text) if any(map(text.__contains__, _FAILED_WORDS)) else text
+
+
+def _sentences(text: str) -> list[str]:
+    """Parts between line breaks, ends of sentences, and bars or slashes between blanks (blanks are single ones)."""
+    for end in ".!?…":
+        text = text.replace(end + " ", end + "\n")
+    if not text.isascii():
+        for end in "。！？":
+            text = text.replace(end, end + "\n")
+    text = text.replace(" | ", "\n")
+    return (_SLASH.sub("\n", text) if " / " in text else text).split("\n")
 
 
 def split(text: str | None) -> list[str]:
@@ -159,7 +174,7 @@ def split(text: str | None) -> list[str]:
         return []
     out: list[str] = []
     lone = False
-    for s in _SENTENCE.split(prepared(text)):
+    for s in _sentences(prepared(text)):
         s = s.strip()
         if not s or not (s[0].isalnum() or s[-1].isalnum() or any(c.isalnum() or c == HOLE for c in s)):
             continue
