@@ -67,7 +67,7 @@ def test_certified_errors_are_the_true_ones(spark, monkeypatch, rows_per_part, b
     monkeypatch.setattr(D, "_buffers", lambda batches: buffers((b.slice(lo, 60) for b in batches for lo in range(0, b.num_rows, 60)), buffer))
     data = rows()
     want = exact(data)
-    got = D.certified_percentiles(frame(spark, data, "n INT, day INT").withColumnRenamed("n", "low"), rows_per_part=rows_per_part).collect()
+    got = D.certified_percentiles(frame(spark, data, "n INT, day INT, salts INT, estimate STRING").withColumnRenamed("n", "low"), rows_per_part=rows_per_part).collect()
     assert {tuple(r[k] for k in D.KEYS) for r in got} == set(want)
     for r in got:
         v = want[tuple(r[k] for k in D.KEYS)]

@@ -336,6 +336,7 @@ def rank_counts(points: DataFrame, found: DataFrame, qs=QUANTILES, *, rows_per_p
     list of such days is sent to all workers and has at most ``most_spread`` entries,
     as parts grow beyond ``rows / most_spread`` rows where that would be more.
     """
+    points = points.select(*(c for c in ("point_id", "metric", "tags", "ts", "float_value", "int_value") if c in points.columns))
     names = [percent_name(q) for q in qs]
     parts = [f"{kind}_{c}" for kind in ("below", "upto") for c in names]
     # every usable row has a joint value, so these groups count the rows of each metric and day
