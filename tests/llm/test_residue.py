@@ -51,7 +51,7 @@ def trained(n, seed):
 def test_what_follows_a_line_of_dashes_is_judged():
     w = trained(1500, 1)
     error, good = "404 - Not Found. Return to the home page.", "The lamp is solid. Works fine after two weeks. Nice price."
-    found = [f"{good}\n--\nI'd order the {{{{item}}}} again tomorrow.", f"{good}\n-- \nsent from my {{{{device}}}}", f"{error}\n--\n{error}"]
+    found = [f"{good}\n--\nI'd order the {{{{item}}}} again tomorrow.", f"{good}\n-- \nsent from my {{{{device}}}}", f"{error}\n--\n{error}", f"{error}\n--\nsent from my phone", f"{error}\n-- \nsize 42, width 1,234.56 mm", f"{error}\n--\n5/5"]
     kept = [f"{error}\n--\n" + f"{good} " * 5, f"{good}\n--\nsent from my phone", f"{good}\n--\n{good}"]
     assert [f for _, f in M.Judge(w).verdicts(found + kept)] == [True] * len(found) + [False] * len(kept)
 

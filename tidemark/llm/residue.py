@@ -6,7 +6,8 @@ apart from that every placeholder by its surroundings: does it stand in a value'
 place, or is it merely spoken of?  It is trained here, on weak labels from phrases
 and status patterns: sentences that hold one are residue, unless they stand within a
 longer genuine text; sentences of texts without any are content.  Short segments
-that the sample shows in residue and in content alike ("read more") are neutral.
+that the sample shows in residue and in content alike ("read more") are neutral, as
+is a signature, the one line after a line of dashes.
 
 A text is residue if a placeholder stands in a value's place, or if nearly all of it
 is.  The phrases take no part in that; the delimiters of placeholders do, as an
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import residue_rules as rules
-from tidemark.llm.residue_rules import HOLE, TITLE
+from tidemark.llm.residue_rules import HOLE, SIGNED, TITLE
 
 BITS = 18
 AROUND = 16  # characters on either side of a placeholder whose n-grams tell its use
@@ -43,7 +44,7 @@ def features(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     All segments at once: the n-grams are hashed from their code points with numpy.
     Digits count as one character, but status numbers have a feature of their own.
     """
-    texts = [f"\x02{s.lower()}\x03" for s in segments]
+    texts = [f"\x02{s.lower().removeprefix(SIGNED)}\x03" for s in segments]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     code[(code >= 48) & (code <= 57)] = 48
@@ -133,7 +134,7 @@ def weak_labels(texts: list[str | None]) -> dict[tuple[str, str], list[int]]:
         seen.setdefault((kind, item), [0, 0])[0 if residue else 1] += 1
 
     for text in texts:
-        parts = rules.split(text)
+        parts = [s for s in rules.split(text) if not s.startswith(SIGNED) or HOLE in s]
         if not parts:
             continue
         whole = rules.filler(rules.WORD.findall(" ".join(parts).lower()))
@@ -281,7 +282,8 @@ class Judge:
         out = []
         for parts, some in zip(cut, holes):
             slot = max((self.known_slots[x] for x in some), default=0.0)
-            rated = [(q, len(p)) for p in parts if (q := self.known[p]) is not None]
+            # a signature that reads like content does not make content of what it signs
+            rated = [(q, len(p)) for p in parts if (q := self.known[p]) is not None and (q >= self.at or p[0] != SIGNED)]
             size = sum(n for _, n in rated)
             mean = sum(q * n for q, n in rated) / size if size else 0.0
             stray = sum(n for q, n in rated if q < self.at) / size if size else 1.0

@@ -61,6 +61,7 @@ PLACEHOLDER = re.compile(
 FAILED = re.compile(r"(?<![A-Za-z0-9_])(?:undefined|UNDEFINED|Undefined|null|NULL|NaN|NAN)(?![A-Za-z0-9_])|\[object Object\]|<no value>|#(?:REF|N/A|VALUE|NAME\?)!?")
 HOLE = "\ue000"  # stands for a placeholder
 TITLE = "\ue001"  # stands before the text of a title or first heading
+SIGNED = "\ue002"  # stands before the one line that follows a line of dashes
 #: A failed value followed by a common noun is an adjective ("the undefined shape of").
 ADJECTIVE = re.compile(rf"{HOLE}\s+(?:shape|form|size|value|result|hypothesis|and void|area|feeling|purpose|state|behaviou?r|edges?|colou?r of)\b", re.I)
 #: Sentences that speak of brackets, labels or templates mention a placeholder.
@@ -169,13 +170,18 @@ def _sentences(text: str) -> list[str]:
 
 
 def split(text: str | None) -> list[str]:
-    """Sentences and lines of the whole text that say anything; lines of one or two words that follow each other are one segment."""
+    """Sentences and lines of the whole text that say anything; lines of one or two words that follow each other are one segment.
+
+    A single line or sentence after a line of dashes is marked as a signature.
+    """
     if not text or not text.strip():
         return []
     out: list[str] = []
-    lone = False
+    lone, dashes = False, -1
     for s in _sentences(prepared(text)):
         s = s.strip()
+        if s == "--":
+            lone, dashes = False, len(out)
         if not s or not (s[0].isalnum() or s[-1].isalnum() or any(c.isalnum() or c == HOLE for c in s)):
             continue
         short = s.count(" ") < 2 and s[-1] not in ".!?…。！？"
@@ -184,6 +190,8 @@ def split(text: str | None) -> list[str]:
         else:
             out.append(s)
         lone = short
+    if 0 < dashes == len(out) - 1:
+        out[-1] = SIGNED + out[-1]
     return out
 
 
